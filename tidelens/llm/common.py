@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -88,3 +89,26 @@ def chain(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Key of a sequence from the key of all but its last item and the key of the last."""
     with np.errstate(over="ignore"):
         return mix(left * np.uint64(0x9E3779B97F4A7C15) + right)
+
+
+# ---- blocks -------------------------------------------------------------------------------------------------------
+
+BLOCK_BYTES = 16 << 20
+
+
+def in_blocks(docs: DataFrame, keep: list[str], text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """docs' columns in keep and text (null: empty), dealt into blocks of about block_bytes of text, and the number of blocks.
+
+    A row's block follows from its own values, so a lost task rebuilds the same block, and a hot source or many copies
+    with ids of their own spread over all blocks.
+    """
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = max(1, -(-total // block_bytes))
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.pmod(F.xxhash64(*keep, body), F.lit(n)).cast("int").alias("block"), *keep, body.alias("text"))
+    return rows.repartition(n, "block"), n
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The range of the 64-bit key space that each key lies in, from 0 to parts - 1; ascending in the key."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelens.llm import chat, html, warc
+from tidelens.llm import bpe, chat, html, secrets, shard, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,25 @@ def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed package of public tokenizers keeps a file, on the driver and executors alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
+def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard.document_shards(_table(spark, sf_dir, "documents"), 24)
+
+
+def op8_bpe_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(_table(spark, sf_dir, "pages"))
 
@@ -24,8 +43,8 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_perspectives, op7_main_text, op9_warc_round_trip)}
+    return {f.__name__: f for f in (op1_chat_perspectives, op5_secret_scan, op6_kd_shards, op7_main_text, op8_bpe_word_table, op9_warc_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_perspectives": chat.SQL, "op9_warc_round_trip": warc.SQL}
+    return {"op1_chat_perspectives": chat.SQL, "op5_secret_scan": secrets.SQL, "op9_warc_round_trip": warc.SQL}
