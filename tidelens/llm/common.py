@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,3 +115,124 @@ def in_blocks(docs: DataFrame, keep: list[str], text: str = "text", block_bytes:
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """The range of the 64-bit key space that each key lies in, from 0 to parts - 1; ascending in the key."""
     return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+# ---- words --------------------------------------------------------------------------------------------------------
+
+#: Fixed value: the white space that separates words, \x20 and \x09-\x0D.
+SPACE = b" \t\n\x0b\x0c\r"
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[list(SPACE)] = True
+_BASE = 0x9E3779B97F4A7C15  # odd, so its powers have inverses modulo 2**64
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and their inverses, modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(20, (n - 1).bit_length())
+        _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+class Words(NamedTuple):
+    """The words of some texts one after another."""
+
+    hashes: np.ndarray  # 64 bits of each word's bytes
+    sizes: np.ndarray  # bytes
+    starts: np.ndarray  # of each text's words, and the end of the last's
+
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.starts) - 1, dtype=np.int32), np.diff(self.starts))
+
+
+def _hash_words(texts: list[bytes]) -> Words:
+    whole = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    space = _IS_SPACE[whole]
+    turns = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        turns = np.concatenate([[0], turns])
+    first, end = turns[0::2], turns[1::2]
+    power, inverse = _powers(len(whole))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(whole * power, dtype=np.uint64)])
+    size = end - first
+    hashes = mix((sums[end] - sums[first]) * inverse[first] + size.astype(np.uint64) * _M1)
+    bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
+    return Words(hashes, size, np.searchsorted(first, bounds))
+
+
+def hash_words(texts: list[bytes], at_once: int = 4 << 20) -> Words:
+    """Hashes of the words of texts in UTF-8: a word's bytes are digits of a number modulo 2**64, then mixed.
+
+    All words of a text are read with a few passes over its bytes. Different words share a hash with a chance of 2**-64.
+    """
+    parts, group, held = [], [], 0
+    for t in texts:
+        group.append(t)
+        held += len(t)
+        if held >= at_once:
+            parts.append(_hash_words(group))
+            group, held = [], 0
+    if group or not parts:
+        parts.append(_hash_words(group)) if group else parts.append(Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64)))
+    if len(parts) == 1:
+        return parts[0]
+    shift = np.cumsum([0, *(len(p.hashes) for p in parts)])
+    return Words(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)), np.concatenate([parts[0].starts[:1], *(p.starts[1:] + s for p, s in zip(parts, shift, strict=False))]))
+
+
+def shingles(words: Words, k: int) -> np.ndarray:
+    """Keys of the k words from each place; those that run over a text's end must not be used."""
+    n = max(len(words.hashes) - k + 1, 0)
+    keys = words.hashes[:n].copy()
+    for i in range(1, k):
+        keys = chain(keys, words.hashes[i : n + i])
+    return keys
+
+
+# ---- groups -------------------------------------------------------------------------------------------------------
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
+    """Batches sorted by an integer column as tables in which every group of equal keys is whole."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(keys, keys[-1], side="left"))
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        elif held and last != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = [batch]
+        else:
+            held.append(batch)
+        last = keys[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and root (the least node that it is joined with) of every node of undirected edges a, b; loops are ignored.
+
+    Large-star and small-star steps take turns until the edges are stars: each step links a node's neighbours to the
+    least of them, with an aggregation and a join, so a node of any degree stays spread over many rows.
+    """
+    now = edges.filter("a <> b").select("a", "b").distinct()
+    before = None
+    while True:
+        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
+        large = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        down = written(large.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "large")
+        least = down.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        small = down.join(least, F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        now = written(small.unionByName(least.select(F.col("w").alias("a"), F.col("m").alias("b"))).distinct(), "small")
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if seen == before:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        before = seen
