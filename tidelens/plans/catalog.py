@@ -1,11 +1,683 @@
-"""Registry of the engine's queries and of the SQL that each must agree with."""
+"""Registry of the engine's queries and of the SQL that each must agree with.
+
+Every query runs over whole tables. Doubles are rounded on both sides, as sums may be taken in any order.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidelens.functions import columns as c
+from tidelens.kernels import spec as ms
+from tidelens.kernels.linalg import z_score
+from tidelens.kernels.series import scenarios
+from tidelens.operators import attribution, checks, draws, models
+from tidelens.plans import workflows
+from tidelens.sources import series as src
+from tidelens.sources import synthetic
+from tidelens.streaming import online
+
+Q, R, P0, X0 = 400.0, 20000.0, 10000.0, 3300.0  # of the daily event series
+PRE, POST = (1, 21), (22, 30)
+Z05, Z01 = z_score(0.05), z_score(0.01)
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql.strip()
+        return f
 
-def queries() -> dict:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def rounded(df: DataFrame, *names: str, to: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, to) for n in names})
+
+
+# ---- inputs ------------------------------------------------------------------------------------------------------
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.event_series(spark, sf_dir).withColumn("y", F.round("y", 2))
+
+
+def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily series without every fifth day."""
+    return daily(spark, sf_dir).withColumn("y", F.when(F.col("t") % 5 != 3, F.col("y")))
+
+
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.event_series(spark, sf_dir, "hour").withColumn("y", F.round("y", 2))
+
+
+def counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly series against their own running weekday-free mean, with a variance that moves with the hour."""
+    h = hourly(spark, sf_dir).withColumn("y", F.coalesce("y", F.lit(0.0)))
+    return h.select("series_id", "t", "y", (F.lit(140.0) + F.col("t") % 24).cast("double").alias("cf_mean"), (F.lit(100.0) + F.col("t") % 7).cast("double").alias("cf_var"))
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 2 to 6 hours from the hours whose sum is over 300, by series."""
+    h = hourly(spark, sf_dir)
+    w = h.filter("y > 300").select("series_id", F.concat(F.lit("s"), F.col("t").cast("string")).alias("spot_id"), F.col("t").alias("ws"), F.least(F.col("t") + 2 + F.col("t") % 5, F.lit(720)).cast("long").alias("we"))
+    return w
+
+
+DAILY = """
+WITH RECURSIVE d0 AS (SELECT event_type AS series_id, date_trunc('day', ts) AS ts, sum(value) AS y FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2),
+e0 AS (SELECT min(ts) AS a, max(ts) AS b FROM d0),
+c0 AS (SELECT i.series_id, unnest(generate_series(e0.a, e0.b, INTERVAL 1 DAY)) AS ts FROM (SELECT DISTINCT series_id FROM d0) i, e0),
+s AS (SELECT c0.series_id, CAST(date_diff('day', e0.a, c0.ts) AS BIGINT) AS t, round(d0.y, 2) AS y FROM c0 JOIN e0 ON true LEFT JOIN d0 ON d0.series_id = c0.series_id AND d0.ts = c0.ts)"""
+GAPPY = DAILY.replace("round(d0.y, 2) AS y", "CASE WHEN date_diff('day', e0.a, c0.ts) % 5 <> 3 THEN round(d0.y, 2) END AS y")
+HOURLY = DAILY.replace("'day'", "'hour'").replace("1 DAY", "1 HOUR")
+CF = HOURLY + """,
+cf AS (SELECT series_id, t, coalesce(y, 0.0) AS y, CAST(140.0 + t % 24 AS DOUBLE) AS cf_mean, CAST(100.0 + t % 7 AS DOUBLE) AS cf_var FROM s),
+w AS (SELECT series_id, 's' || t AS spot_id, t AS ws, CAST(least(t + 2 + t % 5, 720) AS BIGINT) AS we FROM s WHERE y > 300)"""
+
+
+def _filter_sql(h: str = "1.0", x0: str = str(X0), q: float = Q, r: float = R, p0: float = P0) -> str:
+    """A scalar filter as a recursive query: k(series_id, t, xp, pp, x, p)."""
+    return f""",
+i(series_id, t, x, p) AS (SELECT DISTINCT series_id, CAST(-1 AS BIGINT), CAST({x0} AS DOUBLE), CAST({p0} AS DOUBLE) FROM s),
+k(series_id, t, xp, pp, x, p) AS (
+  SELECT series_id, t, x, p, x, p FROM i
+  UNION ALL
+  SELECT k.series_id, s.t, k.x, k.p + {q},
+         CASE WHEN s.y IS NULL THEN k.x ELSE k.x + (k.p + {q}) * ({h}) / (({h}) * (k.p + {q}) * ({h}) + {r}) * (s.y - ({h}) * k.x) END,
+         CASE WHEN s.y IS NULL THEN k.p + {q} ELSE
+           (1 - (k.p + {q}) * ({h}) / (({h}) * (k.p + {q}) * ({h}) + {r}) * ({h})) * (k.p + {q}) * (1 - (k.p + {q}) * ({h}) / (({h}) * (k.p + {q}) * ({h}) + {r}) * ({h}))
+           + (k.p + {q}) * ({h}) / (({h}) * (k.p + {q}) * ({h}) + {r}) * {r} * (k.p + {q}) * ({h}) / (({h}) * (k.p + {q}) * ({h}) + {r}) END
+  FROM k JOIN s ON s.series_id = k.series_id AND s.t = k.t + 1)"""
+
+
+# ---- series and filters ------------------------------------------------------------------------------------------
+
+
+@query(DAILY + " SELECT series_id, t, y FROM s")
+def daily_series_densify(spark, sf_dir):
+    return daily(spark, sf_dir).select("series_id", "t", "y")
+
+
+@query(GAPPY + " SELECT series_id, coalesce(arg_min(y, t) FILTER (y IS NOT NULL), 0.0) AS first_obs, CAST(count(*) FILTER (y IS NULL) AS BIGINT) AS missing FROM s GROUP BY 1")
+def first_obs(spark, sf_dir):
+    df = gappy(spark, sf_dir)
+    return models.first_observed(df).join(df.groupBy("series_id").agg(F.count_if(F.col("y").isNull()).alias("missing")), "series_id")
+
+
+@query(GAPPY + _filter_sql() + " SELECT series_id, CAST(t + 1 AS BIGINT) AS n, round(x, 6) AS x, round(p, 6) AS p FROM k WHERE t = (SELECT max(t) FROM s)")
+def kf_local_level_terminal(spark, sf_dir):
+    return rounded(models.filter_terminal(gappy(spark, sf_dir), Q, R, P0, X0), "x", "p")
+
+
+_PATH = " SELECT series_id, t, round(xp, 6) AS x_pred, round(pp, 6) AS p_pred, round(x, 6) AS x_filt, round(p, 6) AS p_filt FROM k WHERE t >= 0"
+
+
+@query(DAILY + _filter_sql() + _PATH)
+def kf_local_level_path(spark, sf_dir):
+    return rounded(models.filter_path(daily(spark, sf_dir), q=Q, r=R, x0=X0, p0=P0), "x_pred", "p_pred", "x_filt", "p_filt")
+
+
+@query(GAPPY + _filter_sql() + _PATH)
+def kf_missing(spark, sf_dir):
+    return rounded(models.filter_path(gappy(spark, sf_dir), q=Q, r=R, x0=X0, p0=P0), "x_pred", "p_pred", "x_filt", "p_filt")
+
+
+@query(DAILY + _filter_sql("1.0 + 0.1 * (s.t % 3)") + _PATH)
+def kf_time_varying_h(spark, sf_dir):
+    return rounded(models.filter_path(daily(spark, sf_dir), h=lambda t: 1.0 + 0.1 * (t % 3), q=Q, r=R, x0=X0, p0=P0), "x_pred", "p_pred", "x_filt", "p_filt")
+
+
+@query(GAPPY + _filter_sql() + f""",
+f AS (SELECT series_id, t, x, p FROM k WHERE t >= 0),
+b(series_id, t, x, p, lag1) AS (
+  SELECT series_id, t, x, p, CAST(NULL AS DOUBLE) FROM f WHERE t = (SELECT max(t) FROM s)
+  UNION ALL
+  SELECT f.series_id, f.t, f.x + f.p / (f.p + {Q}) * (b.x - f.x), f.p + f.p / (f.p + {Q}) * (b.p - (f.p + {Q})) * f.p / (f.p + {Q}), b.p * f.p / (f.p + {Q})
+  FROM b JOIN f ON f.series_id = b.series_id AND f.t = b.t - 1)
+SELECT series_id, t, round(x, 6) AS x_smooth, round(p, 6) AS p_smooth, round(lag1, 6) AS lag1 FROM b""")
+def rts_local_level(spark, sf_dir):
+    return rounded(models.smooth_path(gappy(spark, sf_dir), q=Q, r=R, x0=X0, p0=P0), "x_smooth", "p_smooth", "lag1")
+
+
+_LLT = {"var_level": 1e6, "var_slope": 1e3, "obs_var": 1e8, "initial_level": 1e5, "initial_cov_level": 1e8, "initial_cov_slope": 1e4}
+
+
+@query(f"""
+WITH RECURSIVE d0 AS (SELECT o_orderpriority AS series_id, date_trunc('day', o_orderdate) AS ts, sum(o_totalprice) AS y FROM orders WHERE o_orderpriority IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY 1, 2),
+e0 AS (SELECT min(ts) AS a, max(ts) AS b FROM d0),
+c0 AS (SELECT i.series_id, unnest(generate_series(e0.a, e0.b, INTERVAL 1 DAY)) AS ts FROM (SELECT DISTINCT series_id FROM d0) i, e0),
+s AS (SELECT c0.series_id, date_diff('day', e0.a, c0.ts) AS t, round(d0.y, 2) AS y FROM c0 JOIN e0 ON true LEFT JOIN d0 ON d0.series_id = c0.series_id AND d0.ts = c0.ts),
+k(series_id, t, l, b, p11, p12, p22) AS (
+  SELECT DISTINCT series_id, CAST(-1 AS BIGINT), CAST(1e5 AS DOUBLE), CAST(0 AS DOUBLE), CAST(1e8 AS DOUBLE), CAST(0 AS DOUBLE), CAST(1e4 AS DOUBLE) FROM s
+  UNION ALL
+  SELECT series_id, t,
+    CASE WHEN y IS NULL THEN lp ELSE lp + a11 / (a11 + 1e8) * (y - lp) END,
+    CASE WHEN y IS NULL THEN b ELSE b + a12 / (a11 + 1e8) * (y - lp) END,
+    CASE WHEN y IS NULL THEN a11 ELSE a11 * 1e8 / (a11 + 1e8) END,
+    CASE WHEN y IS NULL THEN a12 ELSE a12 * 1e8 / (a11 + 1e8) END,
+    CASE WHEN y IS NULL THEN a22 ELSE a22 - a12 * a12 / (a11 + 1e8) END
+  FROM (SELECT k.series_id, s.t, s.y, k.l + k.b AS lp, k.b, k.p11 + 2 * k.p12 + k.p22 + 1e6 AS a11, k.p12 + k.p22 AS a12, k.p22 + 1e3 AS a22 FROM k JOIN s ON s.series_id = k.series_id AND s.t = k.t + 1)),
+z AS (SELECT * FROM k WHERE t = (SELECT max(t) FROM s)),
+f(series_id, h, l, b, p11, p12, p22) AS (
+  SELECT series_id, CAST(0 AS BIGINT), l, b, p11, p12, p22 FROM z
+  UNION ALL SELECT series_id, h + 1, l + b, b, p11 + 2 * p12 + p22 + 1e6, p12 + p22, p22 + 1e3 FROM f WHERE h < 7)
+SELECT series_id, h, round(l, 1) AS mean, round(sqrt(p11 + 1e8), 1) AS sd FROM f WHERE h > 0""")
+def llt_forecast(spark, sf_dir):
+    s = src.order_series(spark, sf_dir).withColumn("y", F.round("y", 2))
+    got = models.forecast_fixed(s, ms.local_linear_trend(**_LLT), 7)
+    return got.select("series_id", "h", F.round("mean", 1).alias("mean"), F.round(F.sqrt("variance"), 1).alias("sd"))
+
+
+# ---- impact with fixed variances ---------------------------------------------------------------------------------
+
+_FIRST = "(SELECT z.y FROM s z WHERE z.series_id = s.series_id AND z.t = 0)"
+_IMPACT = DAILY + _filter_sql(x0=_FIRST) + f""",
+e AS (SELECT series_id, x, p FROM k WHERE t = {PRE[1] - 1}),
+a AS (SELECT s.series_id, s.t, s.y, e.x, e.p, s.y - e.x AS effect, sqrt(e.p + (s.t - {POST[0] - 1} + 1) * {Q} + {R}) AS sd FROM s JOIN e ON e.series_id = s.series_id WHERE s.t BETWEEN {POST[0] - 1} AND {POST[1] - 1})"""
+_N = POST[1] - POST[0] + 1
+_TOTAL = f", g AS (SELECT series_id, sum(effect) AS effect, sum(x) AS base, sqrt({_N * _N}.0 * any_value(p) + {Q} * {_N} * {_N + 1} * {2 * _N + 1} / 6.0 + {_N} * {R}) AS sd FROM a GROUP BY 1)"
+
+
+@query(_IMPACT + f" SELECT series_id, t, y, round(x, 6) AS baseline, round(effect, 6) AS effect, round(sd, 6) AS sd, round(effect - {Z05} * sd, 6) AS lower, round(effect + {Z05} * sd, 6) AS upper FROM a")
+def operational_impact_point(spark, sf_dir):
+    return rounded(models.local_level_impact(daily(spark, sf_dir), PRE, POST, Q, R, P0)["point"], "baseline", "effect", "sd", "lower", "upper")
+
+
+@query(_IMPACT + _TOTAL + f" SELECT series_id, round(effect, 6) AS effect, round(sd, 6) AS sd, round(effect - {Z05} * sd, 6) AS lower, round(effect + {Z05} * sd, 6) AS upper FROM g")
+def operational_impact_cumulative(spark, sf_dir):
+    return rounded(models.local_level_impact(daily(spark, sf_dir), PRE, POST, Q, R, P0)["cumulative"], "effect", "sd", "lower", "upper")
+
+
+@query(_IMPACT + _TOTAL + f" SELECT series_id, round(effect / base, 8) AS effect, round(sd / abs(base), 8) AS sd, round(effect / base - {Z05} * sd / abs(base), 8) AS lower, round(effect / base + {Z05} * sd / abs(base), 8) AS upper FROM g")
+def operational_impact_relative(spark, sf_dir):
+    return rounded(models.local_level_impact(daily(spark, sf_dir), PRE, POST, Q, R, P0)["relative"], "effect", "sd", "lower", "upper", to=8)
+
+
+@query(DAILY + _filter_sql() + f""",
+e AS (SELECT series_id, x, p FROM k WHERE t = {PRE[1] - 1}),
+g AS (SELECT e.series_id, sum(s.y - e.x) AS total, sqrt({_N * _N}.0 * any_value(p) + {Q} * {_N} * {_N + 1} * {2 * _N + 1} / 6.0 + {_N} * {R}) AS sd FROM s JOIN e ON e.series_id = s.series_id WHERE s.t BETWEEN {POST[0] - 1} AND {POST[1] - 1} GROUP BY 1)
+SELECT series_id, round(total, 5) AS cumulative, round(sd, 5) AS cumulative_sd, (total - {Z05} * sd > 0) OR (total + {Z05} * sd < 0) AS significant FROM g""")
+def intervention_operational(spark, sf_dir):
+    spec = ms.local_level(Q, R, X0, P0)
+    got = workflows.analyze(daily(spark, sf_dir), PRE, POST, mode="operational", model_spec=spec)["cumulative"]
+    return got.select("series_id", F.round("mean", 5).alias("cumulative"), F.round("sd", 5).alias("cumulative_sd"), "significant")
+
+
+@query(DAILY + f"""
+SELECT series_id, round(avg(y) FILTER (t BETWEEN {PRE[0] - 1} AND {PRE[1] - 1}), 6) AS baseline_mean, round(avg(y) FILTER (t BETWEEN {POST[0] - 1} AND {POST[1] - 1}), 6) AS actual_mean FROM s GROUP BY 1""")
+def campaign_means(spark, sf_dir):
+    spec = ms.local_level(Q, R, X0, P0)
+    got = workflows.campaign_lift(daily(spark, sf_dir), {"name": "c", "start_index": POST[0], "end_index": POST[1], "baseline_start": PRE[0], "baseline_end": PRE[1]}, mode="operational", model_spec=spec)
+    return got.select("series_id", F.round("baseline_mean", 6).alias("baseline_mean"), F.round("actual_mean", 6).alias("actual_mean"))
+
+
+@query("""
+WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders), i AS (SELECT date, CAST(row_number() OVER (ORDER BY date) AS BIGINT) AS i FROM d),
+c AS (SELECT min(date) AS a, max(date) AS z FROM d)
+SELECT 'all' AS name, s.i AS start_index, e.i AS end_index, b.i AS baseline_start_index, f.i AS baseline_end_index FROM c JOIN i s ON s.date = c.z JOIN i e ON e.date = c.z JOIN i b ON b.date = c.a JOIN i f ON f.date = c.a""")
+def marketing_lift_date_lookup(spark, sf_dir):
+    dates = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.to_date("o_orderdate").alias("date"))
+    ends = dates.agg(F.min("date").alias("a"), F.max("date").alias("z"))
+    campaigns = ends.select(F.lit("all").alias("name"), F.col("z").alias("start_date"), F.col("z").alias("end_date"), F.col("a").alias("baseline_start_date"), F.col("a").alias("baseline_end_date"))
+    return workflows.campaign_indices(dates, campaigns).select("name", "start_index", "end_index", "baseline_start_index", "baseline_end_index")
+
+
+# ---- attribution -------------------------------------------------------------------------------------------------
+
+_GROUPS = """,
+o AS (SELECT *, CASE WHEN max(we) OVER v IS NULL OR ws >= max(we) OVER v THEN 1 ELSE 0 END AS fresh FROM w WINDOW v AS (PARTITION BY series_id ORDER BY ws, we, spot_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT series_id, spot_id, ws, we, CAST(sum(fresh) OVER (PARTITION BY series_id ORDER BY ws, we, spot_id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS group_id FROM o)"""
+
+
+@query(CF + _GROUPS + " SELECT * FROM g")
+def overlap_groups(spark, sf_dir):
+    return attribution.overlap_groups(windows(spark, sf_dir))
+
+
+@query(CF + " SELECT w.series_id, spot_id, ws, we, round(sum(y - cf_mean), 4) AS lift, round(sum(cf_var + 0.5), 4) AS variance FROM w JOIN cf ON cf.series_id = w.series_id AND t >= ws AND t < we GROUP BY ALL")
+def window_lift(spark, sf_dir):
+    return rounded(attribution.window_lift(counterfactual(spark, sf_dir), windows(spark, sf_dir), 0.5), "lift", "variance", to=4)
+
+
+_UNION = _GROUPS + ", u AS (SELECT series_id, group_id, round(sum(y - cf_mean), 4) AS lift, round(sum(cf_var + 0.5), 4) AS variance FROM (SELECT DISTINCT g.series_id, group_id, t, y, cf_mean, cf_var FROM g JOIN cf ON cf.series_id = g.series_id AND t >= ws AND t < we) GROUP BY ALL)"
+
+
+@query(CF + _UNION + " SELECT * FROM u")
+def coalition_lift(spark, sf_dir):
+    grouped = attribution.overlap_groups(windows(spark, sf_dir))
+    return rounded(attribution.union_lift(counterfactual(spark, sf_dir), grouped, ["group_id"], 0.5), "lift", "variance", to=4)
+
+
+@query(CF + _UNION + " SELECT series_id, round(sum(lift), 3) AS total_lift FROM u GROUP BY 1")
+def attribution_total(spark, sf_dir):
+    got = attribution.attribute(counterfactual(spark, sf_dir), windows(spark, sf_dir), 0.5, samples=2000)
+    return attribution.totals(got).select("series_id", F.round("total_lift", 3).alias("total_lift"))
+
+
+@query()
+def attribution_spots(spark, sf_dir):
+    return attribution.attribute(counterfactual(spark, sf_dir), windows(spark, sf_dir), 0.5, samples=2000)
+
+
+@query("""
+WITH RECURSIVE p AS (SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS i, n_regionkey, CAST(n_nationkey * n_nationkey % 17 + 1 AS DOUBLE) AS w, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k FROM nation),
+m AS (SELECT CAST(range AS BIGINT) AS mask FROM range(32)),
+v AS (SELECT n_regionkey AS group_id, mask, sqrt(coalesce(sum(w * w) FILTER ((mask >> CAST(k AS INTEGER)) & 1 = 1), 0)) AS value FROM p, m GROUP BY ALL),
+b AS (SELECT CAST(range AS INTEGER) AS player FROM range(5))
+SELECT CAST(a.group_id AS BIGINT) AS group_id, player, round(sum((c.value - a.value) * CASE bit_count(a.mask) WHEN 0 THEN 0.2 WHEN 1 THEN 0.05 WHEN 2 THEN 4.0 / 120 WHEN 3 THEN 0.05 ELSE 0.2 END), 8) AS share
+FROM v a JOIN b ON (a.mask >> player) & 1 = 0 JOIN v c ON c.group_id = a.group_id AND c.mask = (a.mask | (1 << player)) GROUP BY ALL""")
+def shapley_exact(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    own = n.select(F.col("n_regionkey").cast("long").alias("group_id"), ((F.col("n_nationkey") * F.col("n_nationkey")) % 17 + 1).cast("double").alias("w"), (F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).alias("k"))
+    masks = spark.range(32).select(F.col("id").alias("mask"))
+    # 25 rows by 32 coalitions: the lattice of a table of fixed size.
+    on = F.when(F.expr("shiftright(mask, k)").bitwiseAND(1) == 1, F.col("w") * F.col("w")).otherwise(F.lit(0.0))
+    worth = own.crossJoin(F.broadcast(masks)).groupBy("group_id", "mask").agg(F.sqrt(F.sum(on)).alias("value"))
+    return rounded(attribution.shapley_exact(worth, 5), "share", to=8)
+
+
+_SPOTLIFT = CF + _GROUPS + ", x AS (SELECT g.series_id, group_id, spot_id, ws, round(sum(y - cf_mean), 4) AS lift FROM g JOIN cf ON cf.series_id = g.series_id AND t >= ws AND t < we GROUP BY ALL)"
+
+
+def _spot_lifts(spark, sf_dir) -> DataFrame:
+    grouped = attribution.overlap_groups(windows(spark, sf_dir))
+    lifts = attribution.window_lift(counterfactual(spark, sf_dir), windows(spark, sf_dir)).select("series_id", "spot_id", F.round("lift", 4).alias("lift"))
+    return grouped.join(lifts, ["series_id", "spot_id"]).withColumn("group", F.concat_ws("/", "series_id", F.col("group_id").cast("string")))
+
+
+@query(_SPOTLIFT + """
+SELECT "group", round(sum(lift * w), 4) AS value FROM (
+  SELECT series_id || '/' || group_id AS "group", lift, avg(pow(0.7, r)) OVER (PARTITION BY series_id, group_id, abs(lift)) AS w FROM (
+    SELECT *, row_number() OVER (PARTITION BY series_id, group_id ORDER BY abs(lift) DESC) - 1 AS r FROM x)) GROUP BY 1""")
+def rank_decay_value(spark, sf_dir):
+    return rounded(attribution.rank_decay_value(_spot_lifts(spark, sf_dir), "group", "lift"), "value", to=4)
+
+
+@query(_SPOTLIFT + """
+SELECT "group", round(sum(lift * exp(-ln(2) / 7 * (last - ws))), 4) AS value FROM (SELECT series_id || '/' || group_id AS "group", lift, ws, max(ws) OVER (PARTITION BY series_id, group_id) AS last FROM x) GROUP BY 1""")
+def time_decay_value(spark, sf_dir):
+    return rounded(attribution.time_decay_value(_spot_lifts(spark, sf_dir), "group", "lift", "ws"), "value", to=4)
+
+
+@query(_SPOTLIFT + """
+SELECT series_id, spot_id, round(CASE WHEN abs(s) < 1e-10 THEN 100.0 / n ELSE lift * 100.0 / s END, 4) AS normalized FROM (SELECT *, sum(lift) OVER v AS s, count(*) OVER v AS n FROM x WINDOW v AS (PARTITION BY series_id, group_id))""")
+def normalize_total(spark, sf_dir):
+    lifts = _spot_lifts(spark, sf_dir).withColumn("total", F.lit(100.0))
+    return attribution.normalize_to_total(lifts, "group", "lift", "total").select("series_id", "spot_id", F.round("normalized", 4).alias("normalized"))
+
+
+# ---- draws -------------------------------------------------------------------------------------------------------
+
+DRAWS = """
+WITH v AS (SELECT CAST(label AS VARCHAR) AS series_id, vec_id AS draw, CAST(unnest(generate_series(1, len(embedding))) AS BIGINT) AS h, unnest(embedding)::DOUBLE AS value FROM embeddings),
+l AS (SELECT series_id, h, list_sort(list(value)) AS a, avg(value) AS mean, stddev_samp(value) AS sd, quantile_cont(value, 0.025) AS q0, quantile_cont(value, 0.975) AS q1 FROM v GROUP BY 1, 2)"""
+
+
+@query(DRAWS + " SELECT series_id, h, round(mean, 8) AS mean, round(sd, 8) AS sd, round(q0, 8) AS lower, round(q1, 8) AS upper FROM l")
+def draw_summary_linear(spark, sf_dir):
+    return rounded(draws.summary_interpolated(src.embedding_draws(spark, sf_dir)), "mean", "sd", "lower", "upper", to=8)
+
+
+@query(DRAWS + " SELECT series_id, h, round(mean, 8) AS mean, round(sd, 8) AS sd, a[CAST(floor(0.025 * (len(a) - 1)) AS BIGINT) + 1] AS lower, a[CAST(ceil(0.975 * (len(a) - 1)) AS BIGINT) + 1] AS upper FROM l")
+def draw_summary_outward(spark, sf_dir):
+    return rounded(draws.summary_outward(src.embedding_draws(spark, sf_dir)), "mean", "sd", to=8)
+
+
+@query(DRAWS + " SELECT series_id, h, round(mean, 8) AS mean, round(sd, 8) AS sd, a[CAST(floor(0.5 * (len(a) - 1) + 0.5) AS BIGINT) + 1] AS median, a[CAST(floor(0.025 * (len(a) - 1) + 0.5) AS BIGINT) + 1] AS lower, a[CAST(floor(0.975 * (len(a) - 1) + 0.5) AS BIGINT) + 1] AS upper FROM l")
+def draw_nearest_rank(spark, sf_dir):
+    return rounded(draws.summary_nearest(src.embedding_draws(spark, sf_dir)), "mean", "sd", to=8)
+
+
+@query(DRAWS + """,
+k AS (SELECT series_id, h, a, least(greatest(CAST(ceil(0.95 * len(a)) AS BIGINT), 1), len(a)) AS k FROM l),
+r AS (SELECT series_id, h, a, k, unnest(generate_series(1, len(a) - k + 1)) AS i FROM k),
+m AS (SELECT series_id, h, arg_min(i, (a[i + k - 1] - a[i], a[i])) AS i, any_value(a) AS a, any_value(k) AS k FROM r GROUP BY 1, 2)
+SELECT series_id, h, a[i] AS lower, a[i + k - 1] AS upper FROM m""")
+def hpd(spark, sf_dir):
+    return draws.hpd(src.embedding_draws(spark, sf_dir))
+
+
+@query(DRAWS + " SELECT series_id, h, round(avg(CASE WHEN value < 0.05 THEN 1.0 ELSE 0.0 END), 8) AS probability_below, round(avg(greatest(0.05 - value, 0.0)), 8) AS expected_shortfall, round(coalesce(avg(0.05 - value) FILTER (value < 0.05), 0.0), 8) AS conditional_shortfall FROM v GROUP BY 1, 2")
+def threshold_risk(spark, sf_dir):
+    return rounded(draws.risk(src.embedding_draws(spark, sf_dir), 0.05), "probability_below", "expected_shortfall", "conditional_shortfall", to=8)
+
+
+def _weights(spark) -> DataFrame:
+    return spark.range(1, 65).select(F.col("id").alias("h"), (F.lit(1.0) / F.col("id")).alias("weight"))
+
+
+@query(DRAWS + " SELECT series_id, draw, CAST(1 AS BIGINT) AS h, round(sum(value / h), 8) AS value FROM v GROUP BY 1, 2")
+def weighted_sum(spark, sf_dir):
+    return rounded(draws.weighted_sum(src.embedding_draws(spark, sf_dir), _weights(spark)), "value", to=8)
+
+
+@query(DRAWS + " SELECT series_id, draw, h, round(value * (value * value + 1.0) * 3.0, 8) AS value FROM v")
+def combine_product(spark, sf_dir):
+    d = src.embedding_draws(spark, sf_dir)
+    return rounded(draws.audience(d, draws.mapped(d, lambda v: v * v + 1.0), 3.0), "value", to=8)
+
+
+@query(DRAWS + """,
+d AS (SELECT series_id, draw, sum(value / h) AS value FROM v GROUP BY 1, 2),
+a AS (SELECT series_id, list_sort(list(value)) AS a, avg(value) AS mean, avg(CASE WHEN value < 0.1 THEN 1.0 ELSE 0.0 END) AS p, avg(greatest(0.1 - value, 0.0)) AS s, coalesce(avg(0.1 - value) FILTER (value < 0.1), 0.0) AS c FROM d GROUP BY 1)
+SELECT series_id, round(mean, 8) AS mean, round(a[CAST(floor(0.1 * (len(a) - 1) + 0.5) AS BIGINT) + 1], 8) AS conservative, round(p, 8) AS probability_below, round(s, 8) AS expected_shortfall, round(c, 8) AS conditional_shortfall, round(s / 0.01, 6) AS makegood_units FROM a""")
+def makegood_risk(spark, sf_dir):
+    got = draws.makegood_units(draws.makegood(src.embedding_draws(spark, sf_dir), _weights(spark), 0.1), 0.01)
+    got = rounded(got, "mean", "conservative", "probability_below", "expected_shortfall", "conditional_shortfall", to=8)
+    return got.select("series_id", "mean", "conservative", "probability_below", "expected_shortfall", "conditional_shortfall", F.round("makegood_units", 6).alias("makegood_units"))
+
+
+@query(DRAWS + f" SELECT series_id, h, round(greatest({z_score(0.1)} * sd, 0.0), 8) AS per_period, round({z_score(0.1)} * sqrt(sum(CASE WHEN h <= 5 THEN sd * sd ELSE 0 END) OVER (PARTITION BY series_id)), 8) AS total FROM l")
+def safety_stock(spark, sf_dir):
+    f = draws.summary_interpolated(src.embedding_draws(spark, sf_dir)).select("series_id", "h", "sd")
+    return rounded(draws.safety_stock(f, 0.95, 5), "per_period", "total", to=8)
+
+
+# ---- validation --------------------------------------------------------------------------------------------------
+
+PAIRS = DAILY + ", b AS (SELECT series_id, t, y AS actual, lag(y) OVER (PARTITION BY series_id ORDER BY t) AS baseline FROM s), p AS (SELECT *, actual - baseline AS residual, CAST(1000.0 + t AS DOUBLE) AS variance FROM b WHERE actual IS NOT NULL AND baseline IS NOT NULL)"
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    d = daily(spark, sf_dir)
+    lagged = d.select("series_id", "t", F.col("y").alias("actual"), F.lag("y").over(Window.partitionBy("series_id").orderBy("t")).alias("baseline"))
+    return lagged.filter("actual IS NOT NULL AND baseline IS NOT NULL").withColumn("residual", F.col("actual") - F.col("baseline")).withColumn("variance", (F.lit(1000.0) + F.col("t")).cast("double"))
+
+
+@query(PAIRS + " SELECT series_id, round(sqrt(avg(residual * residual)), 6) AS rmse, round(avg(abs(residual) / greatest(abs(actual), 1.0)), 8) AS mape, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY 1")
+def prediction_error(spark, sf_dir):
+    got = checks.prediction_error(_pairs(spark, sf_dir))
+    return got.select("series_id", F.round("rmse", 6).alias("rmse"), F.round("mape", 8).alias("mape"), "n")
+
+
+@query(PAIRS + f" SELECT series_id, round(avg(CASE WHEN abs(residual) <= {Z05} * sqrt(variance + {R}) THEN 1.0 ELSE 0.0 END), 8) AS pct, CAST(count(*) FILTER (abs(residual) <= {Z05} * sqrt(variance + {R})) AS BIGINT) AS n_covered, CAST(count(*) AS BIGINT) AS n_total FROM p GROUP BY 1")
+def ci_coverage(spark, sf_dir):
+    return rounded(checks.coverage(_pairs(spark, sf_dir), R), "pct", to=8)
+
+
+@query(PAIRS + " SELECT series_id, round(CASE WHEN count(*) < 3 THEN NULL WHEN sum(residual * residual) > 0 THEN sum(d * d) / sum(residual * residual) ELSE 2.0 END, 8) AS statistic, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, residual - lag(residual) OVER (PARTITION BY series_id ORDER BY t) AS d FROM p) GROUP BY 1")
+def durbin_watson(spark, sf_dir):
+    return rounded(checks.durbin_watson(_pairs(spark, sf_dir)), "statistic", to=8)
+
+
+_ASSESS = PAIRS + f""",
+m AS (SELECT series_id, avg(abs(residual) / greatest(abs(actual), 1.0)) AS mape, avg(CASE WHEN abs(residual) <= {Z05} * sqrt(variance + {R}) THEN 1.0 ELSE 0.0 END) AS pct, sum(d * d) / sum(residual * residual) AS dw
+  FROM (SELECT *, residual - lag(residual) OVER (PARTITION BY series_id ORDER BY t) AS d FROM p) GROUP BY 1)
+SELECT series_id, CASE WHEN mape <= 0.1 THEN 'pass' WHEN mape <= 0.2 THEN 'warn' ELSE 'fail' END AS prediction_error,
+  CASE WHEN pct BETWEEN 0.85 AND 0.99 THEN 'pass' WHEN pct BETWEEN 0.8 AND 1.0 THEN 'warn' ELSE 'fail' END AS coverage,
+  CASE WHEN dw BETWEEN 1.5 AND 2.5 THEN 'pass' WHEN dw BETWEEN 1.0 AND 3.0 THEN 'warn' ELSE 'fail' END AS durbin_watson, 'skip' AS placebo, 'skip' AS effect_stability FROM m"""
+
+
+@query(_ASSESS)
+def validation_verdicts(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    both = checks.prediction_error(p).drop("n").join(checks.coverage(p, R), "series_id").join(checks.durbin_watson(p).drop("n"), "series_id")
+    none = {"placebo_significant": F.lit(None).cast("boolean"), "placebo_pct": F.lit(None).cast("double"), "max_pct_change": F.lit(None).cast("double")}
+    return checks.assess(both.withColumns(none))
+
+
+@query(DAILY + ", o AS (SELECT series_id, t, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM s WHERE t < 24) SELECT series_id, t FROM o WHERE i >= n // 2 - 3 AND i < n // 2 - 3 + 6")
+def placebo_window(spark, sf_dir):
+    d = daily(spark, sf_dir).select("series_id", "t")
+    return checks.placebo_window(d, d.filter("t >= 24"))
+
+
+@query(DAILY + ", r AS (SELECT series_id, CAST(count(y) AS BIGINT) AS n, regr_slope(y, t) AS b, regr_sxx(y, t) AS sxx, regr_syy(y, t) AS syy, regr_sxy(y, t) AS sxy FROM s WHERE t < 20 AND y IS NOT NULL GROUP BY 1) SELECT series_id, n, round(b, 6) AS slope, round(sqrt((syy - b * sxy) / (n - 2) / sxx), 6) AS slope_se, round(b / sqrt((syy - b * sxy) / (n - 2) / sxx), 6) AS t_statistic, abs(b / sqrt((syy - b * sxy) / (n - 2) / sxx)) > 2 AS significant_trend FROM r")
+def pretrend_ols(spark, sf_dir):
+    return rounded(workflows.pre_trend_check(daily(spark, sf_dir), 1, 21), "slope", "slope_se", "t_statistic")
+
+
+CHAINS = """
+WITH c AS (SELECT l_returnflag AS param, CAST(l_linenumber AS INTEGER) AS chain, row_number() OVER (PARTITION BY l_returnflag, l_linenumber ORDER BY l_orderkey, l_extendedprice) AS i, CAST(l_extendedprice AS DOUBLE) AS value FROM lineitem),
+n AS (SELECT param, min(k) AS n FROM (SELECT param, chain, count(*) AS k FROM c GROUP BY 1, 2) GROUP BY 1),
+e AS (SELECT c.param, chain, n.n, avg(value) AS mean, var_samp(value) AS var FROM c JOIN n ON n.param = c.param WHERE i <= n.n GROUP BY 1, 2, 3),
+p AS (SELECT param, n, count(*) AS m, avg(var) AS w, (n - 1) / n * avg(var) + var_samp(mean) AS v FROM e GROUP BY 1, 2)"""
+
+
+@query(CHAINS + " SELECT param, round(sqrt(v / w), 8) AS r_hat FROM p")
+def r_hat(spark, sf_dir):
+    return rounded(checks.r_hat(src.price_chains(spark, sf_dir)), "r_hat", to=8)
+
+
+@query(CHAINS + " SELECT param, round(least(m * n * w / v, m * n), 4) AS ess FROM p")
+def ess_multi(spark, sf_dir):
+    return rounded(checks.effective_sample_size(src.price_chains(spark, sf_dir)), "ess", to=4)
+
+
+@query("""
+WITH c AS (SELECT l_returnflag AS param, CAST(l_linenumber AS INTEGER) AS chain, row_number() OVER v AS i, count(*) OVER (PARTITION BY l_returnflag, l_linenumber) AS k, CAST(l_extendedprice AS DOUBLE) AS value FROM lineitem WINDOW v AS (PARTITION BY l_returnflag, l_linenumber ORDER BY l_orderkey, l_extendedprice)),
+h AS (SELECT param, chain, CASE WHEN i <= k // 2 THEN 0 WHEN i > k - k // 2 THEN 1 END AS side, k // 2 AS n, value FROM c WHERE k >= 4),
+e AS (SELECT param, chain, side, n, avg(value) AS mean, var_samp(value) AS var FROM h WHERE side IS NOT NULL GROUP BY ALL),
+p AS (SELECT param, chain, avg(var) AS w, (any_value(n) - 1) / any_value(n) * avg(var) + var_samp(mean) AS v FROM e GROUP BY 1, 2)
+SELECT param, chain, round(sqrt(v / w), 8) AS r_hat FROM p""")
+def split_r_hat(spark, sf_dir):
+    return rounded(checks.split_r_hat(src.price_chains(spark, sf_dir)), "r_hat", to=8)
+
+
+@query()
+def chain_diagnostics(spark, sf_dir):
+    return checks.chain_diagnostics(src.price_chains(spark, sf_dir))
+
+
+# ---- controls, autoregression, signals ---------------------------------------------------------------------------
+
+
+@query(DAILY + """,
+t AS (SELECT t, y FROM s WHERE series_id = 'click'), r AS (SELECT x.series_id AS control_id, corr(x.y, t.y) AS r FROM s x JOIN t ON t.t = x.t WHERE x.series_id <> 'click' GROUP BY 1),
+o AS (SELECT control_id, round(r, 8) AS r, CAST(row_number() OVER (ORDER BY abs(r) DESC, control_id) AS INTEGER) AS "rank" FROM r WHERE abs(r) >= 0.01)
+SELECT * FROM o WHERE "rank" <= 3""")
+def pearson_topk(spark, sf_dir):
+    d = daily(spark, sf_dir)
+    controls = d.filter("series_id <> 'click'").select(F.col("series_id").alias("control_id"), "t", "y")
+    return rounded(models.pearson_controls(d.filter("series_id = 'click'"), controls, 0.01, 3), "r", to=8)
+
+
+@query(DAILY + """,
+x AS (SELECT series_id, y, lag(y) OVER (PARTITION BY series_id ORDER BY t) AS z FROM s),
+m AS (SELECT series_id, count(*) + 1e-6 AS n, sum(z) AS sz, sum(z * z) + 1e-6 AS szz, sum(y) AS sy, sum(z * y) AS szy FROM x WHERE z IS NOT NULL GROUP BY 1)
+SELECT series_id, round((szz * sy - sz * szy) / (n * szz - sz * sz), 2) AS intercept, round((n * szy - sz * sy) / (n * szz - sz * sz), 5) AS slope FROM m""")
+def ar1_ridge(spark, sf_dir):
+    return models.ar_fit(daily(spark, sf_dir), 1).select("series_id", F.round(F.get("coefficients", F.lit(0)), 2).alias("intercept"), F.round(F.get("coefficients", F.lit(1)), 5).alias("slope"))
+
+
+@query(HOURLY + ", a AS (SELECT series_id, sum(coalesce(y, 0.0) * (1 - pow(0.5, (SELECT max(t) FROM s) - t + 1)) / 0.5) AS total FROM s GROUP BY 1) SELECT series_id, round(total, 3) AS total FROM a")
+def adstock_total(spark, sf_dir):
+    h = hourly(spark, sf_dir).groupBy("series_id").agg(c.history(F.col("t"), F.coalesce("y", F.lit(0.0)).alias("y")).alias("v"))
+    return h.select("series_id", F.round(c.adstock_total(F.transform("v", lambda s: s["y"]), 0.5), 3).alias("total"))
+
+
+@query(DAILY + ", k(series_id, t, a) AS (SELECT series_id, t, y FROM s WHERE t = 0 UNION ALL SELECT s.series_id, s.t, s.y + 0.6 * k.a FROM k JOIN s ON s.series_id = k.series_id AND s.t = k.t + 1) SELECT series_id, t, round(a, 4) AS adstock, round(pow(a, 2.0) / (pow(a, 2.0) + 64000000.0), 8) AS saturated FROM k")
+def adstock_hill(spark, sf_dir):
+    d = daily(spark, sf_dir).groupBy("series_id").agg(c.history(F.col("t"), F.coalesce("y", F.lit(0.0)).alias("y")).alias("v"))
+    path = d.select("series_id", F.posexplode(c.adstock_path(F.transform("v", lambda s: s["y"]), 0.6)).alias("t", "a"))
+    return path.select("series_id", F.col("t").cast("long").alias("t"), F.round("a", 4).alias("adstock"), F.round(c.hill(F.col("a"), 8000.0, 2.0), 8).alias("saturated"))
+
+
+_A = scenarios()["a"]
+
+
+@query(f"""
+SELECT CAST(range AS BIGINT) AS t, round(50.0 + 0.5 * range / 1440.0 + 10.0 * sin(2 * pi() * range / 1440.0) + 5.0 * cos(2 * pi() * range / 1440.0) + 3.0 * sin(4 * pi() * range / 1440.0) + 2.0 * cos(4 * pi() * range / 1440.0) + 4.0 * sin(2 * pi() * range / 10080.0) + 3.0 * cos(2 * pi() * range / 10080.0), 6) AS baseline FROM range({_A["total"]})""")
+def fourier_baseline(spark, sf_dir):
+    return rounded(synthetic.baseline(spark, _A["total"], _A["baseline"]), "baseline")
+
+
+# ---- anomalies ---------------------------------------------------------------------------------------------------
+
+_TRAIN = 480
+_ANOMALY = HOURLY + f""",
+i AS (SELECT series_id, coalesce(arg_min(y, t) FILTER (y IS NOT NULL), 0.0) AS x FROM s WHERE t < {_TRAIN} GROUP BY 1),
+k(series_id, t, xp, pp, x, p) AS (
+  SELECT series_id, CAST(-1 AS BIGINT), x, CAST(100 AS DOUBLE), x, CAST(100 AS DOUBLE) FROM i
+  UNION ALL
+  SELECT k.series_id, s.t, k.x, k.p + 4.0, CASE WHEN s.y IS NULL THEN k.x ELSE k.x + (k.p + 4.0) / (k.p + 4.0 + 4000.0) * (s.y - k.x) END, CASE WHEN s.y IS NULL THEN k.p + 4.0 ELSE (k.p + 4.0) * 4000.0 / (k.p + 4.0 + 4000.0) END
+  FROM k JOIN s ON s.series_id = k.series_id AND s.t = k.t + 1),
+a AS (SELECT s.series_id, s.t, s.y AS value, xp AS predicted, sqrt(pp + 4000.0) AS predicted_sd, coalesce((s.y - xp) / sqrt(pp + 4000.0), 0.0) AS z FROM k JOIN s ON s.series_id = k.series_id AND s.t = k.t WHERE s.t >= {_TRAIN}),
+b AS (SELECT *, abs(z) > {Z01} AS anomaly, CASE WHEN abs(z) > {2 * Z01} THEN 'critical' WHEN abs(z) > {Z01} THEN 'warning' ELSE 'normal' END AS severity FROM a)"""
+
+
+def _scores(spark, sf_dir) -> DataFrame:
+    return models.anomaly_scores(hourly(spark, sf_dir), _TRAIN, q=4.0, r=4000.0, p0=100.0)
+
+
+@query(_ANOMALY + " SELECT series_id, t, value, round(predicted, 5) AS predicted, round(predicted_sd, 5) AS predicted_sd, round(z, 6) AS z_score, anomaly, severity FROM b")
+def anomaly_scores(spark, sf_dir):
+    s = _scores(spark, sf_dir).drop("residual", "p_value").withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    return s.select("series_id", "t", "value", F.round("predicted", 5).alias("predicted"), F.round("predicted_sd", 5).alias("predicted_sd"), F.round("z_score", 6).alias("z_score"), "anomaly", "severity")
+
+
+@query(_ANOMALY + " SELECT series_id, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (anomaly) AS BIGINT) AS anomalies, CAST(count(*) FILTER (severity = 'warning') AS BIGINT) AS warnings, CAST(count(*) FILTER (severity = 'critical') AS BIGINT) AS criticals, round(avg(CASE WHEN anomaly THEN 1.0 ELSE 0.0 END), 8) AS anomaly_rate, round(max(abs(z)), 6) AS max_abs_z FROM b GROUP BY 1")
+def anomaly_summary(spark, sf_dir):
+    got = models.anomaly_summary(_scores(spark, sf_dir))
+    return got.select("series_id", "total", "anomalies", "warnings", "criticals", F.round("anomaly_rate", 8).alias("anomaly_rate"), F.round("max_abs_z", 6).alias("max_abs_z"))
+
+
+@query(_ANOMALY + " SELECT series_id, t, severity FROM b WHERE anomaly")
+def anomaly_detect(spark, sf_dir):
+    return models.detect(_scores(spark, sf_dir)).select("series_id", "t", "severity")
+
+
+@query()
+def online_scores(spark, sf_dir):
+    """The streaming scorer over the whole hourly table, as one batch."""
+    return online.score_stream(hourly(spark, sf_dir).select("series_id", "ts", "y"), 4.0, 4000.0, 100.0)
+
+
+# ---- sampling: no SQL, tested on simulated truth ------------------------------------------------------------------
+
+
+@query()
+def gibbs_scalar_chains(spark, sf_dir):
+    return models.chains(daily(spark, sf_dir), 2, 100, 50, seed=7).select("series_id", "chain", "draw", "obs_var", "q", "x_last")
+
+
+@query()
+def gibbs_structured(spark, sf_dir):
+    spec = ms.compose(ms.local_linear_trend(Q, 1.0, R, X0, 0.0, P0, 10.0), ms.seasonal(7, 100.0, initial_cov=1e4))
+    return models.chains(daily(spark, sf_dir), 1, 40, 20, spec=spec, seed=7).select("series_id", "chain", "draw", "obs_var", "q", "x_last")
+
+
+@query()
+def seasonal_forecast(spark, sf_dir):
+    spec = ms.compose(ms.local_linear_trend(Q, 1.0, R, X0, 0.0, P0, 10.0), ms.seasonal(7, 100.0, initial_cov=1e4))
+    return models.forecast_fixed(daily(spark, sf_dir), spec, 14)
+
+
+@query()
+def forecaster_predict(spark, sf_dir):
+    return draws.summary_outward(models.forecast_draws(daily(spark, sf_dir), 7, 200, seed=7))
+
+
+@query()
+def demand_forecast(spark, sf_dir):
+    return workflows.demand_forecast(daily(spark, sf_dir), 7, seasonality=7, samples=40, seed=7)
+
+
+@query()
+def forecast_decompose(spark, sf_dir):
+    spec = ms.compose(ms.local_linear_trend(Q, 1.0, R, X0, 0.0, P0, 10.0), ms.seasonal(7, 100.0, initial_cov=1e4))
+    return models.decompose(daily(spark, sf_dir), spec, 40, seed=7)
+
+
+@query()
+def posterior_moments(spark, sf_dir):
+    return models.scalar_moments(models.chains(daily(spark, sf_dir), 1, 100, 50, seed=7), 7)
+
+
+@query()
+def ar_predict(spark, sf_dir):
+    return draws.summary_interpolated(models.ar_draws(daily(spark, sf_dir), 7, 2, 200, seed=7))
+
+
+@query()
+def impact_bayes(spark, sf_dir):
+    return workflows.effects(workflows.analyze(daily(spark, sf_dir), PRE, POST, samples=200, seed=7))
+
+
+@query()
+def impact_report(spark, sf_dir):
+    return workflows.report(workflows.effects(workflows.analyze(daily(spark, sf_dir), PRE, POST, mode="operational", model_spec=ms.local_level(Q, R, X0, P0))))
+
+
+@query()
+def impact_smoothed(spark, sf_dir):
+    return models.structured_impact(daily(spark, sf_dir), PRE, POST, ms.local_linear_trend(Q, 1.0, R, X0, 0.0, P0, 10.0), baseline="smooth")
+
+
+@query()
+def spike_slab_inclusion(spark, sf_dir):
+    import numpy as np
+
+    t = np.arange(30)
+    x = np.column_stack([np.sin(2 * np.pi * t / 7), np.cos(2 * np.pi * t / 7), (t >= 21).astype(float), t % 2])
+    spec = ms.compose(ms.local_level(Q, R, X0, P0), ms.regression(x, "spike_and_slab"))
+    return models.inclusion(models.chains(daily(spark, sf_dir), 1, 60, 30, spec=spec, seed=7))
+
+
+@query()
+def ssvs_controls(spark, sf_dir):
+    d = daily(spark, sf_dir)
+    controls = d.filter("series_id <> 'click'").select(F.col("series_id").alias("control_id"), "t", "y")
+    return models.search_controls(d.filter("series_id = 'click'"), controls, 200, 100)
+
+
+@query()
+def rolling_baseline(spark, sf_dir):
+    spec = ms.compose(ms.local_linear_trend(Q, 1.0, R, X0, 0.0, P0, 10.0), ms.seasonal(7, 100.0, initial_cov=1e4))
+    return models.rolling_baseline(daily(spark, sf_dir), spec, 7, samples=40, burn_in=20, seed=7)
+
+
+def _spots(spark, sf_dir) -> DataFrame:
+    own = spark.createDataFrame([("a", 0, 4), ("b", 3, 6), ("c", 7, 9)], "spot_id string, ws long, we long")
+    return daily(spark, sf_dir).select("series_id").distinct().crossJoin(F.broadcast(own))
+
+
+@query()
+def pipeline_operational(spark, sf_dir):
+    return workflows.run_pipeline(daily(spark, sf_dir), PRE, POST, _spots(spark, sf_dir), ms.local_level(Q, R, X0, P0))[0]
+
+
+@query()
+def pipeline_bayesian(spark, sf_dir):
+    return workflows.run_pipeline(daily(spark, sf_dir), PRE, POST, _spots(spark, sf_dir), mode="bayesian", samples=100, seed=7)[0]
+
+
+@query()
+def marketing_multi(spark, sf_dir):
+    campaigns = [
+        {"name": "x", "start_index": 22, "end_index": 26, "baseline_start": 1, "baseline_end": 21},
+        {"name": "y", "start_index": 25, "end_index": 28, "baseline_start": 1, "baseline_end": 21},
+        {"name": "z", "start_index": 29, "end_index": 30, "baseline_start": 1, "baseline_end": 28},
+    ]
+    return workflows.campaigns_lift(daily(spark, sf_dir), campaigns, samples=100, seed=7)
+
+
+@query()
+def policy_multi_metric(spark, sf_dir):
+    return workflows.policy_effect(daily(spark, sf_dir), 1, 20, 30, lag=2, samples=100, seed=7)
+
+
+@query()
+def simulated_states(spark, sf_dir):
+    return models.simulate_states(gappy(spark, sf_dir), 20, Q, R, X0, P0, 7)
+
+
+@query()
+def scenario_series(spark, sf_dir):
+    return synthetic.scenario_series(spark)
