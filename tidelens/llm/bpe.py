@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelens.llm.common import in_blocks, pack, part_of, unpack
+from tidelens.llm.common import in_blocks, opened, pack, part_of, unpack
 
 #: Characters whose classes and lower case every Unicode version shares; other texts take the library's own steps.
 _PLAIN = re.compile(r"[\x09-\x0d\x20-\x7e\xa0-ɏ]*")
@@ -32,7 +32,7 @@ class Splitter:
     """A tokenizer file's words and their ids.
 
     A word is a run of a text that the file's split pattern never crosses the ends of: between white space in plain texts,
-    a piece of the library's own split in others, or a special token. So a text's ids are its words' ids in order.
+    a piece of the library's own split in others, or a special token after a space, which no other word holds. So a text's ids are its words' ids in order.
     """
 
     def __init__(self, path: str):
@@ -59,7 +59,7 @@ class Splitter:
             return self._part(text)
         out, at = [], 0
         for m in self.cut.finditer(text):
-            out += [*self._part(text[at : m.start()]), m[0]]
+            out += [*self._part(text[at : m.start()]), " " + m[0]]
             at = m.end()
         return out + self._part(text[at:])
 
@@ -68,11 +68,11 @@ class Splitter:
         out: list[np.ndarray] = []
         for i in range(0, len(words), _AT_ONCE):
             part = words[i : i + _AT_ONCE]
-            found = self.inner.encode(" ".join("" if w in self.special else w for w in part), add_special_tokens=False)
-            ends = np.cumsum([1 if w in self.special else len(w) + 1 for w in part])
+            found = self.inner.encode(" ".join("" if w[0] == " " else w for w in part), add_special_tokens=False)
+            ends = np.cumsum([1 if w[0] == " " else len(w) + 1 for w in part])
             at = np.searchsorted(np.array([a for a, _ in found.offsets], np.int64), ends)
             out += np.split(np.array(found.ids, np.uint32), at[:-1])
-        return [np.array([self.special[w]], np.uint32) if w in self.special else x for w, x in zip(words, out, strict=True)]
+        return [np.array([self.special[w[1:]]], np.uint32) if w[0] == " " else x for w, x in zip(words, out, strict=True)]
 
     @cached_property
     def pieces(self) -> list[str]:
@@ -115,7 +115,7 @@ def encode(docs: DataFrame, path: str, keep: str = "doc_id", text: str = "text",
     blocks, parts = in_blocks(docs, [keep], text)
 
     def ask(table: pa.Table) -> pa.Table:
-        _, ranges = _distinct(splitter(path), table.column("text").to_pylist(), parts)
+        _, ranges = _distinct(splitter(path), opened(table).column("text").to_pylist(), parts)
         filled = [(p, words) for p, words in enumerate(ranges) if words]
         block = table.column("block")[0].as_py()
         return pa.table({
@@ -143,7 +143,7 @@ def encode(docs: DataFrame, path: str, keep: str = "doc_id", text: str = "text",
     names = [keep, "n_tokens", *(["ids", "decoded"] if output == "ids" else ["ids_sha256", "decoded_sha256"])]
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        split = splitter(path)
+        split, left = splitter(path), opened(left)
         seqs, ranges = _distinct(split, left.column("text").to_pylist(), parts)
         got = {p: (c, i) for p, c, i in zip(*(right.column(x).to_pylist() for x in ("part", "counts", "ids")), strict=True)}
         if set(got) != {p for p, words in enumerate(ranges) if words}:

@@ -102,14 +102,36 @@ BLOCK_BYTES = 16 << 20
 def in_blocks(docs: DataFrame, keep: list[str], text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """docs' columns in keep and text (null: empty), dealt into blocks of about block_bytes of text, and the number of blocks.
 
-    A row's block follows from its own values, so a lost task rebuilds the same block, and a hot source or many copies
-    with ids of their own spread over all blocks.
+    Rows are block and rows: the rows that a task has for the block, compressed together (see opened). A row's block
+    follows from its own values, so a lost task rebuilds the same block, and a hot source or many copies with ids of their
+    own spread over all blocks.
     """
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.pmod(F.xxhash64(*keep, body), F.lit(n)).cast("int").alias("block"), *keep, body.alias("text"))
-    return rows.repartition(n, "block"), n
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            order = np.argsort(blocks, kind="stable")
+            ordered = pa.RecordBatch.from_arrays(batch.columns[1:], [*keep, "text"]).take(pa.array(order))
+            first = np.flatnonzero(np.diff(blocks[order], prepend=-1))
+            blobs = []
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(blocks)], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, ordered.schema, options=options) as out:
+                    out.write_batch(ordered.slice(a, b - a))
+                blobs.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[order][first], pa.int32()), pa.array(blobs, pa.binary())], ["block", "rows"])
+
+    return rows.mapInArrow(bundle, "block int, rows binary").repartition(n, "block"), n
+
+
+def opened(table: pa.Table) -> pa.Table:
+    """The rows of a block."""
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("rows").to_pylist()]).combine_chunks()
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.common import chain, hash_words, in_blocks, mix, pack, pack_sorted, part_of, unpack, unpack_sorted
+from tidelens.llm.common import chain, hash_words, in_blocks, mix, opened, pack, pack_sorted, part_of, unpack, unpack_sorted
 
 ORDER = 2  # words of the longest n-grams; the disk for questions grows with it
 MU = 64.0
@@ -160,9 +160,10 @@ def score(docs: DataFrame, train: str, keep: list[str], text: str = "text", orde
         return np.unique(np.concatenate([k[grams.place >= i] for i, k in enumerate(grams.keys)]))
 
     def ask(table: pa.Table) -> pa.Table:
-        grams = Grams(table.column("text").to_pylist(), order)
+        rows = opened(table)
+        grams = Grams(rows.column("text").to_pylist(), order)
         keys = keys_of(grams)
-        train_ = np.repeat(table.column("train_").to_numpy(zero_copy_only=False).astype(bool), grams.sizes + 1)
+        train_ = np.repeat(rows.column("train_").to_numpy(zero_copy_only=False).astype(bool), grams.sizes + 1)
         counts = np.zeros(len(keys), np.uint64)
         for i, k in enumerate(grams.keys):
             found, times = np.unique(k[train_ & (grams.place >= i)], return_counts=True)
@@ -187,6 +188,7 @@ def score(docs: DataFrame, train: str, keep: list[str], text: str = "text", orde
         return pa.table({"block": table.column("block"), "part": table.column("part"), "counts": pa.array(blobs, pa.binary())})
 
     def traverse(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = opened(left)
         grams = Grams(left.column("text").to_pylist(), order)
         keys = keys_of(grams)
         got = dict(zip(right.column("part").to_pylist(), right.column("counts").to_pylist(), strict=True))
