@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelens.kernels.linalg import z_score
 
@@ -122,13 +123,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     """Standard normal distribution function; Spark SQL has none."""
     return z.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)) if v == v and v is not None else None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_positive(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """P(effect > 0) of a normal effect with a mean and a variance; 1, 0 or 1/2 without variance."""
 

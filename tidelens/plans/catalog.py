@@ -16,8 +16,8 @@ from tidelens.kernels.linalg import z_score
 from tidelens.kernels.series import scenarios
 from tidelens.operators import attribution, checks, draws, models
 from tidelens.plans import workflows
+from tidelens.sources import scratch, synthetic
 from tidelens.sources import series as src
-from tidelens.sources import synthetic
 from tidelens.streaming import online
 
 Q, R, P0, X0 = 400.0, 20000.0, 10000.0, 3300.0  # of the daily event series
@@ -553,10 +553,22 @@ def anomaly_detect(spark, sf_dir):
     return models.detect(_scores(spark, sf_dir)).select("series_id", "t", "severity")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE s AS (SELECT event_type AS series_id, ts, value AS y, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS n FROM events WHERE event_type IS NOT NULL),
+k(series_id, n, ts, y, xp, pp, x, p) AS (
+  SELECT series_id, n, ts, y, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), y, CAST(100 AS DOUBLE) FROM s WHERE n = 1
+  UNION ALL
+  SELECT s.series_id, s.n, s.ts, s.y, k.x, k.p + 1.0, k.x + (k.p + 1.0) / (k.p + 1.0 + 800.0) * (s.y - k.x), (k.p + 1.0) * (1 - (k.p + 1.0) / (k.p + 1.0 + 800.0)) FROM k JOIN s ON s.series_id = k.series_id AND s.n = k.n + 1)
+SELECT series_id, ts, y AS value, round(xp, 6) AS predicted, round((y - xp) / sqrt(pp + 800.0), 6) AS z_score, abs((y - xp) / sqrt(pp + 800.0)) > {Z05} AS anomaly FROM k WHERE n > 1""")
 def online_scores(spark, sf_dir):
-    """The streaming scorer over the whole hourly table, as one batch."""
-    return online.score_stream(hourly(spark, sf_dir).select("series_id", "ts", "y"), 4.0, 4000.0, 100.0)
+    """The streaming scorer over the events, as a stream that ends with the table; results go to a file sink."""
+    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parquet*")
+    keyed = events.filter("event_type IS NOT NULL").select(F.col("event_type").alias("series_id"), "ts", F.col("value").alias("y"))
+    path = scratch.scratch_path(spark, "online")
+    scored = online.score_stream(keyed, 1.0, 800.0, 100.0, 0.05)
+    scored.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    got = spark.read.schema(online.SCHEMA).parquet(f"{path}/rows")
+    return got.select("series_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "value", F.round("predicted", 6).alias("predicted"), F.round("z_score", 6).alias("z_score"), "anomaly")
 
 
 # ---- sampling: no SQL, tested on simulated truth ------------------------------------------------------------------
