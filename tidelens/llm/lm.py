@@ -1,13 +1,14 @@
 """Language-model scores from a weighted backoff automaton.
 
 Training. Every n-gram with a count in the training texts is an arc from its context's state; the state of a context has a
-failure arc to the state of the context without its first word. Probabilities are smoothed hierarchically: with c the
-training counts, k the order and MU the weight of the order below,
+failure arc to the state of the context without its first word. Probabilities are interpolated down the orders: with c the
+training counts and a weight L of the order below for each order and size of the context's count,
 
-    P1(w) = (c(w) + 1) / (N + V + 1)        Pk(w | h) = (c(h w) + MU Pk-1(w | h')) / (c(h) + MU)
+    P1(w) = (c(w) + 1) / (N + V + 1)        Pk(w | h) = (1 - L) c(h w) / c(h) + L Pk-1(w | h')
 
-so an arc weighs log10 Pk(w | h) and a failure arc log10(MU / (c(h) + MU)); the probabilities after any history sum to 1,
-with one share for all unknown words.
+so an arc weighs log10 Pk(w | h) and a failure arc log10 L; the probabilities after any history sum to 1, with one share
+for all unknown words. The weights L maximize the likelihood of all training tokens, each predicted from counts without
+itself.
 
 Scoring. One left-to-right traversal of a text carries its state: at each word it takes failure arcs until the state has
 an arc for the word, adds up the weights and goes to the state of the longest known context.
@@ -26,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.common import chain, hash_words, in_blocks, mix, opened, pack, pack_sorted, part_of, unpack, unpack_sorted
+from tidelens.llm.common import chain, hash_words, in_blocks, mix, opened, pack, pack_sorted, part_of, unpack, unpack_sorted, written
 
 ORDER = 2  # words of the longest n-grams; the disk for questions grows with it
-MU = 64.0
 BLOCK_BYTES = 8 << 20
+SIZES, RATIOS = 48, 130  # classes of contexts by the logarithm of their counts, and of a token's two estimates by their ratio's
 _START, _END = mix(np.array([1, 2], np.uint64) * np.uint64(0xA0761D6478BD642F))  # keys of a text's start and end
 
 
@@ -40,19 +41,29 @@ class Grams:
     def __init__(self, texts: list[str | None], order: int):
         words = hash_words([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts])
         n = np.diff(words.starts)
-        self.starts = np.concatenate([[0], np.cumsum(n + 2)])
+        self._places(n + 1)
         total = int(self.starts[-1])
         one = np.empty(total, np.uint64)
         inside = np.ones(total, bool)
         inside[self.starts[:-1]] = inside[self.starts[1:] - 1] = False
         one[inside] = words.hashes
         one[self.starts[:-1]], one[self.starts[1:] - 1] = _START, _END
-        #: A symbol's place in its text; an n-gram of k words ends at places from k - 1 on.
-        self.place = np.arange(total) - np.repeat(self.starts[:-1], n + 2)
         self.keys = [one]
         for _ in range(1, order):
             self.keys.append(np.concatenate([one[:1], chain(self.keys[-1][:-1], one[1:])]))
-        self.sizes = n + 1  # tokens: the words and the end
+
+    def _places(self, sizes: np.ndarray) -> None:
+        self.sizes = sizes  # tokens of each text: the words and the end
+        self.starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+        #: A symbol's place in its text; an n-gram of k words ends at places from k - 1 on.
+        self.place = np.arange(int(self.starts[-1])) - np.repeat(self.starts[:-1], sizes + 1)
+
+    @classmethod
+    def of_sizes(cls, sizes: np.ndarray) -> Grams:
+        """Places alone, without the texts."""
+        self = cls.__new__(cls)
+        self._places(sizes)
+        return self
 
 
 def statistics(docs: DataFrame, text: str, train: str, parts: int) -> tuple[int, int]:
@@ -94,22 +105,66 @@ def statistics(docs: DataFrame, text: str, train: str, parts: int) -> tuple[int,
     return n, v + (1 if n else 0)  # the end is a token
 
 
+def size_class(context: np.ndarray) -> np.ndarray:
+    """0 for a context without a count, then 1 and on by powers of 2."""
+    return np.where(context > 0, np.minimum(np.log2(np.maximum(context, 1)).astype(np.int64) + 1, SIZES - 1), 0)
+
+
+def ratios(grams: Grams, counts: list[np.ndarray], train: np.ndarray, n: int, v: int) -> np.ndarray:
+    """For each order above 1 and size class how often the ratio of a training token's two estimates is in each class.
+
+    The estimates are those of the order and of the one below (with even weights further down), without the token itself;
+    class 0: the order has not seen the n-gram elsewhere; else 1 + 4 log2(ratio) + 40, within bounds.
+    """
+    out = np.zeros((len(counts) - 1, SIZES, RATIOS), np.int64)
+    lower = np.maximum(counts[0], 1) / max(n + v, 1)
+    for k in range(1, len(counts)):
+        context = np.concatenate([[0], counts[k - 1][:-1]])
+        here = train & (grams.place >= k) & (context > 1)
+        own = np.where(context > 1, (counts[k] - 1) / np.maximum(context - 1, 1), 0.0)
+        at = np.flatnonzero(here)
+        r = own[at] / lower[at]
+        kind = np.where(r > 0, np.clip(41 + 4 * np.log2(np.maximum(r, 1e-30)), 1, RATIOS - 1), 0).astype(np.int64)
+        np.add.at(out[k - 1], (size_class(context[at]), kind), 1)
+        lower = np.where(context > 1, (own + lower) / 2, lower)
+    return out
+
+
+def weights(counted: np.ndarray) -> np.ndarray:
+    """The weight of the order below for each order above 1 and size class, by expectation maximization on the classes.
+
+    A class without tokens takes the weight of the next smaller one; contexts with no count or one leave all to the order
+    below, or half.
+    """
+    r = np.concatenate([[0.0], 2.0 ** ((np.arange(1, RATIOS) - 41 + 0.5) / 4)])
+    out = np.ones(counted.shape[:2])
+    for k, by_size in enumerate(counted):
+        last = 0.5
+        for b in range(1, SIZES):
+            total = by_size[b].sum()
+            x = last
+            for _ in range(200 if total else 0):
+                x = float((by_size[b] * (x / (x + (1 - x) * r))).sum() / total)
+            out[k, b] = last = min(max(x, 1e-4), 1 - 1e-4)
+    return out
+
+
 class Automaton:
     """The states and arcs that some texts can reach: weights by n-gram, aligned with the texts' symbols."""
 
-    def __init__(self, grams: Grams, counts: list[np.ndarray], n: int, v: int, mu: float = MU):
+    def __init__(self, grams: Grams, counts: list[np.ndarray], n: int, v: int, below: np.ndarray):
         self.grams, self.counts = grams, counts
-        order = len(counts)
         p = (counts[0] + 1.0) / (n + v + 1.0)
         self.base = np.log10(p)
         #: arcs[k][t]: weight of the arc of the n-gram of k + 1 words that ends at t; fails[k][t]: of the failure arc of
         #: the state of the k + 1 words before t.
         self.arcs, self.fails = [self.base], []
-        for k in range(1, order):
-            context = np.concatenate([[0], counts[k - 1][:-1]]).astype(np.float64)
-            p = np.where(grams.place >= k, (counts[k] + mu * p) / (context + mu), p)
+        for k in range(1, len(counts)):
+            context = np.concatenate([[0], counts[k - 1][:-1]])
+            share = np.where(grams.place >= k, below[k - 1][size_class(context)], 1.0)
+            p = (1 - share) * counts[k] / np.maximum(context, 1) + share * p
             self.arcs.append(np.log10(p))
-            self.fails.append(np.log10(mu / (context + mu)))
+            self.fails.append(np.log10(share))
 
     def traverse(self) -> np.ndarray:
         """The log10 probability of each text. All texts go on together, a word at a time."""
@@ -142,7 +197,7 @@ class Automaton:
         return out
 
 
-def score(docs: DataFrame, train: str, keep: list[str], text: str = "text", order: int = ORDER, mu: float = MU, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, train: str, keep: list[str], text: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """keep, n_tokens, n_known, train_tokens, base_score and score of each row, from a model of the rows where train holds.
 
     Words are runs between ASCII white space with A-Z in lower case; a text's end is a token. base_score sums
@@ -159,11 +214,13 @@ def score(docs: DataFrame, train: str, keep: list[str], text: str = "text", orde
     def keys_of(grams: Grams) -> np.ndarray:
         return np.unique(np.concatenate([k[grams.place >= i] for i, k in enumerate(grams.keys)]))
 
+    def trained(rows: pa.Table, grams: Grams) -> np.ndarray:
+        return np.repeat(rows.column("train_").to_numpy(zero_copy_only=False).astype(bool), grams.sizes + 1)
+
     def ask(table: pa.Table) -> pa.Table:
         rows = opened(table)
         grams = Grams(rows.column("text").to_pylist(), order)
-        keys = keys_of(grams)
-        train_ = np.repeat(rows.column("train_").to_numpy(zero_copy_only=False).astype(bool), grams.sizes + 1)
+        keys, train_ = keys_of(grams), trained(rows, grams)
         counts = np.zeros(len(keys), np.uint64)
         for i, k in enumerate(grams.keys):
             found, times = np.unique(k[train_ & (grams.place >= i)], return_counts=True)
@@ -187,9 +244,10 @@ def score(docs: DataFrame, train: str, keep: list[str], text: str = "text", orde
         blobs = [pack(c) for c in np.split(total[inverse], cuts)]
         return pa.table({"block": table.column("block"), "part": table.column("part"), "counts": pa.array(blobs, pa.binary())})
 
-    def traverse(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = opened(left)
-        grams = Grams(left.column("text").to_pylist(), order)
+    def align(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A block's counts beside its symbols, and what its training tokens say of the weights."""
+        rows = opened(left)
+        grams = Grams(rows.column("text").to_pylist(), order)
         keys = keys_of(grams)
         got = dict(zip(right.column("part").to_pylist(), right.column("counts").to_pylist(), strict=True))
         counts = np.concatenate([unpack(got[p], np.uint64) for p in sorted(got)])
@@ -199,21 +257,47 @@ def score(docs: DataFrame, train: str, keep: list[str], text: str = "text", orde
         for i, k in enumerate(grams.keys):
             at = np.searchsorted(keys, k)
             aligned.append(np.where(grams.place >= i, counts[np.minimum(at, len(keys) - 1)], np.uint64(0)).astype(np.int64))
-        machine = Automaton(grams, aligned, n, v, mu)
-        token = grams.place > 0
-        edges = grams.starts[:-1]
-        base = np.add.reduceat(np.where(token, machine.base, 0.0), edges)
-        hits = np.add.reduceat((token & (aligned[0] > 0)).astype(np.int64), edges)
-        return pa.Table.from_arrays(
-            [*(left.column(c) for c in keep), pa.array(grams.sizes, pa.int64()), pa.array(hits, pa.int64()), pa.array(np.full(len(edges), n), pa.int64()), pa.array(base, pa.float64()), pa.array(machine.traverse(), pa.float64())],
-            [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
+        seen = ratios(grams, aligned, trained(rows, grams), n, v).ravel()
+        full = np.flatnonzero(seen)
+        sink = pa.BufferOutputStream()
+        held = rows.select(keep)
+        with pa.ipc.new_stream(sink, held.schema) as out:
+            out.write_table(held)
+        return pa.table({
+            "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+            "sizes": pa.array([pack(grams.sizes.astype(np.int64))], pa.binary()),
+            "counts": pa.array([[pack(c) for c in aligned]], pa.list_(pa.binary())),
+            "place": pa.array([full.tolist()], pa.list_(pa.int32())),
+            "times": pa.array([seen[full].tolist()], pa.list_(pa.int64())),
+        })
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["n_tokens long, n_known long, train_tokens long, base_score double, score double"])
     asked = blocks.groupBy("block").applyInArrow(ask, "part int, block int, keys binary, counts binary")
     answers = asked.repartition(parts, "part").groupBy("part").applyInArrow(answer, "block int, part int, counts binary")
-    return blocks.groupBy("block").cogroup(answers.repartition(n_blocks, "block").groupBy("block")).applyInArrow(traverse, schema)
+    joined = blocks.groupBy("block").cogroup(answers.repartition(n_blocks, "block").groupBy("block"))
+    aligned = written(joined.applyInArrow(align, "rows binary, sizes binary, counts array<binary>, place array<int>, times array<long>"), "aligned")
+    # At most (order - 1) * SIZES * RATIOS rows reach the driver.
+    found = aligned.select(F.explode(F.arrays_zip("place", "times")).alias("x")).groupBy("x.place").agg(F.sum("x.times").alias("n")).collect()
+    counted = np.zeros((order - 1) * SIZES * RATIOS, np.int64)
+    for r in found:
+        counted[r["place"]] = r["n"]
+    below = weights(counted.reshape(order - 1, SIZES, RATIOS))
+
+    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, sizes, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                left = pa.ipc.open_stream(rows).read_all().combine_chunks()
+                grams = Grams.of_sizes(unpack(sizes, np.int64))
+                machine = Automaton(grams, [unpack(c, np.int64) for c in counts], n, v, below)
+                token, edges = grams.place > 0, grams.starts[:-1]
+                base = np.add.reduceat(np.where(token, machine.base, 0.0), edges)
+                hits = np.add.reduceat((token & (machine.counts[0] > 0)).astype(np.int64), edges)
+                got = [pa.array(grams.sizes, pa.int64()), pa.array(hits, pa.int64()), pa.array(np.full(len(edges), n), pa.int64()), pa.array(base, pa.float64()), pa.array(machine.traverse(), pa.float64())]
+                table = pa.Table.from_arrays([*left.columns, *got], [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield from table.to_batches()
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["n_tokens long, n_known long, train_tokens long, base_score double, score double"])
+    return aligned.select("rows", "sizes", "counts").mapInArrow(traverse, schema)
 
 
 def document_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
