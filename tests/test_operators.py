@@ -106,6 +106,19 @@ def test_verdicts_and_quantiles(spark):
     assert tuple(r) == (1, 9, 3, 2.5)
 
 
+def test_all_checks_together(spark):
+    rows = [("a", t, 100.0 + t % 3, 101.0, 1.0) for t in range(20)]
+    pairs = spark.createDataFrame(rows, "series_id string, t long, actual double, baseline double, variance double")
+    r = checks.evaluate(pairs, 1.0, pairs.filter("t < 12")).first()
+    assert r["n_errors"] == 12 and r["prediction_error_verdict"] == "pass" and r["coverage_verdict"] == "warn" and r["placebo_verdict"] == "skip"
+    low = spark.createDataFrame([("a", 10.0, 9.0, 12.0)], "series_id string, lift_base double, lift_low double, lift_high double")
+    assert checks.evaluate(pairs, 1.0, stable=checks.stability(low)).first()["effect_stability_verdict"] == "warn"
+
+
+def test_draws_as_lists(spark):
+    assert sorted((r["draw"], list(r["values"])) for r in draws.to_lists(frame(spark, [[1, 2], [3, 4]])).collect()) == [(0, [1, 2]), (1, [3, 4])]
+
+
 def test_effect_guards(spark):
     r = spark.range(1).select(c.relative_effect(F.lit(5.0), F.lit(0.0)).alias("a"), c.relative_effect(F.lit(5.0), F.lit(10.0)).alias("b"), c.dot(F.array(F.lit(0.5), F.lit(-0.2)), F.array(F.lit(10.0), F.lit(3.0))).alias("c")).first()
     assert (r["a"], r["b"], round(r["c"], 9)) == (0.0, 0.5, 4.4)

@@ -47,6 +47,22 @@ def assess(metrics: DataFrame) -> DataFrame:
     )
 
 
+def evaluate(pairs: DataFrame, obs_variance: float, off_air: DataFrame | None = None, placebo: DataFrame | None = None, stable: DataFrame | None = None, level: float = 0.95) -> DataFrame:
+    """All checks of (series_id, t, actual, baseline, variance) side by side with their verdicts.
+
+    off_air: the steps (series_id, t) that count; placebo: (series_id, placebo_significant, placebo_pct); stable: what
+    stability gives. A check without its input is skipped.
+    """
+    used = pairs if off_air is None else pairs.join(off_air.select("series_id", "t"), ["series_id", "t"], "left_semi")
+    used = used.withColumn("residual", F.col("actual") - F.col("baseline"))
+    out = prediction_error(used).withColumnRenamed("n", "n_errors").join(coverage(used, obs_variance, level=level), "series_id", "left").join(durbin_watson(used).drop("n"), "series_id", "left")
+    none = {"placebo_significant": F.lit(None).cast("boolean"), "placebo_pct": F.lit(None).cast("double")}
+    out = out.withColumns(none) if placebo is None else out.join(placebo.select("series_id", *none), "series_id", "left")
+    out = out.withColumn("max_pct_change", F.lit(None).cast("double")) if stable is None else out.join(stable.select("series_id", "max_pct_change"), "series_id", "left")
+    names = ("prediction_error", "coverage", "durbin_watson", "placebo", "effect_stability")
+    return out.join(assess(out).select("series_id", *[F.col(n).alias(f"{n}_verdict") for n in names]), "series_id")
+
+
 def placebo_window(steps: DataFrame, on_air: DataFrame) -> DataFrame:
     """The fake window in the middle of the steps off air, as long as the true one; none where they are too few."""
     off = steps.select("series_id", "t").join(on_air.select("series_id", "t"), ["series_id", "t"], "left_anti")

@@ -47,6 +47,11 @@ def hpd(draws: DataFrame, level: float = 0.95) -> DataFrame:
     return rows.select(*BY, best["lower"].alias("lower"), best["upper"].alias("upper"))
 
 
+def to_lists(draws: DataFrame) -> DataFrame:
+    """A row for each draw with its values in order of the steps."""
+    return draws.groupBy("series_id", "draw").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "value"))), lambda s: s["value"]).alias("values"))
+
+
 def mapped(draws: DataFrame, f) -> DataFrame:
     return draws.withColumn("value", f(F.col("value")))
 
