@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Field:
     one = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_q"), F.max("quality").alias("_q2")).filter("_q = _q2")
     chosen = one.select(F.col("doc_id").alias("_id"), "_q").orderBy(F.xxhash64("_id"), "_id").limit(rows)
     # At most `rows` ids: small enough to broadcast by construction.
-    found = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", F.col("text"), "_q")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", F.col("text"), "_q")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

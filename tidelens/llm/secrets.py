@@ -124,15 +124,18 @@ def entropy_spans(text: Column) -> Column:
     return F.when(text.rlike("[0-9]") & text.rlike(CANDIDATE), hot).otherwise(_none())
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _base and _spans: base spans, and all spans, by start and then kind.
+def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str, str]:
+    """docs with two more columns and their names: base spans, and all spans, by start and then kind.
 
     An entropy span that lies inside a base span is left out, as the base span stays. A null text is empty and has no
-    spans; other columns, whatever their names but these two, stay as they are.
+    spans; other columns stay as they are, the new ones' names avoid theirs.
     """
+    base, spans = "_base", "_spans"
+    while {base, spans} & {c.lower() for c in docs.columns}:
+        base, spans = base + "_", spans + "_"
     body = F.coalesce(F.col(text), F.lit(""))
-    more = F.filter(entropy_spans(body), lambda e: ~F.exists(F.col("_base"), lambda b: (b["start"] <= e["start"]) & (b["end"] >= e["end"])))
-    return docs.withColumn("_base", base_spans(body)).withColumn("_spans", F.array_sort(F.concat("_base", more)))
+    more = F.filter(entropy_spans(body), lambda e: ~F.exists(F.col(base), lambda b: (b["start"] <= e["start"]) & (b["end"] >= e["end"])))
+    return docs.withColumn(base, base_spans(body)).withColumn(spans, F.array_sort(F.concat(base, more))), base, spans
 
 
 def _text(spans: Column) -> Column:
@@ -146,14 +149,14 @@ def _is(kind: int):
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_assign, n_access, n_hex, base_sha256 and spans of each row (see scan)."""
-    found = scan(docs.select(key, text), text)
-    counts = [F.size(F.filter("_base", _is(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select(key, *counts, F.sha2(F.encode(_text(F.col("_base")), "UTF-8"), 256).alias("base_sha256"), _text(F.col("_spans")).alias("spans"))
+    found, base, spans = scan(docs.select(key, text), text)
+    counts = [F.size(F.filter(base, _is(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select(key, *counts, F.sha2(F.encode(_text(F.col(base)), "UTF-8"), 256).alias("base_sha256"), _text(F.col(spans)).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span of the text replaced by mark; overlapping spans are one. A null text stays null."""
-    found = scan(docs, text)
+    found, base, spans = scan(docs, text)
     init = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -161,8 +164,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
         fresh = (s["start"] >= acc["at"]) & (s["end"] > s["start"])
         return F.struct(F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    whole = F.aggregate(F.col("_spans"), init, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text), (acc["at"] + 1).cast("int"), F.length(text))))
-    return found.withColumn(text, F.when(F.size("_spans") > 0, whole).otherwise(F.col(text))).drop("_base", "_spans")
+    whole = F.aggregate(F.col(spans), init, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text), (acc["at"] + 1).cast("int"), F.length(text))))
+    return found.withColumn(text, F.when(F.size(spans) > 0, whole).otherwise(F.col(text))).drop(base, spans)
 
 
 def _sql() -> str:
