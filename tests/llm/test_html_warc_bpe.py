@@ -38,6 +38,7 @@ def test_main_text_of_all_pages(spark):
         ("<article><p>cut off <b>in the mid", "cut off in the mid"),
         ("<article><p>a<br>b  \n c</p><p>1 < 2</p></article>", "a b c\n\n1 < 2"),
         ("<div class='sidebar'><p>" + "links " * 50 + "</p></div><div><p>The story, told at some length. It goes on.</p></div>", "The story, told at some length. It goes on."),
+        ("<div id='content'><h2>Title</h2><p>Short.</p><p style='display: none'>hidden</p><p class='notice'>Notice</p></div><div><p>" + "Something else, long. " * 9 + "</p></div>", "Title\n\nShort."),
         ("<article><table><tr><td>a<td>b<tr><td>c</table></article>", "a\n\nb\n\nc"),
     ],
 )

@@ -40,13 +40,15 @@ FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|pager|popup|promo|related|replies|reply|respond|share|sharing|sidebar|sidenav|social|sponsor\w*|subscribe|toolbar|widget|alert|contentinfo|complementary|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
-CONTENT = re.compile(r"(?:^|[\s_-])(?:article|article-?body|entry-?content|post-?content|post-?body|main-?content|story)(?:$|[\s_-])", re.IGNORECASE)
+CONTENT = re.compile(r"(?:^|[\s_-])(?:article|article-?body|content|entry|entry-?content|main|main-?content|post|post-?content|post-?body|story)(?:$|[\s_-])", re.IGNORECASE)
 PUNCTUATION = ".,;:!?。，、؟…"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?=[a-zA-Z/!?])(?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+'|[\"'])*+>", re.DOTALL)
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 
+_UNSEEN = re.compile(r"\bstyle\s*=\s*[\"'][^\"']*display\s*:\s*none", re.IGNORECASE)
+
 SIGMA, RADIUS = 1.0, 2  # of the smoothing, in paths
 SHARE = 0.02  # of the best fused ratio, from which a path is content
 PRIOR = {"content": 1.0, "plain": 0.05, "furniture": 0.0}  # what the names weigh
@@ -56,6 +58,8 @@ def _mark(tag: str, raw: str) -> str:
     """What an element's names say: furniture, content or plain."""
     if tag in FURNITURE_TAGS:
         return "furniture"
+    if _UNSEEN.search(raw):
+        return "furniture"
     names = []
     for m in _ATTR.finditer(raw, len(tag) + 1):
         value = m[2] or m[3] or m[4] or ""
