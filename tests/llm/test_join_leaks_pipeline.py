@@ -74,12 +74,12 @@ def corpus(rng, groups=25, hot=330):
     return rows + [(i, "one two"), (i + 1, "one\ttwo"), (i + 2, "one"), (i + 3, None), (i + 4, ""), (i + 5, "  "), (i, "one two"), (None, rows[0][1]), (None, "null only words here now")]
 
 
-@pytest.mark.parametrize("cell", [join.CELL, 50])
-def test_links_equal_all_pairs(spark, monkeypatch, cell):
+@pytest.mark.parametrize(("cell", "bucket"), [(join.CELL, join.BUCKET), (50, 40)])
+def test_links_equal_all_pairs(spark, monkeypatch, cell, bucket):
     monkeypatch.setattr(join, "CELL", cell)
     rows = corpus(random.Random(3))
     d = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, class_id string")
-    got = sorted((tuple(r) for r in join.near_duplicates(d).collect()), key=repr)
+    got = sorted((tuple(r) for r in join.near_duplicates(d, bucket=bucket).collect()), key=repr)
     assert got == plain_classes(rows)
 
 

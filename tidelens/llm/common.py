@@ -245,16 +245,15 @@ def components(edges: DataFrame) -> DataFrame:
     least of them, with an aggregation and a join, so a node of any degree stays spread over many rows.
     """
     now = edges.filter("a <> b").select("a", "b").distinct()
-    before = None
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
         large = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b"))
-        down = written(large.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "large")
+        down = large.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         least = down.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         small = down.join(least, F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        now = written(small.unionByName(least.select(F.col("w").alias("a"), F.col("m").alias("b"))).distinct(), "small")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = seen
+        now = written(small.unionByName(least.select(F.col("w").alias("a"), F.col("m").alias("b"))).distinct(), "stars")
+        ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("r")), F.struct(F.col("b").alias("n"), F.col("b").alias("r")))).alias("x")).select("x.n", "x.r")
+        # Stars: a node has one root, and a root is its own.
+        if ends.groupBy("n").agg(F.min("r").alias("p"), F.max("r").alias("q")).filter("p <> q").isEmpty():
+            return ends.distinct().select(F.col("n").alias("node"), F.col("r").alias("root"))

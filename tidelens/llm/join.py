@@ -2,8 +2,8 @@
 
 Texts with the same words are one node. A node's set is embedded as the minima of its shingles under random functions.
 A run samples some of these coordinates and puts the nodes that share a minimum there into one bucket; a bucket that is
-too large is split again on freshly sampled coordinates. In a small bucket all pairs are compared by one-bit sketches;
-in one that stays large, all its nodes with the centres of its dense parts. Runs repeat until the target recall.
+too large is split again on freshly sampled coordinates. In a small bucket all pairs are compared by one-bit sketches,
+in a middling one all its nodes with the centres of its dense parts. Runs repeat until the target recall.
 
 The candidates join nodes into clusters; shingles of clustered nodes are then read once, and all pairs of a cluster are
 verified exactly, in cells of bounded size. So a link is lost only if its cluster was not found, whatever the size of a
@@ -25,9 +25,9 @@ from tidelens.llm.common import Words, components, hash_words, mix, shingles, wh
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
 MINIMA = 128  # coordinates of the embedded set
-BUCKET = 256  # nodes of a bucket that are compared pair by pair; larger ones are split
-DEPTH = 4  # splits of a bucket
-PIECE = 8192  # nodes of a bucket that is as deep as that, in one task; larger ones are dealt at random
+PAIRS = 256  # nodes of a bucket that are compared pair by pair; larger ones with the centres of their dense parts
+BUCKET = 4096  # nodes of a bucket that are compared at once; larger ones are split
+DEPTH = 4  # splits of a bucket; one that is still larger then is dealt at random
 CELL = 2048  # nodes on either side of a block of exact comparisons
 BROADCAST_ROWS = 500_000  # ids of documents up to this many are broadcast, beyond it they are joined by a shuffle
 _FAR = round(MINIMA * (1 - 0.45) / 2)  # bits by which sketches of a candidate pair differ at most: similarity 0.45
@@ -118,7 +118,7 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
 _ROWS = "path long, node binary, sketch binary"
 
 
-def _children(batch: pa.RecordBatch | pa.Table, paths: np.ndarray, sizes: np.ndarray, level: int) -> pa.RecordBatch:
+def _children(batch: pa.RecordBatch, paths: np.ndarray, sizes: np.ndarray, level: int, bucket: int) -> pa.RecordBatch:
     """The buckets below each row's path: a row for each sampled coordinate."""
     minima = np.frombuffer(b"".join(batch.column("minima").to_pylist()), np.uint32).reshape(-1, MINIMA)
     bits = np.packbits((minima & np.uint32(1)).astype(bool), axis=1)
@@ -129,14 +129,14 @@ def _children(batch: pa.RecordBatch | pa.Table, paths: np.ndarray, sizes: np.nda
             below = np.array([(path + (j + 1) * 0xD1B54A32D192ED03) % 2**64], np.uint64)
             child = mix(mix(below) + minima[own, j].astype(np.uint64))
             if level >= DEPTH:
-                pieces = -(-sizes[own] // PIECE)
+                pieces = -(-sizes[own] // bucket)
                 deal = mix(child + minima[own, 0].astype(np.uint64) * np.uint64(31) + minima[own, 1].astype(np.uint64)) % pieces.astype(np.uint64)
                 child = np.where(pieces > 1, mix(child + deal + np.uint64(1)), child)
             rows.append(own)
             kids.append(child)
     at = np.concatenate([np.zeros(0, np.int64), *rows])
     path = np.concatenate([np.zeros(0, np.uint64), *kids])
-    return pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column("node").take(pa.array(at)) if isinstance(batch, pa.RecordBatch) else batch.column("node").combine_chunks().take(pa.array(at)), pa.array([bits[i].tobytes() for i in at.tolist()], pa.binary())], ["path", "node", "sketch"])
+    return pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column("node").take(pa.array(at)), pa.array([bits[i].tobytes() for i in at.tolist()], pa.binary())], ["path", "node", "sketch"])
 
 
 def _linked(pairs: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
@@ -153,7 +153,7 @@ def _linked(pairs: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
             return label
 
 
-def _compared(table: pa.Table, deepest: bool) -> pa.RecordBatch:
+def _compared(table: pa.Table, deepest: bool, bucket: int) -> pa.RecordBatch:
     """Candidate edges inside buckets (a, b), and the nodes of buckets to split (a, path, size)."""
     paths = table.column("path").to_numpy()
     nodes = table.column("node").to_pylist()
@@ -161,7 +161,7 @@ def _compared(table: pa.Table, deepest: bool) -> pa.RecordBatch:
     n = len(paths)
     first = np.flatnonzero(np.concatenate([[True], paths[1:] != paths[:-1]]))
     size = np.diff(np.append(first, n))
-    small = np.repeat(size <= BUCKET, size)
+    small = np.repeat(size <= min(PAIRS, bucket), size)
     end = np.repeat(first + size, size)
     near: list[tuple[np.ndarray, np.ndarray]] = []
     live, d = np.flatnonzero(small), 1
@@ -170,20 +170,25 @@ def _compared(table: pa.Table, deepest: bool) -> pa.RecordBatch:
         hit = live[apart <= _FAR]
         near.append((hit, hit + d))
         d += 1
-    split = np.zeros(0, np.int64)
-    if deepest:
-        for a, k in zip(first[size > BUCKET].tolist(), size[size > BUCKET].tolist(), strict=True):
-            near += _canopies(bits, a, a + k)
-    else:
-        split = np.flatnonzero(~small)
+    split = np.zeros(0, np.int64) if deepest else np.flatnonzero(np.repeat(size > bucket, size))
+    dense = (size > min(PAIRS, bucket)) & ((size <= bucket) | deepest)
+    for a, k in zip(first[dense].tolist(), size[dense].tolist(), strict=True):
+        near += _canopies(bits, a, a + k)
     i, j = (np.concatenate([np.zeros(0, np.int64), *(p[x] for p in near)]) for x in (0, 1))
     label = _linked((i, j), n)
     edge = np.flatnonzero(label != np.arange(n))
+    # Edges go to the least node, so that different buckets of a group agree on the star's centre.
+    centre: dict[int, bytes] = {}
+    for x, l in zip([*edge.tolist(), *np.unique(label[edge]).tolist()], [*label[edge].tolist(), *np.unique(label[edge]).tolist()], strict=True):
+        centre[l] = min(centre.get(l, nodes[x]), nodes[x])
+    ends = np.unique(np.concatenate([edge, label[edge]])).tolist()
+    ends = [x for x in ends if nodes[x] != centre[int(label[x])]]
     sizes = np.repeat(size, size)
+    edge = np.array(ends, np.int64)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([nodes[x] for x in edge.tolist()] + [nodes[x] for x in split.tolist()], pa.binary()),
-            pa.array([nodes[x] for x in label[edge].tolist()] + [None] * len(split), pa.binary()),
+            pa.array([centre[x] for x in label[edge].tolist()] + [None] * len(split), pa.binary()),
             pa.array(np.concatenate([paths[edge], paths[split]]), pa.int64()),
             pa.array(np.concatenate([sizes[edge], sizes[split]]), pa.int64()),
         ],
@@ -210,7 +215,7 @@ def _canopies(bits: np.ndarray, a: int, b: int) -> list[tuple[np.ndarray, np.nda
     return pairs
 
 
-def candidates(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
+def candidates(nodes: DataFrame, recall: float = RECALL, bucket: int = BUCKET) -> DataFrame:
     """Edges a, b that connect every pair of nodes (node, minima) that is similar, and some others."""
     runs = runs_for(recall)
     roots = mix(np.arange(1, runs + 1, dtype=np.uint64))
@@ -218,19 +223,19 @@ def candidates(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for root in roots.tolist():
-                yield _children(batch, np.full(batch.num_rows, root, np.uint64), np.ones(batch.num_rows, np.int64), 0)
+                yield _children(batch, np.full(batch.num_rows, root, np.uint64), np.ones(batch.num_rows, np.int64), 0, bucket)
 
     def compare(level: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table in whole_groups(batches, 0):
-                yield _compared(table, level >= DEPTH)
+                yield _compared(table, level >= DEPTH, bucket)
 
         return run
 
     def deeper(level: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield _children(batch, batch.column("path").to_numpy().view(np.uint64), batch.column("size").to_numpy(), level)
+                yield _children(batch, batch.column("path").to_numpy().view(np.uint64), batch.column("size").to_numpy(), level, bucket)
 
         return run
 
@@ -316,7 +321,7 @@ def _verified(table: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64()), strict=True)], ["node", "peer", "links"])
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL, bucket: int = BUCKET) -> DataFrame:
     """key, class_id, n_links and copy_of of each row.
 
     class_id is the least key of the row's class: documents joined by links, a link being a Jaccard similarity of
@@ -330,7 +335,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", re
     real = drawn.filter("node IS NOT NULL")
     nodes = real.groupBy("node").agg(F.min(key).alias("rep"), F.count("*").alias("size"), F.first("minima").alias("minima"))
     nodes = written(nodes, "nodes")
-    clusters = written(components(candidates(nodes, recall)), "clusters")
+    clusters = written(components(candidates(nodes, recall, bucket)), "clusters")
     sizes = clusters.groupBy(F.col("root").alias("_root")).agg(F.count("*").alias("members"))
     placed = clusters.join(sizes, F.col("root") == F.col("_root")).drop("_root").join(nodes.select("node", "rep", "size"), "node")
     placed = written(placed.select(F.col("node").alias("want"), "root", "members", "rep", "size"), "placed")
