@@ -15,6 +15,9 @@ from tidelens.llm.common import written
 from tidelens.llm.queries import tokenizer_path
 
 
+ENCODE_BYTES = 2 << 20  # of text in a block of the last stage: its workers share the executor with what came before
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the line labels keep."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -41,7 +44,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the text that the ids decode to."""
-    return bpe.encode(docs, tokenizer_path(), output="ids")
+    return bpe.encode(docs, tokenizer_path(), output="ids", block_bytes=ENCODE_BYTES)
 
 
 STAGES = [

@@ -159,9 +159,7 @@ def test_ids_equal_the_library(spark):
     assert bpe.encode(d.limit(0), queries.tokenizer_path()).count() == 0
 
 
-def test_many_blocks_give_the_same_ids(spark, monkeypatch):
+def test_many_blocks_give_the_same_ids(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     one = sorted(map(tuple, bpe.encode(d, queries.tokenizer_path()).collect()))
-    real = bpe.in_blocks
-    monkeypatch.setattr(bpe, "in_blocks", lambda docs, keep, text: real(docs, keep, text, 20_000))
-    assert one == sorted(map(tuple, bpe.encode(d, queries.tokenizer_path()).collect()))
+    assert one == sorted(map(tuple, bpe.encode(d, queries.tokenizer_path(), block_bytes=20_000).collect()))

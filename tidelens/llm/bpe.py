@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelens.llm.common import in_blocks, opened, pack, part_of, unpack
+from tidelens.llm.common import BLOCK_BYTES, bounded_batches, in_blocks, opened, pack, part_of, relax, unpack
 
 #: Characters whose classes and lower case every Unicode version shares; other texts take the library's own steps.
 _PLAIN = re.compile(r"[\x09-\x0d\x20-\x7e\xa0-ɏ]*")
@@ -103,16 +103,16 @@ def _distinct(split: Splitter, texts: list[str], parts: int) -> tuple[list[np.nd
     return [rank[s] for s in seqs], [ordered[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def encode(docs: DataFrame, path: str, keep: str = "doc_id", text: str = "text", output: str = "digest") -> DataFrame:
+def encode(docs: DataFrame, path: str, keep: str = "doc_id", text: str = "text", output: str = "digest", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The ids of each text under the tokenizer file at path, and the text that they decode to.
 
     output "ids": keep, n_tokens, ids (array of int), decoded. output "digest": keep, n_tokens, ids_sha256 (of the decimal
     ids joined by one space) and decoded_sha256. Equal to the library's encode without special tokens added, truncation
     or padding; special tokens that stand in a text are their own ids. A null text is empty and has no ids; null keys,
     repeated rows and ties stay as they are; an empty table gives an empty result; other columns are left out. path must
-    be readable on the executors.
+    be readable on the executors. Smaller blocks take less memory and more disk, as fewer words of a block are equal.
     """
-    blocks, parts = in_blocks(docs, [keep], text)
+    blocks, parts = in_blocks(docs, [keep], text, block_bytes)
 
     def ask(table: pa.Table) -> pa.Table:
         _, ranges = _distinct(splitter(path), opened(table).column("text").to_pylist(), parts)
@@ -169,6 +169,7 @@ def encode(docs: DataFrame, path: str, keep: str = "doc_id", text: str = "text",
             else:
                 one.append(hashlib.sha256(" ".join([as_ids[i] for i in at if as_ids[i]]).encode()).hexdigest())
                 two.append(hashlib.sha256(decoded.encode()).hexdigest())
+        relax()
         first = pa.array(one, pa.list_(pa.int32())) if output == "ids" else pa.array(one, pa.string())
         return pa.Table.from_arrays([left.column(keep), pa.array(n, pa.int64()), first, pa.array(two, pa.string())], names)
 
@@ -186,4 +187,4 @@ def decode(spark: SparkSession, encoded: DataFrame, path: str, keep: str = "doc_
             texts = [" ".join([pieces[i] for i in ids or ()]) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [keep, "decoded"])
 
-    return encoded.select(keep, "ids").mapInArrow(run, f"`{keep}` {dict(encoded.dtypes)[keep]}, decoded string")
+    return bounded_batches(encoded.select(keep, "ids")).mapInArrow(run, f"`{keep}` {dict(encoded.dtypes)[keep]}, decoded string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,8 +42,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+BATCH_ROWS = 1000  # texts that go to a Python worker at once
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches bounded to BATCH_ROWS rows: whole texts are large rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+def relax() -> None:
+    """Gives freed memory back, as a Python worker outlives its task. Without glibc only Arrow's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        return
 
 
 # ---- messages -----------------------------------------------------------------------------------------------------
@@ -96,7 +114,7 @@ def chain(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 # ---- blocks -------------------------------------------------------------------------------------------------------
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def in_blocks(docs: DataFrame, keep: list[str], text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
@@ -126,7 +144,7 @@ def in_blocks(docs: DataFrame, keep: list[str], text: str = "text", block_bytes:
                 blobs.append(sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays([pa.array(blocks[order][first], pa.int32()), pa.array(blobs, pa.binary())], ["block", "rows"])
 
-    return rows.mapInArrow(bundle, "block int, rows binary").repartition(n, "block"), n
+    return bounded_batches(rows).mapInArrow(bundle, "block int, rows binary").repartition(n, "block"), n
 
 
 def opened(table: pa.Table) -> pa.Table:
@@ -184,7 +202,7 @@ def _hash_words(texts: list[bytes]) -> Words:
     return Words(hashes, size, np.searchsorted(first, bounds))
 
 
-def hash_words(texts: list[bytes], at_once: int = 4 << 20) -> Words:
+def hash_words(texts: list[bytes], at_once: int = 1 << 19) -> Words:
     """Hashes of the words of texts in UTF-8: a word's bytes are digits of a number modulo 2**64, then mixed.
 
     All words of a text are read with a few passes over its bytes. Different words share a hash with a chance of 2**-64.

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.common import SPACE, Words, hash_words, shingles
+from tidelens.llm.common import SPACE, Words, bounded_batches, hash_words, relax, shingles
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -193,7 +193,7 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
                             names,
                         )
 
-        found = docs.select(key, text).mapInArrow(run, schema)
+        found = bounded_batches(docs.select(key, text)).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -209,6 +209,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "it
                 for at in range(0, batch.num_rows, 2048):
                     part = batch.slice(at, 2048)
                     yield part.filter(pa.array([not m for m in held.value.matches(part.column(where).to_pylist())], pa.bool_()))
+            relax()
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = bounded_batches(docs).mapInArrow(run, docs.schema)
     return docs

@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidelens.llm.common import bounded_batches
+
 #: Fixed values of the HTML language: elements without an end tag, with raw content, and that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
@@ -194,4 +196,4 @@ def extract_pages(pages: DataFrame, page: str = "html", keep: tuple[str, ...] =
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*keep, "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
-    return pages.select(*keep, page).mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["text string", "n_chars long"]))
+    return bounded_batches(pages.select(*keep, page)).mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["text string", "n_chars long"]))

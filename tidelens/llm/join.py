@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.common import Words, components, hash_words, mix, shingles, whole_groups, written
+from tidelens.llm.common import Words, bounded_batches, components, hash_words, mix, relax, shingles, whole_groups, written
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
 MINIMA = 128  # coordinates of the embedded set
@@ -111,8 +111,9 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
                 for i, m in zip(real.tolist(), minima, strict=True):
                     sign[i] = m.tobytes()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.binary()), pa.array(sign, pa.binary())], [key, "node", "minima"])
+        relax()
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, node binary, minima binary")
+    return bounded_batches(docs.select(key, text)).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, node binary, minima binary")
 
 
 _ROWS = "path long, node binary, sketch binary"
@@ -229,6 +230,7 @@ def candidates(nodes: DataFrame, recall: float = RECALL, bucket: int = BUCKET) -
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table in whole_groups(batches, 0):
                 yield _compared(table, level >= DEPTH, bucket)
+            relax()
 
         return run
 
@@ -352,6 +354,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", re
                 blobs = [np.unique(keys[begin[i] : end[i]]).tobytes() for i in own]
                 rest = [part.column(c).take(pa.array(own, pa.int64())) for c in ("want", "root", "members", "size")]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(blobs, pa.binary())], ["node", "root", "members", "size", "shingles"])
+        relax()
 
     sets = wanted.select("_text", "want", "root", "members", "size").mapInArrow(read, "node binary, root binary, members long, size long, shingles binary")
     blocks = F.ceil(F.col("members") / CELL)
@@ -369,6 +372,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", re
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 0):
             yield _verified(table)
+        relax()
 
     links = written(dealt.mapInArrow(verify, "node binary, peer binary, links long"), "links")
     counts = links.groupBy(F.col("node").alias("_node")).agg(F.sum("links").alias("links"))

@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.common import chain, hash_words, in_blocks, mix, opened, pack, pack_sorted, part_of, unpack, unpack_sorted, written
+from tidelens.llm.common import bounded_batches, chain, hash_words, in_blocks, mix, opened, pack, pack_sorted, part_of, relax, unpack, unpack_sorted, written
 
 ORDER = 2  # words of the longest n-grams; the disk for questions grows with it
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 8 << 20  # of text in a block
 SIZES, RATIOS = 48, 130  # classes of contexts by the logarithm of their counts, and of a token's two estimates by their ratio's
 _START, _END = mix(np.array([1, 2], np.uint64) * np.uint64(0xA0761D6478BD642F))  # keys of a text's start and end
 
@@ -92,6 +92,7 @@ def statistics(docs: DataFrame, text: str, train: str, parts: int) -> tuple[int,
                         yield out(keys, n)
                         keys, n, held = [], 0, 0
         yield out(keys, n)
+        relax()
 
     def merge(table: pa.Table) -> pa.Table:
         if table.column("part")[0].as_py() < 0:
@@ -99,7 +100,7 @@ def statistics(docs: DataFrame, text: str, train: str, parts: int) -> tuple[int,
         known = np.unique(np.concatenate([unpack_sorted(b) for b in table.column("blob").to_pylist()]))
         return pa.table({"v": pa.array([len(known)], pa.int64()), "n": pa.array([0], pa.int64())})
 
-    found = docs.filter(F.col(train)).select(text).mapInArrow(distinct, "part int, blob binary, n long")
+    found = bounded_batches(docs.filter(F.col(train)).select(text)).mapInArrow(distinct, "part int, blob binary, n long")
     total = found.repartition(parts, "part").groupBy("part").applyInArrow(merge, "v long, n long").agg(F.sum("n"), F.sum("v")).first()
     n, v = total[0] or 0, total[1] or 0
     return n, v + (1 if n else 0)  # the end is a token
@@ -259,6 +260,7 @@ def score(docs: DataFrame, train: str, keep: list[str], text: str = "text", orde
             aligned.append(np.where(grams.place >= i, counts[np.minimum(at, len(keys) - 1)], np.uint64(0)).astype(np.int64))
         seen = ratios(grams, aligned, trained(rows, grams), n, v).ravel()
         full = np.flatnonzero(seen)
+        relax()
         sink = pa.BufferOutputStream()
         held = rows.select(keep)
         with pa.ipc.new_stream(sink, held.schema) as out:
@@ -294,6 +296,7 @@ def score(docs: DataFrame, train: str, keep: list[str], text: str = "text", orde
                 got = [pa.array(grams.sizes, pa.int64()), pa.array(hits, pa.int64()), pa.array(np.full(len(edges), n), pa.int64()), pa.array(base, pa.float64()), pa.array(machine.traverse(), pa.float64())]
                 table = pa.Table.from_arrays([*left.columns, *got], [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
                 yield from table.to_batches()
+            relax()
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["n_tokens long, n_known long, train_tokens long, base_score double, score double"])

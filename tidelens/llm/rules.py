@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelens.llm.common import bounded_batches, relax
+
 TRAIN_ROWS = 2000  # labelled documents at most that the field is trained on, by the smallest hash of their ids
 CONTENT_SHARE = 0.5  # of a document's words, from which it is kept
 MIN_WORDS, MAX_REPEATED = 50, 0.5  # base rules: fewer words, or a larger share of them in repeated windows, fail
@@ -188,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Field:
                 x = Lines([(text or "").encode()]).features
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([q], pa.int32()), pa.array([x.ravel()], pa.list_(pa.float64()))], ["k", "q", "x"])
 
-    got = found.select(F.col("doc_id").cast("long"), "text", F.col("_q").cast("int")).mapInArrow(featured, "k long, q int, x array<double>").collect()
+    got = bounded_batches(found.select(F.col("doc_id").cast("long"), "text", F.col("_q").cast("int"))).mapInArrow(featured, "k long, q int, x array<double>").collect()
     got.sort(key=lambda r: (r["k"], r["q"], len(r["x"])))
     if len({r["q"] for r in got}) < 2:
         return Field()
@@ -256,7 +258,7 @@ def judge(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 
     schema = f"`{key}` {dict(docs.dtypes)[key]}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
-    return docs.select(key, text).mapInArrow(run, schema)
+    return bounded_batches(docs.select(key, text)).mapInArrow(run, schema)
 
 
 def label_lines(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,7 +271,7 @@ def label_lines(docs: DataFrame, field: Field, key: str = "doc_id", text: str =
                 good = field.decode(lines.features) > 0
                 yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(good), k.type), pa.array(lines.numbers, pa.int32()), pa.array(good, pa.bool_())], [key, "line", "content"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, line int, content boolean")
+    return bounded_batches(docs.select(key, text)).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, line int, content boolean")
 
 
 def keep(docs: DataFrame, field: Field, text: str = "text", share: float = CONTENT_SHARE) -> DataFrame:
@@ -289,5 +291,6 @@ def keep(docs: DataFrame, field: Field, text: str = "text", share: float = CONTE
                     ok = float(lines.words[field.decode(lines.features) > 0].sum()) / n >= share
                 kept.append(ok)
             yield batch.filter(pa.array(kept, pa.bool_()))
+        relax()
 
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)
