@@ -114,7 +114,8 @@ def chain(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 # ---- blocks -------------------------------------------------------------------------------------------------------
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+BUNDLE_BYTES = 16 << 20  # of rows that a task deals into blocks at once
 
 
 def in_blocks(docs: DataFrame, keep: list[str], text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
@@ -129,20 +130,32 @@ def in_blocks(docs: DataFrame, keep: list[str], text: str = "text", block_bytes:
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.pmod(F.xxhash64(*keep, body), F.lit(n)).cast("int").alias("block"), *keep, body.alias("text"))
 
+    def deal(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        blocks = table.column(0).to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        ordered = table.select([*keep, "text"]).take(pa.array(order))
+        first = np.flatnonzero(np.diff(blocks[order], prepend=-1))
+        options, blobs = pa.ipc.IpcWriteOptions(compression="zstd"), []
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(blocks)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, ordered.schema, options=options) as out:
+                out.write_table(ordered.slice(a, b - a).combine_chunks())
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(blocks[order][first], pa.int32()), pa.array(blobs, pa.binary())], ["block", "rows"])
+
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        held, size = [], 0
         for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            order = np.argsort(blocks, kind="stable")
-            ordered = pa.RecordBatch.from_arrays(batch.columns[1:], [*keep, "text"]).take(pa.array(order))
-            first = np.flatnonzero(np.diff(blocks[order], prepend=-1))
-            blobs = []
-            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(blocks)], strict=True):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, ordered.schema, options=options) as out:
-                    out.write_batch(ordered.slice(a, b - a))
-                blobs.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(blocks[order][first], pa.int32()), pa.array(blobs, pa.binary())], ["block", "rows"])
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= BUNDLE_BYTES:
+                yield deal(held)
+                held, size = [], 0
+        if held:
+            yield deal(held)
+        relax()
 
     return bounded_batches(rows).mapInArrow(bundle, "block int, rows binary").repartition(n, "block"), n
 
