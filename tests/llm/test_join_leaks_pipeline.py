@@ -259,3 +259,17 @@ def test_pipeline_stages(spark):
     last = p.token_ids(spark, four, SF)
     whole = p.run(spark, SF)
     assert sorted((r["doc_id"], tuple(r["ids"])) for r in last.collect()) == sorted((r["doc_id"], tuple(r["ids"])) for r in whole.collect())
+
+
+@pytest.mark.parametrize(("n", "cut"), [(100, 50), (59, 45), (47, 30), (59, 20)])
+def test_reordered_passages_equal_all_windows(n, cut):
+    rng = random.Random(n * cut)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+    own = [word() for _ in range(n)]
+    rest = [word() for _ in range(80)]
+    docs = [(0, " ".join(rest[:30] + own[cut:] + own[:cut] + rest[30:])), (1, " ".join(own[cut:] + own[:cut])), (2, " ".join(rest + own[n // 2 :] + own[: n // 2 - 1])), (3, " ".join(rest))]
+    index = decontaminate.Index([(7, " ".join(own))])
+    got = {(docs[d][0], 7, s, round(sim, 9)) for d, found in enumerate(index.matches([t for _, t in docs])) for _, s, _, sim in found}
+    want = plain_leaks(docs, [(7, " ".join(own))])
+    assert {(0, 7), (1, 7)} <= {r[:2] for r in want}
+    assert got == want

@@ -4,8 +4,9 @@ A document's windows of an item's size have 64-bit SimHash fingerprints of their
 cut into blocks; two within the radius agree in some block up to radius // blocks bits, so looking every block up with
 that slack finds every item within the radius. Candidates are verified by their exact weighted shingle similarity.
 
-A window that shares no shingle with an item has similarity 0, so fingerprints are made only where an item's shingle
-stands: the windows that line a shared shingle up with its places in the item, and those between two such near each other.
+A window that shares no shingle with an item has similarity 0, so only windows that hold a shared shingle are looked at:
+all of them, in whatever order the shingles stand. A running sum of the shared shingles' weights bounds a window's
+similarity; those whose bound reaches SIMILARITY get a fingerprint.
 """
 
 from __future__ import annotations
@@ -111,39 +112,55 @@ class Index:
             owner = np.searchsorted(words.starts, at, side="right") - 1
             whole = at + k <= words.starts[owner + 1]
             at, owner = at[whole], owner[whole]
-            lined: dict[tuple[int, int], set[int]] = {}
+            shared: dict[tuple[int, int], list[int]] = {}
             for p, d, key in zip(at.tolist(), owner.tolist(), keys[at].tolist(), strict=True):
-                for i, o in where[key]:
-                    lined.setdefault((d, i), set()).add(p - o)
-            for (d, i), starts in sorted(lined.items()):
-                if best := self._best(keys, weights, words, k, d, i, starts):
+                for i in dict.fromkeys(i for i, _ in where[key]):
+                    shared.setdefault((d, i), []).append(p)
+            for (d, i), places in sorted(shared.items()):
+                if best := self._best(keys, weights, words, k, d, i, np.array(places)):
                     out[d].append(best)
         return out
 
-    def _best(self, keys: np.ndarray, weights: np.ndarray, words: Words, k: int, d: int, i: int, starts: set[int]) -> tuple[int, int, int, float] | None:
+    def _best(self, keys: np.ndarray, weights: np.ndarray, words: Words, k: int, d: int, i: int, places: np.ndarray) -> tuple[int, int, int, float] | None:
+        """The item's best window among all that hold one of the places (ascending) of shingles shared with it."""
         size, lo, hi = int(self.length[i]), int(words.starts[d]), int(words.starts[d + 1])
-        tries: set[int] = set()
-        last = None
-        for s in sorted(starts):
-            tries.update(range(last + 1, s + 1) if last is not None and s - last <= size // 4 else [s])
-            last = s
+        n, total, bag = min(size, hi - lo) - k + 1, self.total[i], self.bags[i]
         best = None
-        for s in sorted({min(max(s, lo), max(hi - size, lo)) for s in tries}):
-            n = min(size, hi - s) - k + 1
-            if n < 1:
+        for run in np.split(places, np.flatnonzero(np.diff(places) > size) + 1):
+            if weights[run].sum() < SIMILARITY * total:
                 continue
-            own, w = keys[s : s + n], weights[s : s + n]
-            print_ = simhash(own, w)
-            if not np.any(self.within(print_) == i):
+            a, b = max(int(run[0]) - size + 1, lo), min(int(run[-1]), max(hi - size, lo))
+            # The weight of the window's shared places is what it can share at most: a bound that loses nothing.
+            weight = weights[a : b + n]
+            hit = np.zeros(len(weight))
+            inside = run[run < b + n] - a
+            hit[inside] = weight[inside]
+            most, own = (c[n:] - c[:-n] for c in (np.concatenate([[0.0], np.cumsum(x)]) for x in (hit, weight)))
+            tries = np.flatnonzero(most * (1 + SIMILARITY) >= SIMILARITY * (own + total) - 1e-6)
+            near: dict[int, int] = {}
+            for s in tries.tolist():
+                print_ = simhash(keys[a + s : a + s + n], weight[s : s + n])
+                if np.any(self.within(print_) == i):
+                    near[s] = print_
+            if not near:
                 continue
-            bag, shared, seen = self.bags[i], 0.0, defaultdict(int)
-            for key in own.tolist():
+            # The bag slides over the places: a shingle comes, one goes.
+            first, seen, shared = min(near), defaultdict(int), 0.0
+            line, ws = keys[a + first : a + max(near) + n].tolist(), weight[first : max(near) + n].tolist()
+            for at, (key, w) in enumerate(zip(line, ws, strict=True)):
+                if at >= n:
+                    old = line[at - n]
+                    if old in bag and seen[old] <= bag[old][0]:
+                        shared -= bag[old][1]
+                    seen[old] -= 1
                 seen[key] += 1
                 if key in bag and seen[key] <= bag[key][0]:
                     shared += bag[key][1]
-            similarity = shared / (float(w.sum()) + self.total[i] - shared)
-            if similarity >= SIMILARITY and (best is None or similarity > best[3]):
-                best = (i, s - lo, int(np.uint64(print_) ^ self.prints[i]).bit_count(), similarity)
+                s = first + at - n + 1
+                if s in near:
+                    similarity = shared / (float(own[s]) + total - shared)
+                    if similarity >= SIMILARITY and (best is None or similarity > best[3]):
+                        best = (i, a + s - lo, int(np.uint64(near[s]) ^ self.prints[i]).bit_count(), similarity)
         return best
 
 
