@@ -1,5 +1,6 @@
 """Language-model scores against a plain automaton; line labels against enumeration and held-out labels."""
 
+import inspect
 import itertools
 import math
 import random
@@ -224,3 +225,9 @@ def test_rules_on_odd_rows(spark):
     assert [r["kept"] for r in got if r["n_words"] == 0] == [False] * 4
     assert rules.judge(d.limit(0), field).count() == 0 and rules.keep(d.limit(0), field).count() == 0
     assert rules.keep(d, field).columns == d.columns
+
+
+def test_query_backs_off_through_more_than_one_context():
+    """The registered order has states of two words, whose failure arcs lead to states of one."""
+    assert lm.ORDER >= 3
+    assert inspect.signature(lm.document_scores).parameters["order"].default == lm.ORDER

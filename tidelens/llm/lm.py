@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidelens.llm.common import bounded_batches, chain, hash_words, in_blocks, mix, opened, pack, pack_sorted, part_of, relax, unpack, unpack_sorted, written
 
-ORDER = 2  # words of the longest n-grams; the disk for questions grows with it
+ORDER = 3  # words of the longest n-grams; the disk for questions grows with it
 BLOCK_BYTES = 8 << 20  # of text in a block
 SIZES, RATIOS = 48, 130  # classes of contexts by the logarithm of their counts, and of a token's two estimates by their ratio's
 _START, _END = mix(np.array([1, 2], np.uint64) * np.uint64(0xA0761D6478BD642F))  # keys of a text's start and end
