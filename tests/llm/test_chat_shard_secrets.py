@@ -122,3 +122,19 @@ def test_redaction(spark):
     clash = secrets.redact(d.withColumn("_spans", F.lit(7)))
     assert clash.columns == ["doc_id", "text", "_spans"] and {r["_spans"] for r in clash.collect()} == {7}
     assert secrets.redact(d).columns == d.columns and secrets.report(d.limit(0)).count() == 0
+
+
+def test_redaction_of_hex_keys_joined_to_names(spark):
+    lower, upper = "04dbebab91ab85687d33eeaaf9ac699e", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    keys = [("key=", lower[:20]), ("key=", lower[:24]), ("key=", lower[:31]), ("AUTH=", upper), ("SIG=", upper + upper[:24]), ("/v1/", lower[:28]), ("id_", lower[:24])]
+    entropy = lambda s: -sum(c / 20 * math.log2(c / 20) for c in Counter(s).values())
+    rows = []
+    for i, (name, key) in enumerate(keys):
+        hot = [a for a in range(len(key) - 19) if entropy(key[a : a + 20]) >= 3.0]
+        assert hot
+        rows.append((i, f"é {name}{key} end", key[hot[0] : hot[-1] + 20]))
+    same = [f"path/to={'a1' * 12}", f"name={'1' * 24}", f"EXAMPLE={lower[:24]}"]
+    rows += [(10 + i, t, "") for i, t in enumerate(same)]
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, want string")).collect()}
+    for i, t, gone in rows:
+        assert (gone not in got[i] and "[SECRET]" in got[i] and got[i].endswith(" end")) if gone else got[i] == t

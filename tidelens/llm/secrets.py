@@ -27,6 +27,7 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 CLASSES = (("entropy_hex", "^[0-9a-fA-F]+$", 3.0), ("entropy_base64", "^[A-Za-z0-9+/_=-]+$", 3.8))
 WINDOW = 20
 CANDIDATE = f"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
+HEX_RUN = f"[0-9a-fA-F]{{{WINDOW},}}"  # all windows of hex digits in a candidate lie in one
 #: Harmless candidates: words or numbers only, unique ids, counting sequences, and the keys of public documentation.
 ALLOWED = (
     r"^[A-Za-z+/_=-]+$",
@@ -124,17 +125,41 @@ def entropy_spans(text: Column) -> Column:
     return F.when(text.rlike("[0-9]") & text.rlike(CANDIDATE), hot).otherwise(_none())
 
 
-def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str, str]:
+def run_spans(text: Column) -> Column:
+    """Spans of high entropy of the hex runs inside candidates of another class, at the threshold of hex digits.
+
+    A key joined to a name (key=..., /v1/...) is in a candidate of the base64 class, whose threshold hex digits hardly
+    reach. The allow-list holds for the candidate and for the run.
+    """
+    harmless = lambda c: reduce(Column.__or__, [c.rlike(p) for p in ALLOWED])
+    _, chars, least = CLASSES[0]
+    mixed = F.filter(_found(text, CANDIDATE, 0), lambda s: s["hit"].rlike(HEX_RUN) & ~s["hit"].rlike(chars) & ~harmless(s["hit"]))
+
+    def scan(s: Column) -> Column:
+        runs = F.filter(_found(s["hit"], HEX_RUN, 0), lambda r: ~harmless(r["hit"]))
+
+        def one(r: Column) -> Column:
+            at = s["start"] + r["start"]
+            return F.transform(F.array(_hot(r["hit"], F.lit(least))), lambda x: F.struct((at + x["first"]).alias("start"), F.lit(len(KINDS)).alias("kind"), F.when(x["first"] >= 0, at + x["last"] + WINDOW).alias("end"), r["hit"].alias("hit")))
+
+        return F.flatten(F.transform(runs, one))
+
+    hot = F.filter(F.flatten(F.transform(mixed, scan)), lambda s: s["end"].isNotNull())
+    return F.when(text.rlike(HEX_RUN), hot).otherwise(_none())
+
+
+def scan(docs: DataFrame, text: str = "text", runs: bool = False) -> tuple[DataFrame, str, str]:
     """docs with two more columns and their names: base spans, and all spans, by start and then kind.
 
-    An entropy span that lies inside a base span is left out, as the base span stays. A null text is empty and has no
+    runs: with the hex runs inside candidates, which the SQL of the report doesn't have. An entropy span that lies inside a base span is left out, as the base span stays. A null text is empty and has no
     spans; other columns stay as they are, the new ones' names avoid theirs.
     """
     base, spans = "_base", "_spans"
     while {base, spans} & {c.lower() for c in docs.columns}:
         base, spans = base + "_", spans + "_"
     body = F.coalesce(F.col(text), F.lit(""))
-    more = F.filter(entropy_spans(body), lambda e: ~F.exists(F.col(base), lambda b: (b["start"] <= e["start"]) & (b["end"] >= e["end"])))
+    high = F.concat(entropy_spans(body), run_spans(body)) if runs else entropy_spans(body)
+    more = F.filter(high, lambda e: ~F.exists(F.col(base), lambda b: (b["start"] <= e["start"]) & (b["end"] >= e["end"])))
     return docs.withColumn(base, base_spans(body)).withColumn(spans, F.array_sort(F.concat(base, more))), base, spans
 
 
@@ -156,7 +181,7 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span of the text replaced by mark; overlapping spans are one. A null text stays null."""
-    found, base, spans = scan(docs, text)
+    found, base, spans = scan(docs, text, runs=True)
     init = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
