@@ -163,3 +163,19 @@ def test_many_blocks_give_the_same_ids(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     one = sorted(map(tuple, bpe.encode(d, queries.tokenizer_path()).collect()))
     assert one == sorted(map(tuple, bpe.encode(d, queries.tokenizer_path(), block_bytes=20_000).collect()))
+
+
+PROSE = "The river rose in the night, and by morning the lower road was gone; nobody had seen it go. "
+
+
+def test_ratios_outweigh_names():
+    story = "".join(f"<p>{PROSE * 4}</p>" for _ in range(5))
+    want = "\n\n".join([(PROSE * 4).strip()] * 5)
+    teaser = "<article><p>Read next: ten bridges you should see.</p></article>"
+    # A dense plain story stays, and a teaser named as content goes.
+    assert html.extract(f"<body><div id='text'>{story}</div>{teaser}</body>") == want
+    assert html.extract(f"<body>{teaser}<div id='text'>{story}</div></body>") == want
+    # Names decide where ratios do not speak against them: a short plain passage beside an article goes.
+    assert html.extract(f"<body><article>{story}</article><div>{PROSE}</div></body>") == want
+    # Two dense parts, only one of them named, both stay.
+    assert html.extract(f"<body><article><p>{PROSE * 4}</p></article><div>{story}</div></body>") == "\n\n".join([(PROSE * 4).strip(), want])

@@ -3,7 +3,8 @@
 A page is cut into blocks of text; a text node belongs to the path of open tags from the root to it. For each path the
 page's text length and punctuation are summed and divided by the number of its nodes; the ratios, in page order, are
 smoothed with a Gaussian, fused with what the path's names say (content or page furniture), and paths above a threshold
-relative to the page's best are content.
+relative to the page's best are content. Where a page has paths named as content and others, the ratios of whole regions
+decide between them, with the names as a finite prior.
 """
 
 from __future__ import annotations
@@ -54,6 +55,10 @@ _UNSEEN = re.compile(r"\bstyle\s*=\s*[\"'][^\"']*display\s*:\s*none", re.IGNOREC
 SIGMA, RADIUS = 1.0, 2  # of the smoothing, in paths
 SHARE = 0.02  # of the best fused ratio, from which a path is content
 PRIOR = {"content": 1.0, "plain": 0.05, "furniture": 0.0}  # what the names weigh
+#: Regions: the text of a path weighs its characters times its smoothed ratios. Names of content multiply that and add to
+#: it as some 500 characters of prose would; a region stays from HALF of what stands against it.
+NAMED, ADDED, HALF = 4.0, 4000.0, 0.5
+HOLDERS = frozenset("html body div section center td".split())  # the innermost of these is a plain path's region
 
 
 def _mark(tag: str, raw: str) -> str:
@@ -140,6 +145,18 @@ def nodes(page: str) -> Iterator[tuple[int, tuple[str, ...], str, str]]:
         yield block, tuple(t for t, _ in stack), stack[-1][1] if stack else "plain", _html.unescape(tail[: cut.start()] if cut else tail)
 
 
+def _region(key: tuple) -> tuple:
+    """What a path's text stands or falls with: its innermost holder; for content the outermost article or main, if any."""
+    path, mark = key
+    if mark == "content":
+        i = next((i for i, t in enumerate(path) if t in ("article", "main")), None)
+    else:
+        i = None
+    if i is None:
+        i = max((i for i, t in enumerate(path) if t in HOLDERS), default=-1)
+    return path[: i + 1], mark
+
+
 def extract(page: str | None) -> str:
     """The page's main text: blocks joined by an empty line, white space inside a block made one space; empty if none."""
     found = list(nodes(page or ""))
@@ -169,10 +186,17 @@ def extract(page: str | None) -> str:
     fused = {k: PRIOR[k[1]] * (a + b) for k, a, b in zip(keys, smooth(ratio), smooth(marks), strict=True)}
     best = max(fused.values())
     least = best * (SHARE if any(k[1] == "content" and fused[k] > 0 for k in keys) else 0.5)
+    kept = {k for k in keys if fused[k] > 0 and fused[k] >= least}
     if any(k[1] == "content" and fused[k] > 0 for k in keys):
         kept = {k for k in keys if k[1] == "content" and fused[k] >= least}
-    else:
-        kept = {k for k in keys if fused[k] > 0 and fused[k] >= least}
+        evidence: dict[tuple, float] = {}
+        for k in keys:
+            if PRIOR[k[1]]:
+                evidence[_region(k)] = evidence.get(_region(k), 0.0) + totals[k][0] * fused[k] / PRIOR[k[1]]
+        evidence = {r: NAMED * e + ADDED if r[1] == "content" else e for r, e in evidence.items()}
+        plain = max((e for r, e in evidence.items() if r[1] == "plain"), default=0.0)
+        kept = {k for k in kept if evidence[_region(k)] >= HALF * plain}
+        kept |= {k for k in keys if k[1] == "plain" and evidence[_region(k)] >= HALF * max(evidence.values())}
     blocks: dict[int, list[str]] = {}
     for number, path, mark, text in found:
         if (path, mark) in kept or not text.strip():
