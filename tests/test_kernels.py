@@ -306,3 +306,30 @@ def test_detector():
     spec = ms.local_level()
     draws = gibbs.sample_structured(np.asarray(y, float), spec, 30, linalg.stream(1))
     assert series.warm_started(spec, draws).x0[0] == draws.x[-1, 0]
+
+
+def test_closed_shares_equal_all_coalitions():
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 5, 9):
+        for lifts in (rng.normal(0, 50, n), rng.integers(-2, 3, n).astype(float), np.zeros(n)):
+            by = {f"p{i}": float(v) for i, v in enumerate(lifts)}
+            for decay in (0.7, 0.2, 1.0):
+                want = shapley.exact_shares(list(by), shapley.rank_decay(by, decay))
+                got = shapley.rank_decay_shares(by, decay)
+                assert all(np.isclose(got[k], want[k], atol=1e-9) for k in by)
+        run = np.concatenate([[0.0], np.cumsum(rng.normal(0, 5, 40))])
+        ends = [sorted(rng.choice(40, 2, replace=False).tolist()) for _ in range(n)]
+        spots = [(f"p{i}", a, b) for i, (a, b) in enumerate(ends)]
+        of = {s[0]: s for s in spots}
+        want = shapley.exact_shares(list(of), lambda ids, of=of, run=run: shapley.union_lift(run, run, [of[i] for i in ids])[0])
+        got = shapley.union_shares(spots, run)
+        assert all(np.isclose(got[k], want[k], atol=1e-9) for k in of)
+
+
+def test_a_group_of_a_thousand_windows_is_shared_at_once():
+    spots = [(f"s{i:04d}", i, i + 3) for i in range(1000)]
+    rng = np.random.default_rng(4)
+    y = rng.normal(0, 30, 1003)
+    got = shapley.attribute(y, np.zeros(1003), np.ones(1003), 0.5, spots)
+    assert {g for *_, g in got} == {0} and np.isclose(sum(r[3] for r in got), y[:1002].sum())
+    assert np.isclose(sum(r[4] for r in got), 1.5 * 1002)

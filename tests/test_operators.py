@@ -160,3 +160,43 @@ def test_stream_of_two_batches_keeps_the_state(spark, tmp_path):
         m, sd, x, p = step_detector(x, p, y, 1, 1, 1.0, 4.0)
         want.append((y, round(m, 9), abs(y - m) / sd > 1.959964))
     assert got == want and [a for *_, a in got] == [False, False, True, True]
+
+
+def test_stream_drops_late_rows(spark, tmp_path):
+    schema = "series_id string, ts timestamp, y double"
+    for k, rows in enumerate([[("a", "2024-01-05 00:00:00", 1.0)], [("a", "2024-01-06 00:00:00", 2.0)], [("a", "2024-01-01 02:00:00", 50.0), ("a", "2024-01-06 01:00:00", 3.0)]]):
+        spark.createDataFrame(rows, "series_id string, ts string, y double").selectExpr("series_id", "CAST(ts AS timestamp) AS ts", "y").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = online.score_stream(stream, idle_ms=10**9)
+    got.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(online.SCHEMA).parquet(f"{tmp_path}/out").orderBy("ts").collect()
+    assert [r["value"] for r in rows] == [2.0, 3.0]
+
+
+def test_normal_probabilities(spark):
+    import math
+
+    zs = [-40.0, -8.5, -3.0, -1.0, -1e-9, 0.0, 0.3, 2.9999, 4.25, 6.0, 30.0]
+    rows = spark.createDataFrame([(z,) for z in [*zs, None, float("nan")]], "z double").select("z", c.normal_cdf(F.col("z")).alias("p"), c.p_positive(F.col("z"), F.lit(0.0)).alias("s")).collect()
+    for r in rows[: len(zs)]:
+        want = 0.5 * math.erfc(-r["z"] / math.sqrt(2))
+        assert abs(r["p"] - want) <= 1e-14 + 1e-12 * want
+        assert r["s"] == (1.0 if r["z"] > 0 else 0.0 if r["z"] < 0 else 0.5)
+    assert rows[-2]["p"] is None and math.isnan(rows[-1]["p"])
+
+
+def test_long_adstock_path(spark):
+    values = [float(i % 7) for i in range(1000)]
+    got = spark.createDataFrame([(values,), ([],)], "v array<double>").select(c.adstock_path(F.col("v"), 0.5).alias("a")).collect()
+    run, want = 0.0, []
+    for v in values:
+        run = v + 0.5 * run
+        want.append(run)
+    assert [round(x, 9) for x in got[0]["a"]] == [round(x, 9) for x in want] and got[1]["a"] == []
+
+
+def test_attribution_rejects_repeated_ids(spark):
+    cf = spark.createDataFrame([("s", t, 1.0, 0.0, 1.0) for t in range(5)], "series_id string, t long, y double, cf_mean double, cf_var double")
+    spots = spark.createDataFrame([("s", "a", 0, 2), ("s", "a", 3, 5)], "series_id string, spot_id string, ws long, we long")
+    with pytest.raises(Exception, match="unique"):
+        attribution.attribute(cf, spots).collect()

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidelens.kernels.linalg import z_score
 
+ADSTOCK_BLOCK = 256
 NEAR_ZERO = 1e-10
 
 
@@ -78,9 +76,20 @@ def local_level_terminal(steps: Column, q: float, r: float, x0: Column | float,
 
 
 def adstock_path(values: Column, decay: float) -> Column:
-    """Adstock of an array of doubles, as an array; quadratic in its length, so for short arrays."""
-    before = lambda acc: F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(F.lit(0.0))
-    return F.aggregate(values, F.array().cast("array<double>"), lambda acc, v: F.concat(acc, F.array(v + decay * before(acc))))
+    """Adstock of an array of doubles, as an array. Blocks of ADSTOCK_BLOCK values are folded apart, so no long array grows by copies."""
+    size = F.lit(ADSTOCK_BLOCK)
+    firsts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), size)).otherwise(F.array().cast("array<int>"))
+    empty = F.array().cast("array<double>")
+    last = lambda run, start: F.when(F.size(run) > 0, F.element_at(run, -1)).otherwise(start)
+
+    def block(acc: Column, at: Column) -> Column:
+        start = acc["last"]
+        path = F.aggregate(F.slice(values, at, size), empty, lambda run, v: F.concat(run, F.array(v + decay * last(run, start))))
+        # The path is bound once: a fold's expressions are evaluated wherever they stand.
+        return F.element_at(F.transform(F.array(path), lambda p: F.struct(F.element_at(p, -1).alias("last"), F.concat(acc["paths"], F.array(p)).alias("paths"))), 1)
+
+    start = F.struct(F.lit(0.0).alias("last"), F.array().cast("array<array<double>>").alias("paths"))
+    return F.flatten(F.aggregate(firsts, start, block, lambda acc: acc["paths"]))
 
 
 def adstock_total(values: Column, decay: float) -> Column:
@@ -123,23 +132,36 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_cdf(z: pd.Series) -> pd.Series:
-    """Standard normal distribution function; Spark SQL has none."""
-    return z.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)) if v == v and v is not None else None)
+def erfc(x: Column) -> Column:
+    """Complementary error function, which Spark SQL lacks: a series of positive terms up to 3, a continued fraction beyond."""
+    return F.element_at(F.transform(F.array(x), _erfc), 1)  # binds x, which stands in every term
+
+
+def _erfc(x: Column) -> Column:
+    a = F.abs(x)
+    near = F.least(a, F.lit(3.0))
+    square = 2.0 * near * near
+    series = F.lit(1.0)
+    for k in range(60, 0, -1):
+        series = 1.0 + square / (2 * k + 1) * series
+    far = F.greatest(a, F.lit(3.0))
+    fraction = far
+    for k in range(40, 0, -1):
+        fraction = far + (k / 2) / fraction
+    root = math.sqrt(math.pi)
+    upper = F.when(a <= 3.0, 1.0 - 2.0 / root * near * F.exp(-near * near) * series).otherwise(F.exp(-far * far) / root / fraction)
+    return F.when(x.isNotNull(), F.when(x < 0, 2.0 - upper).otherwise(upper))
 
 
-@F.pandas_udf(T.DoubleType())
-def p_positive(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """P(effect > 0) of a normal effect with a mean and a variance; 1, 0 or 1/2 without variance."""
+def normal_cdf(z: Column) -> Column:
+    """Standard normal distribution function; null and NaN stay."""
+    return F.when(F.isnan(z), z).otherwise(0.5 * erfc(-z / math.sqrt(2)))
 
-    def one(m: float, v: float) -> float:
-        if v <= 0:
-            return 1.0 if m > 0 else 0.0 if m < 0 else 0.5
-        return 0.5 * math.erfc(-m / math.sqrt(2 * v))
 
-    for m, v in parts:
-        yield pd.Series([one(a, b) for a, b in zip(m, v, strict=True)])
+def p_positive(mean: Column, variance: Column) -> Column:
+    """P(effect > 0) of a normal effect with a mean and a variance; 1, 0 or 1/2 without variance; null for a null."""
+    sure = F.when(mean > 0, 1.0).when(mean < 0, 0.0).when(mean == 0, 0.5)
+    return F.when(variance <= 0, sure).otherwise(normal_cdf(mean / F.sqrt(variance)))
 
 
 def severity(z: Column, threshold: float) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import insort
 
 import numpy as np
 
@@ -82,20 +83,79 @@ def exact_shares(ids: list, value) -> dict:
 
 
 def sampled_shares(ids: list, value, samples: int = 10_000, seed: int = 42) -> dict:
-    """Shapley shares from random orders of the players."""
-    ids, rng, known = sorted(ids), stream(seed, "shapley"), {(): 0.0}
+    """Shapley shares from random orders of the players. Coalitions are remembered among EXACT_PLAYERS or fewer only."""
+    ids, rng, known = sorted(ids), stream(seed, "shapley"), {}
     total = dict.fromkeys(ids, 0.0)
+
+    def worth(held: tuple) -> float:
+        if len(ids) > EXACT_PLAYERS:
+            return value(list(held))
+        if held not in known:
+            known[held] = value(list(held))
+        return known[held]
+
     for _ in range(samples):
-        held: tuple = ()
-        for i in rng.permutation(len(ids)):
-            grown = tuple(sorted((*held, ids[i])))
-            if grown not in known:
-                known[grown] = value(list(grown))
-            total[ids[i]] += (known[grown] - known[held]) / samples
-            held = grown
+        held, before = [], 0.0
+        for i in rng.permutation(len(ids)).tolist():
+            insort(held, ids[i])
+            now = worth(tuple(held))
+            total[ids[i]] += (now - before) / samples
+            before = now
     return total
 
 
+def rank_decay_shares(lifts: dict, decay: float = 0.7) -> dict:
+    """Shapley shares of the game rank_decay(lifts, decay), exactly, for any number of players.
+
+    A share is the integral over p in [0, 1] of a player's marginal value where each other player is in with chance p.
+    With k players larger than i, a lift adds l_i times the integral of (1 - (1 - d) p)^k, and it pushes each smaller
+    lift one rank down. Players of equal size take the mean over all orders among them, as the game does.
+    """
+    names = sorted(lifts, key=lambda i: (-abs(lifts[i]), str(i)))
+    n, c = len(names), 1.0 - decay
+    own = np.array([lifts[i] for i in names], np.float64)
+    size = np.abs(own)
+    first, at = np.zeros(n, np.int64), 0  # of each player's run of equal sizes
+    for k in range(n):
+        if size[at] - size[k] > TIE * max(size[at], 1.0):
+            at = k
+        first[k] = at
+    k = np.arange(n + 2, dtype=np.float64)
+    if c == 0:
+        added, pushed = np.ones(n), np.zeros(n)
+    else:
+        whole = (1 - decay ** (k + 1)) / (k + 1) if decay != 0 else 1 / (k + 1)
+        added = whole[:n] / c
+        pushed = np.zeros(n)  # by a larger player, for the player at rank k
+        pushed[1:] = -(whole[: n - 1] - whole[1:n]) / c
+    _, run, m = np.unique(first, return_inverse=True, return_counts=True)
+    mean = lambda v: (np.bincount(run, v) / m)[run] if n else v
+    below = np.bincount(run, own * mean(pushed)) if n else own
+    after = np.concatenate([np.cumsum(below[::-1])[::-1][1:], [0.0]])[run] if n else own
+    # Among m equals, the one at place j of the run has the player before it in j of the m (m - 1) ordered pairs.
+    place = np.arange(n) - first
+    inside = np.bincount(run, place * pushed) / np.maximum(m * (m - 1), 1) if n else own
+    others = (np.bincount(run, own)[run] - own) * inside[run] if n else own
+    return dict(zip(names, (own * mean(added) + after + others).tolist(), strict=True))
+
+
+def union_shares(spots: list[tuple], lift_at: dict) -> dict:
+    """Shapley shares of the lift over the union of windows, exactly: each step's lift is shared by the windows over it.
+
+    lift_at: running sums of lift at every window's start and end.
+    """
+    edges = sorted({x for _, a, b in spots for x in (a, b)})
+    place = {x: k for k, x in enumerate(edges)}
+    cover = np.zeros(len(edges))
+    for _, a, b in spots:
+        cover[place[a]] += 1
+        cover[place[b]] -= 1
+    sums = np.array([lift_at[x] for x in edges], np.float64)
+    each = np.diff(sums) / np.maximum(np.cumsum(cover)[:-1], 1)
+    run = np.concatenate([[0.0], np.cumsum(each)])
+    return {i: float(run[place[b]] - run[place[a]]) for i, a, b in spots}
+
+
 def normalized(shares: dict, total: float) -> dict:
     """Shares that sum to the total; equal ones where they sum to nothing."""
     now = sum(shares.values())
@@ -108,7 +168,26 @@ def allocate(ids: list, total: float, value, samples: int = 10_000, seed: int =
     return normalized(exact_shares(ids, value) if len(ids) <= EXACT_PLAYERS else sampled_shares(ids, value, samples, seed), total)
 
 
-def attribute(y, mean, variance, obs_variance: float, spots: list[tuple], mode: str | None = None, decay: float = 0.7, samples: int = 10_000, seed: int = 42) -> list[tuple]:
+def share_group(group: list[tuple], lift_at: dict, var_at: dict, mode: str | None = None, decay: float = 0.7) -> list[tuple]:
+    """(id, lift, variance) of the windows (id, start, end) of one overlap group, from running sums at their edges.
+
+    One window has its own lift. More share their union's lift and variance: up to EXACT_LIFT windows, or in mode
+    "exact_lift", by the lift of coalitions; larger groups by lifts that fade with their rank. Both are exact.
+    """
+    if len(group) == 1:
+        i, a, b = group[0]
+        return [(i, float(lift_at[b] - lift_at[a]), float(var_at[b] - var_at[a]))]
+    total, total_var = union_lift(lift_at, var_at, group)
+    if (mode or ("exact_lift" if len(group) <= EXACT_LIFT else "diminishing")) == "exact_lift":
+        shares = union_shares(group, lift_at)
+    else:
+        shares = rank_decay_shares({i: float(lift_at[b] - lift_at[a]) for i, a, b in group}, decay)
+    shares = normalized(shares, total)
+    size = sum(map(abs, shares.values()))
+    return [(i, shares[i], total_var * abs(shares[i]) / size if size > 1e-15 else total_var / len(group)) for i, _, _ in group]
+
+
+def attribute(y, mean, variance, obs_variance: float, spots: list[tuple], mode: str | None = None, decay: float = 0.7) -> list[tuple]:
     """(id, start, end, lift, variance, group) of each spot: its window's lift, or its share of an overlap group's."""
     y, mean, variance = (np.asarray(v, np.float64) for v in (y, mean, variance))
     if len({s[0] for s in spots}) < len(spots):
@@ -119,18 +198,6 @@ def attribute(y, mean, variance, obs_variance: float, spots: list[tuple], mode:
     var = np.concatenate([[0.0], np.cumsum(variance + obs_variance)])
     out = []
     for g, group in enumerate(overlap_groups(spots)):
-        if len(group) == 1:
-            i, a, b = group[0]
-            out.append((i, a, b, float(lift[b] - lift[a]), float(var[b] - var[a]), g))
-            continue
-        by = {s[0]: s for s in group}
-        total, total_var = union_lift(lift, var, group)
-        if (mode or ("exact_lift" if len(group) <= EXACT_LIFT else "diminishing")) == "exact_lift":
-            value = lambda ids, by=by: union_lift(lift, var, [by[i] for i in ids])[0]
-        else:
-            value = rank_decay({i: float(lift[b] - lift[a]) for i, a, b in group}, decay)
-        shares = allocate([s[0] for s in group], total, value, samples, seed)
-        size = sum(map(abs, shares.values()))
-        for i, a, b in group:
-            out.append((i, a, b, shares[i], total_var * abs(shares[i]) / size if size > 1e-15 else total_var / len(group), g))
+        found = share_group(group, lift, var, mode, decay)
+        out += [(i, a, b, share, v, g) for (i, a, b), (_, share, v) in zip(group, found, strict=True)]
     return out

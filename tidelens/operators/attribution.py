@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,25 +48,36 @@ def union_lift(cf: DataFrame, spots: DataFrame, by: list[str], obs_variance: flo
     return parts.select("series_id", "spot_id", *by).join(lifts, ["series_id", "spot_id"]).groupBy("series_id", *by).agg(F.sum("lift").alias("lift"), F.sum("variance").alias("variance"))
 
 
-def attribute(cf: DataFrame, spots: DataFrame, obs_variance: float = 0.0, alpha: float = 0.05, mode: str | None = None, decay: float = 0.7, samples: int = 10_000, seed: int = 42) -> DataFrame:
+def attribute(cf: DataFrame, spots: DataFrame, obs_variance: float = 0.0, alpha: float = 0.05, mode: str | None = None, decay: float = 0.7) -> DataFrame:
     """Lift, deviation, bounds and P(lift > 0) of each spot; overlap groups share their union's lift by Shapley.
 
-    cf: (series_id, t, y, cf_mean, cf_var). One cogrouped shuffle by series.
+    cf: (series_id, t, y, cf_mean, cf_var). Groups are found by a window over the spots, running sums meet the windows'
+    edges by equality joins, and each overlap group is shared out in a task of its own, whatever the series' length.
+    Spots outside the series, empty ones and ids that repeat in a series raise an error.
     """
     z = z_score(alpha)
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a = a.sort_values("t")
-        spots_ = list(b[["spot_id", "ws", "we"]].itertuples(index=False, name=None))
-        rows = shapley.attribute(a["y"], a["cf_mean"], a["cf_var"], obs_variance, spots_, mode, decay, samples, seed)
-        out = pd.DataFrame(rows, columns=["spot_id", "ws", "we", "lift", "variance", "group_id"])
-        out["lift_sd"] = np.sqrt(np.maximum(out["variance"], 0))
-        out["lift_lower"], out["lift_upper"] = out["lift"] - z * out["lift_sd"], out["lift"] + z * out["lift_sd"]
-        return out.drop(columns="variance").assign(series_id=b["series_id"].iloc[0] if len(b) else None)[["series_id", "spot_id", "ws", "we", "group_id", "lift", "lift_sd", "lift_lower", "lift_upper"]]
-
-    pairs = cf.select("series_id", "t", "y", "cf_mean", "cf_var").groupBy("series_id").cogroup(spots.select("series_id", "spot_id", "ws", "we").groupBy("series_id"))
-    out = pairs.applyInPandas(run, "series_id string, spot_id string, ws long, we long, group_id long, lift double, lift_sd double, lift_lower double, lift_upper double")
-    return out.filter("series_id IS NOT NULL").withColumn("p_positive", c.p_positive(F.col("lift"), F.col("lift_sd") * F.col("lift_sd")))
+    run = running_lift(cf, obs_variance)
+    start, end = (run.select("series_id", F.col("t").alias(e), F.col("lift").alias(f"_l{k}"), F.col("var").alias(f"_v{k}")) for k, e in enumerate(("ws", "we")))
+    again = F.count("*").over(Window.partitionBy("series_id", "spot_id")) > 1
+    own = overlap_groups(spots.select("series_id", "spot_id", "ws", "we").withColumn("_again", again))
+    edged = own.join(start, ["series_id", "ws"], "left").join(end, ["series_id", "we"], "left")
+
+    def share(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["ws"], r["we"], r["spot_id"]))
+        if any(r["_again"] for r in rows):
+            raise ValueError("spot ids must be unique")
+        if any(r["_l0"] is None or r["_l1"] is None or r["ws"] >= r["we"] for r in rows):
+            raise ValueError("a spot's window lies outside the series or is empty")
+        lift_at, var_at = ({r[e]: r[f"_{x}{k}"] for r in rows for k, e in enumerate(("ws", "we"))} for x in "lv")
+        found = shapley.share_group([(r["spot_id"], r["ws"], r["we"]) for r in rows], lift_at, var_at, mode, decay)
+        out = [{c: r[c] for c in ("series_id", "spot_id", "ws", "we", "group_id")} | {"lift": x, "variance": v} for r, (_, x, v) in zip(rows, found, strict=True)]
+        return pa.Table.from_pylist(out, pa.schema([*(table.schema.field(c) for c in ("series_id", "spot_id", "ws", "we", "group_id")), ("lift", pa.float64()), ("variance", pa.float64())]))
+
+    shared = edged.groupBy("series_id", "group_id").applyInArrow(share, "series_id string, spot_id string, ws long, we long, group_id long, lift double, variance double")
+    sd = F.sqrt(F.greatest("variance", F.lit(0.0)))
+    return shared.select(
+        "series_id", "spot_id", "ws", "we", "group_id", "lift", sd.alias("lift_sd"), (F.col("lift") - z * sd).alias("lift_lower"), (F.col("lift") + z * sd).alias("lift_upper"), c.p_positive(F.col("lift"), F.greatest("variance", F.lit(0.0))).alias("p_positive")
+    )
 
 
 def totals(attributed: DataFrame) -> DataFrame:
@@ -73,7 +85,7 @@ def totals(attributed: DataFrame) -> DataFrame:
     return attributed.groupBy("series_id").agg(F.sum("lift").alias("total_lift"), F.sqrt(F.sum(F.col("lift_sd") * F.col("lift_sd"))).alias("total_lift_sd"))
 
 
-def attribute_draws(draws: DataFrame, spots: DataFrame, alpha: float = 0.05, decay: float = 0.7, samples: int = 10_000, seed: int = 42) -> DataFrame:
+def attribute_draws(draws: DataFrame, spots: DataFrame, alpha: float = 0.05, decay: float = 0.7) -> DataFrame:
     """Spots' lifts over posterior draws (series_id, draw, t, actual, counterfactual), t from 0 in the post-period.
 
     Lifts are shared out in each draw, a task for each series and draw; then mean, deviation, outward order statistics
@@ -89,7 +101,7 @@ def attribute_draws(draws: DataFrame, spots: DataFrame, alpha: float = 0.05, dec
             for sid, draw, steps, own in pdf[["series_id", "draw", "steps", "spots"]].itertuples(index=False, name=None):
                 y = [s["actual"] for s in steps]
                 m = [s["counterfactual"] for s in steps]
-                out += [(sid, draw, r[0], r[1], r[2], r[3]) for r in shapley.attribute(y, m, np.zeros(len(y)), 0.0, [(s["spot_id"], s["ws"], s["we"]) for s in own], None, decay, samples, seed)]
+                out += [(sid, draw, r[0], r[1], r[2], r[3]) for r in shapley.attribute(y, m, np.zeros(len(y)), 0.0, [(s["spot_id"], s["ws"], s["we"]) for s in own], None, decay)]
             yield pd.DataFrame(out, columns=["series_id", "draw", "spot_id", "ws", "we", "lift"])
 
     lifts = with_spots.join(cast, "series_id").mapInPandas(run, "series_id string, draw long, spot_id string, ws long, we long, lift double")

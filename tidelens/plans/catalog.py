@@ -75,7 +75,8 @@ def counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 2 to 6 hours from the hours whose sum is over 300, by series."""
     h = hourly(spark, sf_dir)
-    w = h.filter("y > 300").select("series_id", F.concat(F.lit("s"), F.col("t").cast("string")).alias("spot_id"), F.col("t").alias("ws"), F.least(F.col("t") + 2 + F.col("t") % 5, F.lit(720)).cast("long").alias("we"))
+    h = h.crossJoin(F.broadcast(h.agg((F.max("t") + 1).alias("n"))))  # one row: the calendar's length
+    w = h.filter("y > 300").select("series_id", F.concat(F.lit("s"), F.col("t").cast("string")).alias("spot_id"), F.col("t").alias("ws"), F.least(F.col("t") + 2 + F.col("t") % 5, F.col("n")).cast("long").alias("we"))
     return w
 
 
@@ -88,7 +89,7 @@ GAPPY = DAILY.replace("round(d0.y, 2) AS y", "CASE WHEN date_diff('day', e0.a, c
 HOURLY = DAILY.replace("'day'", "'hour'").replace("1 DAY", "1 HOUR")
 CF = HOURLY + """,
 cf AS (SELECT series_id, t, coalesce(y, 0.0) AS y, CAST(140.0 + t % 24 AS DOUBLE) AS cf_mean, CAST(100.0 + t % 7 AS DOUBLE) AS cf_var FROM s),
-w AS (SELECT series_id, 's' || t AS spot_id, t AS ws, CAST(least(t + 2 + t % 5, 720) AS BIGINT) AS we FROM s WHERE y > 300)"""
+w AS (SELECT series_id, 's' || t AS spot_id, t AS ws, CAST(least(t + 2 + t % 5, (SELECT max(t) + 1 FROM s)) AS BIGINT) AS we FROM s WHERE y > 300)"""
 
 
 def _filter_sql(h: str = "1.0", x0: str = str(X0), q: float = Q, r: float = R, p0: float = P0) -> str:
@@ -266,13 +267,32 @@ def coalition_lift(spark, sf_dir):
 
 @query(CF + _UNION + " SELECT series_id, round(sum(lift), 3) AS total_lift FROM u GROUP BY 1")
 def attribution_total(spark, sf_dir):
-    got = attribution.attribute(counterfactual(spark, sf_dir), windows(spark, sf_dir), 0.5, samples=2000)
+    got = attribution.attribute(counterfactual(spark, sf_dir), windows(spark, sf_dir), 0.5)
     return attribution.totals(got).select("series_id", F.round("total_lift", 3).alias("total_lift"))
 
 
-@query()
+#: erf by a series of positive terms, as DuckDB has none.
+_ERF = "(CASE WHEN abs({x}) > 5.9 THEN sign({x}) ELSE sign({x}) * 2 / sqrt(pi()) * list_sum(list_transform(generate_series(0, 120), lambda n: exp(2 * n * ln(2) + (2 * n + 1) * ln(greatest(abs({x}), 1e-300)) + lgamma(n + 1) - lgamma(2 * n + 2) - {x} * {x}))) END)"
+
+
+@query(CF + _GROUPS + f""",
+z AS (SELECT series_id, group_id, count(*) AS n FROM g GROUP BY 1, 2),
+c AS (SELECT g.series_id, group_id, t, any_value(y - cf_mean) AS d, any_value(cf_var + 0.5) AS v, count(*) AS k FROM g JOIN cf ON cf.series_id = g.series_id AND t >= ws AND t < we GROUP BY 1, 2, 3),
+u AS (SELECT series_id, group_id, sum(d) AS total, sum(v) AS var FROM c GROUP BY 1, 2),
+x AS (SELECT g.*, z.n, sum(c.d) AS own, sum(c.d / c.k) AS shared FROM g JOIN z ON z.series_id = g.series_id AND z.group_id = g.group_id JOIN c ON c.series_id = g.series_id AND c.group_id = g.group_id AND c.t >= ws AND c.t < we GROUP BY ALL),
+r AS (SELECT *, round(abs(own), 6) AS m, row_number() OVER (PARTITION BY series_id, group_id ORDER BY abs(own) DESC, spot_id) - 1 AS k FROM x),
+q AS (SELECT *, (1 - pow(0.7, k + 1)) / 0.3 / (k + 1) AS added, CASE WHEN k = 0 THEN 0 ELSE -((1 - pow(0.7, k)) / k - (1 - pow(0.7, k + 1)) / (k + 1)) / 0.3 END AS pushed, k - min(k) OVER (PARTITION BY series_id, group_id, m) AS place FROM r),
+e AS (SELECT series_id, group_id, m, count(*) AS ties, sum(own) AS s, avg(added) AS added, avg(pushed) AS pushed, sum(place * pushed) / greatest(count(*) * (count(*) - 1), 1) AS inside FROM q GROUP BY 1, 2, 3),
+a AS (SELECT *, coalesce(sum(s * pushed) OVER (PARTITION BY series_id, group_id ORDER BY m DESC ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS after FROM e),
+p AS (SELECT q.series_id, q.group_id, spot_id, ws, we, n, CASE WHEN n <= 6 THEN shared ELSE own * a.added + after + (s - own) * inside END AS share FROM q JOIN a ON a.series_id = q.series_id AND a.group_id = q.group_id AND a.m = q.m),
+f AS (SELECT *, sum(share) OVER o AS now FROM p WINDOW o AS (PARTITION BY series_id, group_id)),
+h AS (SELECT f.series_id, f.group_id, spot_id, ws, we, n, var, CASE WHEN n = 1 THEN share WHEN abs(now) < 1e-10 THEN total / n ELSE total * share / now END AS lift FROM f JOIN u ON u.series_id = f.series_id AND u.group_id = f.group_id),
+b AS (SELECT *, sqrt(CASE WHEN size > 1e-15 THEN var * abs(lift) / size ELSE var / n END) AS sd FROM (SELECT *, sum(abs(lift)) OVER (PARTITION BY series_id, group_id) AS size FROM h))
+SELECT series_id, spot_id, ws, we, group_id, round(lift, 4) AS lift, round(sd, 4) AS lift_sd, round(lift - {Z05} * sd, 4) AS lift_lower, round(lift + {Z05} * sd, 4) AS lift_upper,
+       round(CASE WHEN sd = 0 THEN CASE WHEN lift > 0 THEN 1.0 WHEN lift < 0 THEN 0.0 ELSE 0.5 END ELSE 0.5 + 0.5 * {_ERF.format(x="(lift / sd / sqrt(2))")} END, 6) AS p_positive FROM b""")
 def attribution_spots(spark, sf_dir):
-    return attribution.attribute(counterfactual(spark, sf_dir), windows(spark, sf_dir), 0.5, samples=2000)
+    got = attribution.attribute(counterfactual(spark, sf_dir), windows(spark, sf_dir), 0.5)
+    return rounded(got, "lift", "lift_sd", "lift_lower", "lift_upper", to=4).withColumn("p_positive", F.round("p_positive", 6))
 
 
 @query("""

@@ -15,19 +15,29 @@ from tidelens.kernels.series import score_of, step_detector
 SCHEMA = "series_id string, ts timestamp, value double, predicted double, predicted_sd double, z_score double, anomaly boolean, severity string"
 
 
-def score_stream(events: DataFrame, q: float = 1.0, r: float = 1.0, p0: float = 1.0, alpha: float = 0.01, delay: str = "1 hour") -> DataFrame:
+def score_stream(events: DataFrame, q: float = 1.0, r: float = 1.0, p0: float = 1.0, alpha: float = 0.01, delay: str = "1 hour", idle_ms: int | None = None) -> DataFrame:
     """Scores of (series_id, ts, y). Steps of a micro-batch are taken in order of ts; rows behind the watermark are dropped.
 
     The first observation starts a series' state and is not scored against itself. A missing y only predicts. A row that
-    is older than the last step of its series, but not late, is scored after it: the filter has no way back.
+    is older than the last step of its series, but not late, is scored after it: the filter has no way back. A row
+    without ts is dropped. idle_ms: the state of a series goes once the watermark is so far behind its latest row.
     """
-    z = z_score(alpha)
+    z, live = z_score(alpha), events.isStreaming
+    names = ["series_id", "ts", "value", "predicted", "predicted_sd", "z_score", "anomaly", "severity"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        x, p = state.get if state.exists else (None, None)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=names)
+            return
+        rows = pd.concat(list(frames)).sort_values("us", kind="stable")
+        mark = state.getCurrentWatermarkMs() if live else -1
+        x, p, latest = state.get if state.exists else (None, None, None)
         out = []
-        for ts, y in rows[["ts", "y"]].itertuples(index=False, name=None):
+        for ts, us, y in rows[["ts", "us", "y"]].itertuples(index=False, name=None):
+            if us < mark * 1000:
+                continue
+            latest = us if latest is None else max(latest, us)
             y = None if y is None or y != y else float(y)
             if x is None:
                 if y is not None:
@@ -37,13 +47,17 @@ def score_stream(events: DataFrame, q: float = 1.0, r: float = 1.0, p0: float =
             s = score_of(y, m, sd, z)
             out.append((key[0], ts, y, m, sd, s["z_score"], s["anomaly"], s["severity"]))
         if x is not None:
-            state.update((x, p))
-        yield pd.DataFrame(out, columns=["series_id", "ts", "value", "predicted", "predicted_sd", "z_score", "anomaly", "severity"])
+            state.update((x, p, latest))
+            if live and idle_ms is not None:
+                state.setTimeoutTimestamp(max(latest // 1000 + idle_ms, mark + 1))
+        yield pd.DataFrame(out, columns=names)
 
-    timed = events.select("series_id", F.col("ts").cast("timestamp").alias("ts"), F.col("y").cast("double").alias("y"))
-    if events.isStreaming:
+    timed = events.select("series_id", F.col("ts").cast("timestamp").alias("ts"), F.col("y").cast("double").alias("y")).filter("ts IS NOT NULL")
+    if live:
         timed = timed.withWatermark("ts", delay)
-    return timed.groupBy("series_id").applyInPandasWithState(step, SCHEMA, "x double, p double", "append", GroupStateTimeout.NoTimeout)
+    timed = timed.withColumn("us", F.unix_micros("ts"))
+    forget = GroupStateTimeout.EventTimeTimeout if live and idle_ms is not None else GroupStateTimeout.NoTimeout
+    return timed.groupBy("series_id").applyInPandasWithState(step, SCHEMA, "x double, p double, latest long", "append", forget)
 
 
 def windowed_series(events: DataFrame, every: str = "1 hour", delay: str = "1 hour") -> DataFrame:
