@@ -2,7 +2,10 @@
 
 import hashlib
 import math
+import random
 import re
+import string
+import time
 from collections import Counter
 
 import pytest
@@ -85,11 +88,15 @@ def brute_secrets(text):
         if any(re.search(p, s) for p in secrets.ALLOWED):
             continue
         kind, least = (3, 3.0) if re.fullmatch("[0-9a-fA-F]+", s) else (4, 3.8)
-        hot = [i for i in range(len(s) - 19) if -sum(c / 20 * math.log2(c / 20) for c in Counter(s[i : i + 20]).values()) >= least]
-        if hot:
-            span = (m.start() + hot[0], kind, m.start() + hot[-1] + 20)
-            if not any(b[0] <= span[0] and b[2] >= span[2] for b in base):
-                more.append(span)
+        scans = [(m.start(), s, kind, least)]
+        if kind == 4:  # and runs of hex digits inside, under their own class
+            scans += [(m.start() + r.start(), r[0], 3, 3.0) for r in re.finditer("[0-9a-fA-F]{20,}", s) if not any(re.search(p, r[0]) for p in secrets.ALLOWED)]
+        for start, part, kind, least in scans:
+            hot = [i for i in range(len(part) - 19) if -sum(c / 20 * math.log2(c / 20) for c in Counter(part[i : i + 20]).values()) >= least]
+            if hot:
+                span = (start + hot[0], kind, start + hot[-1] + 20)
+                if not any(b[0] <= span[0] and b[2] >= span[2] for b in base):
+                    more.append(span)
     names = [*secrets.KINDS, *(c[0] for c in secrets.CLASSES)]
     show = lambda spans: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(spans))
     return tuple(sum(k == i for _, k, _ in base) for i in range(3)) + (hashlib.sha256(show(base).encode()).hexdigest(), show(base + more))
@@ -138,3 +145,22 @@ def test_redaction_of_hex_keys_joined_to_names(spark):
     got = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, want string")).collect()}
     for i, t, gone in rows:
         assert (gone not in got[i] and "[SECRET]" in got[i] and got[i].endswith(" end")) if gone else got[i] == t
+
+
+def test_secret_scan_of_a_candidate_of_a_million_characters_and_of_many_matches(spark):
+    rng, abc = random.Random(5), string.ascii_letters + string.digits
+    key = lambda n: "".join(rng.choice(abc) for _ in range(n))
+    many = "é ".join(f"token={key(10)}" for _ in range(50_000))
+    docs = spark.createDataFrame([(1, "é " + key(1_000_000) + " end"), (2, many)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in secrets.report(docs).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert time.perf_counter() - began < 120
+    assert got[1]["spans"].startswith("entropy_base64:2:") and got[1]["spans"].endswith(":1000002") and clean[1] == "é [SECRET] end"
+    assert got[2]["n_assign"] == 50_000 and got[2]["spans"].split(",")[1] == "assign:18:34" and clean[2] == "é ".join(["[SECRET]"] * 50_000)
+
+
+def test_hex_runs_inside_mixed_candidates_are_reported_under_their_own_class(spark):
+    run = "9f86d081884c7d659a2feaa0c5"
+    got = secrets.report(spark.createDataFrame([(1, f"see /v1/{run}/x")], "doc_id long, text string")).first()
+    assert f"entropy_hex:8:{8 + len(run)}" in got["spans"]
