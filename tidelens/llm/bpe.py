@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidelens.llm.common import BLOCK_BYTES, bounded_batches, in_blocks, opened, pack, part_of, relax, unpack
 
@@ -26,6 +27,7 @@ from tidelens.llm.common import BLOCK_BYTES, bounded_batches, in_blocks, opened,
 _PLAIN = re.compile(r"[\x09-\x0d\x20-\x7e\xa0-ɏ]*")
 #: Words that one call of the library encodes.
 _AT_ONCE = 256
+RANGE_BYTES = 48 << 20
 
 
 class Splitter:
@@ -112,7 +114,9 @@ def encode(docs: DataFrame, path: str, keep: str = "doc_id", text: str = "text",
     repeated rows and ties stay as they are; an empty table gives an empty result; other columns are left out. path must
     be readable on the executors. Smaller blocks take less memory and more disk, as fewer words of a block are equal.
     """
-    blocks, parts = in_blocks(docs, [keep], text, block_bytes)
+    blocks, n_blocks = in_blocks(docs, [keep], text, block_bytes)
+    # A range answers for about RANGE_BYTES of text, however large the blocks are; a block sends it at most one message.
+    parts = -(-n_blocks * block_bytes // RANGE_BYTES)
 
     def ask(table: pa.Table) -> pa.Table:
         _, ranges = _distinct(splitter(path), opened(table).column("text").to_pylist(), parts)
@@ -174,8 +178,8 @@ def encode(docs: DataFrame, path: str, keep: str = "doc_id", text: str = "text",
         return pa.Table.from_arrays([left.column(keep), pa.array(n, pa.int64()), first, pa.array(two, pa.string())], names)
 
     asked = blocks.groupBy("block").applyInArrow(ask, "part int, block int, blob binary")
-    answers = asked.repartition(parts, "part").groupBy("part").applyInArrow(answer, "block int, part int, counts binary, ids binary")
-    return blocks.groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block")).applyInArrow(join, schema)
+    answers = asked.repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(answer, "block int, part int, counts binary, ids binary")
+    return blocks.groupBy("block").cogroup(answers.repartitionById(n_blocks, F.col("block")).groupBy("block")).applyInArrow(join, schema)
 
 
 def decode(spark: SparkSession, encoded: DataFrame, path: str, keep: str = "doc_id") -> DataFrame:
