@@ -3,44 +3,18 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset, a temporary folder on a local master; an error on a cluster."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    key = spark.sparkContext.applicationId
-    if key not in _LOCAL:
-        _LOCAL[key] = "file://" + tempfile.mkdtemp(prefix="tidelens-")
-    return _LOCAL[key]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/tidelens-{uuid.uuid4().hex}/{name}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and a lost executor loses none of it."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from tidelens.sources.scratch import scratch_path, shared_dir, written
 
+__all__ = ["scratch_path", "shared_dir", "written"]  # and what follows
 
 BATCH_ROWS = 1000  # texts that go to a Python worker at once
 
@@ -92,6 +66,20 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The ascending distinct values, by sorting: many times faster on 64-bit keys than a hash table."""
+    keys = np.sort(keys)
+    return keys[np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))] if len(keys) else keys
+
+
+def placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts the keys, for each key in that order its number among the distinct ones, and those."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    first = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(keys) else np.zeros(0, bool)
+    return order, np.cumsum(first) - 1, ranked[first]
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -136,7 +124,7 @@ def in_blocks(docs: DataFrame, keep: list[str], text: str = "text", block_bytes:
         order = np.argsort(blocks, kind="stable")
         ordered = table.select([*keep, "text"]).take(pa.array(order))
         first = np.flatnonzero(np.diff(blocks[order], prepend=-1))
-        options, blobs = pa.ipc.IpcWriteOptions(compression="zstd"), []
+        options, blobs = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3)), []
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(blocks)], strict=True):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, ordered.schema, options=options) as out:
@@ -157,7 +145,7 @@ def in_blocks(docs: DataFrame, keep: list[str], text: str = "text", block_bytes:
             yield deal(held)
         relax()
 
-    return bounded_batches(rows).mapInArrow(bundle, "block int, rows binary").repartition(n, "block"), n
+    return bounded_batches(rows).mapInArrow(bundle, "block int, rows binary").repartitionById(n, F.col("block")), n
 
 
 def opened(table: pa.Table) -> pa.Table:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.common import Words, bounded_batches, components, hash_words, mix, relax, shingles, whole_groups, written
+from tidelens.llm.common import Words, bounded_batches, components, distinct, hash_words, mix, relax, shingles, whole_groups, written
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
 MINIMA = 128  # coordinates of the embedded set
@@ -351,7 +351,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", re
                 words, keys, begin, end = sets_of(part.column("_text").to_pylist())
                 want = part.column("want").to_pylist()
                 own = [i for i in range(part.num_rows) if node_of(words, i) == want[i]]
-                blobs = [np.unique(keys[begin[i] : end[i]]).tobytes() for i in own]
+                blobs = [distinct(keys[begin[i] : end[i]]).tobytes() for i in own]
                 rest = [part.column(c).take(pa.array(own, pa.int64())) for c in ("want", "root", "members", "size")]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(blobs, pa.binary())], ["node", "root", "members", "size", "shingles"])
         relax()

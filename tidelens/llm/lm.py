@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.common import bounded_batches, chain, hash_words, in_blocks, mix, opened, pack, pack_sorted, part_of, relax, unpack, unpack_sorted, written
+from tidelens.llm.common import bounded_batches, chain, distinct, hash_words, in_blocks, mix, opened, pack, pack_sorted, part_of, placed, relax, unpack, unpack_sorted, written
 
 ORDER = 3  # words of the longest n-grams; the disk for questions grows with it
 BLOCK_BYTES = 8 << 20  # of text in a block
+BLOCKS_A_RANGE = 4  # a range of one order's keys answers as many n-grams as so many blocks ask for, whatever the input's size
+_SHORT = np.uint64(0xFFFFFFFFFFFFFF00)  # keys of two words and more keep 56 bits: what a question costs is its keys' bits
 SIZES, RATIOS = 48, 130  # classes of contexts by the logarithm of their counts, and of a token's two estimates by their ratio's
 _START, _END = mix(np.array([1, 2], np.uint64) * np.uint64(0xA0761D6478BD642F))  # keys of a text's start and end
 
@@ -50,7 +52,7 @@ class Grams:
         one[self.starts[:-1]], one[self.starts[1:] - 1] = _START, _END
         self.keys = [one]
         for _ in range(1, order):
-            self.keys.append(np.concatenate([one[:1], chain(self.keys[-1][:-1], one[1:])]))
+            self.keys.append(np.concatenate([one[:1], chain(self.keys[-1][:-1], one[1:])]) & _SHORT)
 
     def _places(self, sizes: np.ndarray) -> None:
         self.sizes = sizes  # tokens of each text: the words and the end
@@ -69,9 +71,9 @@ class Grams:
 def statistics(docs: DataFrame, text: str, train: str, parts: int) -> tuple[int, int]:
     """N and V: tokens and distinct tokens of the training texts, from all of them."""
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(keys: list[np.ndarray], n: int) -> pa.RecordBatch:
-            all_ = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]))
+            all_ = distinct(np.concatenate([np.zeros(0, np.uint64), *keys]))
             cut = np.searchsorted(part_of(all_, parts), np.arange(parts + 1))
             full = [p for p in range(parts) if cut[p + 1] > cut[p]]
             blobs = [pack_sorted(all_[cut[p] : cut[p + 1]]) for p in full]
@@ -82,11 +84,11 @@ def statistics(docs: DataFrame, text: str, train: str, parts: int) -> tuple[int,
             for at in range(0, batch.num_rows, 512):
                 texts = batch.slice(at, 512).column(0).to_pylist()
                 words = hash_words([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts])
-                keys.append(np.unique(words.hashes))
+                keys.append(distinct(words.hashes))
                 n += len(words.hashes) + len(texts)
                 held += len(keys[-1])
                 if held > 1 << 21:
-                    keys = [np.unique(np.concatenate(keys))]
+                    keys = [distinct(np.concatenate(keys))]
                     held = len(keys[0])
                     if held > 1 << 20:
                         yield out(keys, n)
@@ -97,10 +99,10 @@ def statistics(docs: DataFrame, text: str, train: str, parts: int) -> tuple[int,
     def merge(table: pa.Table) -> pa.Table:
         if table.column("part")[0].as_py() < 0:
             return pa.table({"v": pa.array([0], pa.int64()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
-        known = np.unique(np.concatenate([unpack_sorted(b) for b in table.column("blob").to_pylist()]))
+        known = distinct(np.concatenate([unpack_sorted(b) for b in table.column("blob").to_pylist()]))
         return pa.table({"v": pa.array([len(known)], pa.int64()), "n": pa.array([0], pa.int64())})
 
-    found = bounded_batches(docs.filter(F.col(train)).select(text)).mapInArrow(distinct, "part int, blob binary, n long")
+    found = bounded_batches(docs.filter(F.col(train)).select(text)).mapInArrow(gather, "part int, blob binary, n long")
     total = found.repartition(parts, "part").groupBy("part").applyInArrow(merge, "v long, n long").agg(F.sum("n"), F.sum("v")).first()
     n, v = total[0] or 0, total[1] or 0
     return n, v + (1 if n else 0)  # the end is a token
@@ -204,60 +206,63 @@ def score(docs: DataFrame, train: str, keep: list[str], text: str = "text", orde
     Words are runs between ASCII white space with A-Z in lower case; a text's end is a token. base_score sums
     log10((c + 1) / (N + V + 1)); score is the model's log10 probability of the text. A null text is empty and has its
     end only; a null train is false; repeated rows count as often as they stand; other columns are left out. Without
-    training rows every token is unknown. keep must not hold a column named train_. Different n-grams share a key with
-    probability 2**-64.
+    training rows every token is unknown. keep must not hold a column named train_. Different words share a key with
+    probability 2**-64, longer n-grams with 2**-56. A block sends a range at most one message.
     """
     known = docs.withColumn("train_", F.coalesce(F.col(train), F.lit(False)))
     blocks, n_blocks = in_blocks(known, [*keep, "train_"], text, block_bytes)
-    parts = n_blocks * order
+    ranges = -(-n_blocks // BLOCKS_A_RANGE)  # of each order's keys; an order has its own
     n, v = statistics(known, text, "train_", n_blocks)
 
-    def keys_of(grams: Grams) -> np.ndarray:
-        return np.unique(np.concatenate([k[grams.place >= i] for i, k in enumerate(grams.keys)]))
-
     def trained(rows: pa.Table, grams: Grams) -> np.ndarray:
         return np.repeat(rows.column("train_").to_numpy(zero_copy_only=False).astype(bool), grams.sizes + 1)
 
     def ask(table: pa.Table) -> pa.Table:
         rows = opened(table)
         grams = Grams(rows.column("text").to_pylist(), order)
-        keys, train_ = keys_of(grams), trained(rows, grams)
-        counts = np.zeros(len(keys), np.uint64)
+        train_, part, keys, counts = trained(rows, grams), [], [], []
         for i, k in enumerate(grams.keys):
-            found, times = np.unique(k[train_ & (grams.place >= i)], return_counts=True)
-            counts[np.searchsorted(keys, found)] += times.astype(np.uint64)
-        cut = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
-        full = [p for p in range(parts) if cut[p + 1] > cut[p]]
-        return pa.table({
-            "part": pa.array(full, pa.int32()),
-            "block": pa.array([table.column("block")[0].as_py()] * len(full), pa.int32()),
-            "keys": pa.array([pack_sorted(keys[cut[p] : cut[p + 1]]) for p in full], pa.binary()),
-            "counts": pa.array([pack(counts[cut[p] : cut[p + 1]]) for p in full], pa.binary()),
-        })
+            inside = grams.place >= i
+            own = distinct(k[inside])
+            found, times = np.unique(k[train_ & inside], return_counts=True)
+            count = np.zeros(len(own), np.uint64)
+            count[np.searchsorted(own, found)] = times
+            cut = np.searchsorted(part_of(own, ranges), np.arange(ranges + 1))
+            for p in np.flatnonzero(np.diff(cut)).tolist():
+                part.append(i * ranges + p)
+                keys.append(pack_sorted(own[cut[p] : cut[p + 1]]))
+                counts.append(pack(count[cut[p] : cut[p + 1]]))
+        relax()
+        block = pa.array([table.column("block")[0].as_py()] * len(part), pa.int32())
+        return pa.table({"part": pa.array(part, pa.int32()), "block": block, "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
-        keys = [unpack_sorted(b) for b in table.column("keys").to_pylist()]
+        asked = [unpack_sorted(b) for b in table.column("keys").to_pylist()]
         own = np.concatenate([unpack(b, np.uint64) for b in table.column("counts").to_pylist()])
-        known_, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        order_, number, known_ = placed(np.concatenate(asked))
         total = np.zeros(len(known_), np.uint64)
-        np.add.at(total, inverse, own)
-        cuts = np.cumsum([len(k) for k in keys])[:-1]
-        blobs = [pack(c) for c in np.split(total[inverse], cuts)]
+        np.add.at(total, number, own[order_])
+        out = np.empty(len(own), np.uint64)
+        out[order_] = total[number]
+        blobs = [pack(c) for c in np.split(out, np.cumsum([len(k) for k in asked])[:-1])]
+        relax()
         return pa.table({"block": table.column("block"), "part": table.column("part"), "counts": pa.array(blobs, pa.binary())})
 
     def align(left: pa.Table, right: pa.Table) -> pa.Table:
         """A block's counts beside its symbols, and what its training tokens say of the weights."""
         rows = opened(left)
         grams = Grams(rows.column("text").to_pylist(), order)
-        keys = keys_of(grams)
         got = dict(zip(right.column("part").to_pylist(), right.column("counts").to_pylist(), strict=True))
-        counts = np.concatenate([unpack(got[p], np.uint64) for p in sorted(got)])
-        if len(counts) != len(keys):
-            raise RuntimeError("a block's answers don't match its n-grams")
         aligned = []
         for i, k in enumerate(grams.keys):
-            at = np.searchsorted(keys, k)
-            aligned.append(np.where(grams.place >= i, counts[np.minimum(at, len(keys) - 1)], np.uint64(0)).astype(np.int64))
+            inside = np.flatnonzero(grams.place >= i)
+            order_, number, own = placed(k[inside])
+            counts = np.concatenate([np.zeros(0, np.uint64), *(unpack(got[p], np.uint64) for p in sorted(got) if p // ranges == i)])
+            if len(counts) != len(own):
+                raise RuntimeError("a block's answers don't match its n-grams")
+            beside = np.zeros(len(k), np.int64)
+            beside[inside[order_]] = counts[number].astype(np.int64)
+            aligned.append(beside)
         seen = ratios(grams, aligned, trained(rows, grams), n, v).ravel()
         full = np.flatnonzero(seen)
         relax()
@@ -274,8 +279,8 @@ def score(docs: DataFrame, train: str, keep: list[str], text: str = "text", orde
         })
 
     asked = blocks.groupBy("block").applyInArrow(ask, "part int, block int, keys binary, counts binary")
-    answers = asked.repartition(parts, "part").groupBy("part").applyInArrow(answer, "block int, part int, counts binary")
-    joined = blocks.groupBy("block").cogroup(answers.repartition(n_blocks, "block").groupBy("block"))
+    answers = asked.repartitionById(ranges * order, F.col("part")).groupBy("part").applyInArrow(answer, "block int, part int, counts binary")
+    joined = blocks.groupBy("block").cogroup(answers.repartitionById(n_blocks, F.col("block")).groupBy("block"))
     aligned = written(joined.applyInArrow(align, "rows binary, sizes binary, counts array<binary>, place array<int>, times array<long>"), "aligned")
     # At most (order - 1) * SIZES * RATIOS rows reach the driver.
     found = aligned.select(F.explode(F.arrays_zip("place", "times")).alias("x")).groupBy("x.place").agg(F.sum("x.times").alias("n")).collect()
