@@ -273,3 +273,29 @@ def test_reordered_passages_equal_all_windows(n, cut):
     want = plain_leaks(docs, [(7, " ".join(own))])
     assert {(0, 7), (1, 7)} <= {r[:2] for r in want}
     assert got == want
+
+
+def test_recall_on_a_hot_group_larger_than_a_bucket(spark, monkeypatch):
+    """600 distinct near copies against buckets of 64 and cells of 50: every link of every document, against all pairs."""
+    monkeypatch.setattr(join, "CELL", 50)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(600):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randrange(4)):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(60))) for i in range(200)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    want = {i: sum(j != i and 100 * len(s & o) >= 80 * len(s | o) for j, o in sets.items()) for i, s in sets.items()}
+    got = {r["doc_id"]: r["n_links"] for r in join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bucket=64).collect()}
+    assert sum(want.values()) > 10_000
+    assert sum(got.values()) >= 0.999 * sum(want.values()) and all(got[i] <= want[i] for i in want)
+
+
+def test_components_with_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_NODES", 4)
+    edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(40)] + [(9000, 9000)]
+    got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got.values()) == {0, 5000} and len(got) == 3041 and all((v == 0) == (k < 5000) for k, v in got.items())

@@ -257,20 +257,36 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+HOT_NODES = 100_000  # most nodes of a high degree that are broadcast: a bound by construction
+
+
+def _with_least(pairs: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """Pairs u, v with m, the least that belongs to u; least: w, m and degree, a row for each u.
+
+    Nodes of a degree above all but HOT_NODES can have are few, so their row is broadcast to wherever their pairs lie; a
+    shuffle deals the others, none of which fills a task.
+    """
+    hot = F.col("degree") > max(1000, 2 * edges // HOT_NODES)
+    known = pairs.join(F.broadcast(least.filter(hot).select("w", "m")), F.col("u") == F.col("w"), "left").drop("w")
+    rest = known.filter("m IS NULL").select("u", "v").join(least.filter(~hot).select("w", "m"), F.col("u") == F.col("w"))
+    return known.filter("m IS NOT NULL").select("u", "v", "m").unionByName(rest.select("u", "v", "m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node that it is joined with) of every node of undirected edges a, b; loops are ignored.
 
     Large-star and small-star steps take turns until the edges are stars: each step links a node's neighbours to the
     least of them, with an aggregation and a join, so a node of any degree stays spread over many rows.
     """
-    now = edges.filter("a <> b").select("a", "b").distinct()
+    now = written(edges.filter("a <> b").select("a", "b").distinct(), "edges")
     while True:
+        n = now.count()
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b"))
-        down = large.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-        least = down.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-        small = down.join(least, F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("w", F.least("w", "m").alias("m"), "degree")
+        large = _with_least(both.filter("v > u"), least, n).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        down = written(large.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "large")
+        least = down.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        small = _with_least(down, least, n).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
         now = written(small.unionByName(least.select(F.col("w").alias("a"), F.col("m").alias("b"))).distinct(), "stars")
         ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("r")), F.struct(F.col("b").alias("n"), F.col("b").alias("r")))).alias("x")).select("x.n", "x.r")
         # Stars: a node has one root, and a root is its own.

@@ -3,7 +3,9 @@
 Texts with the same words are one node. A node's set is embedded as the minima of its shingles under random functions.
 A run samples some of these coordinates and puts the nodes that share a minimum there into one bucket; a bucket that is
 too large is split again on freshly sampled coordinates. In a small bucket all pairs are compared by one-bit sketches,
-in a middling one all its nodes with the centres of its dense parts. Runs repeat until the target recall.
+in a middling one all its nodes with the centres of its dense parts. A bucket that stays large at the last depth is dealt
+into pieces, whose centres are then compared with each other in cells, so no pair is lost to the dealing. Runs repeat
+until the target recall.
 
 The candidates join nodes into clusters; shingles of clustered nodes are then read once, and all pairs of a cluster are
 verified exactly, in cells of bounded size. So a link is lost only if its cluster was not found, whatever the size of a
@@ -27,10 +29,12 @@ SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
 MINIMA = 128  # coordinates of the embedded set
 PAIRS = 256  # nodes of a bucket that are compared pair by pair; larger ones with the centres of their dense parts
 BUCKET = 4096  # nodes of a bucket that are compared at once; larger ones are split
-DEPTH = 4  # splits of a bucket; one that is still larger then is dealt at random
+DEPTH = 4  # splits of a bucket; one that is still larger then is dealt into pieces
 CELL = 2048  # nodes on either side of a block of exact comparisons
+CELL_SHINGLES = 2 << 20  # shingles on either side of it
 BROADCAST_ROWS = 500_000  # ids of documents up to this many are broadcast, beyond it they are joined by a shuffle
-_FAR = round(MINIMA * (1 - 0.45) / 2)  # bits by which sketches of a candidate pair differ at most: similarity 0.45
+_FAR = round(MINIMA * (1 - 0.45) / 2)  # bits by which sketches of a node and a centre, or of two centres, differ at most: similarity 0.45
+_PAIR = 27  # bits for two nodes compared directly: at the similarity 0.8 sketches differ by 12.8, s.d. 3.4
 _NEAR = round(MINIMA * (1 - 0.85) / 2)  # bits up to which a node lies in the dense part around a centre
 
 _MULTIPLY = (mix(np.arange(1, MINIMA + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -97,7 +101,7 @@ def _minima(keys: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, node and minima of each row."""
+    """key, node, minima and number of shingles of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,34 +114,38 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
                 sign: list[bytes | None] = [None] * part.num_rows
                 for i, m in zip(real.tolist(), minima, strict=True):
                     sign[i] = m.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.binary()), pa.array(sign, pa.binary())], [key, "node", "minima"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.binary()), pa.array(sign, pa.binary()), pa.array(end - begin, pa.int64())], [key, "node", "minima", "shingles"])
         relax()
 
-    return bounded_batches(docs.select(key, text)).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, node binary, minima binary")
+    return bounded_batches(docs.select(key, text)).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, node binary, minima binary, shingles long")
 
 
-_ROWS = "path long, node binary, sketch binary"
+_ROWS = "path long, whole long, node binary, sketch binary"  # whole: the bucket that a piece was dealt from, else 0
 
 
 def _children(batch: pa.RecordBatch, paths: np.ndarray, sizes: np.ndarray, level: int, bucket: int) -> pa.RecordBatch:
     """The buckets below each row's path: a row for each sampled coordinate."""
     minima = np.frombuffer(b"".join(batch.column("minima").to_pylist()), np.uint32).reshape(-1, MINIMA)
     bits = np.packbits((minima & np.uint32(1)).astype(bool), axis=1)
-    rows, kids = [], []
+    rows, kids, wholes = [], [], []
+    names = np.frombuffer(b"".join(batch.column("node").to_pylist()), np.uint64).reshape(-1, 2)[:, 0]
     for path in np.unique(paths).tolist():
         own = np.flatnonzero(paths == np.uint64(path))
         for j in _sampled(path, level).tolist():
             below = np.array([(path + (j + 1) * 0xD1B54A32D192ED03) % 2**64], np.uint64)
             child = mix(mix(below) + minima[own, j].astype(np.uint64))
+            whole = np.zeros(len(own), np.uint64)
             if level >= DEPTH:
                 pieces = -(-sizes[own] // bucket)
-                deal = mix(child + minima[own, 0].astype(np.uint64) * np.uint64(31) + minima[own, 1].astype(np.uint64)) % pieces.astype(np.uint64)
+                deal = mix(names[own] + np.uint64(path)) % pieces.astype(np.uint64)
+                whole = np.where(pieces > 1, child, whole)
                 child = np.where(pieces > 1, mix(child + deal + np.uint64(1)), child)
             rows.append(own)
             kids.append(child)
+            wholes.append(whole)
     at = np.concatenate([np.zeros(0, np.int64), *rows])
-    path = np.concatenate([np.zeros(0, np.uint64), *kids])
-    return pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column("node").take(pa.array(at)), pa.array([bits[i].tobytes() for i in at.tolist()], pa.binary())], ["path", "node", "sketch"])
+    path, whole = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (kids, wholes))
+    return pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(whole.view(np.int64)), batch.column("node").take(pa.array(at)), pa.array([bits[i].tobytes() for i in at.tolist()], pa.binary())], ["path", "whole", "node", "sketch"])
 
 
 def _linked(pairs: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
@@ -155,7 +163,8 @@ def _linked(pairs: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
 
 
 def _compared(table: pa.Table, deepest: bool, bucket: int) -> pa.RecordBatch:
-    """Candidate edges inside buckets (a, b), and the nodes of buckets to split (a, path, size)."""
+    """Candidate edges inside buckets (a, b), the nodes of buckets to split (a, path, size), and centres of pieces (a, path, 0, sketch)."""
+    wholes = table.column("whole").to_numpy()
     paths = table.column("path").to_numpy()
     nodes = table.column("node").to_pylist()
     bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, MINIMA // 64)
@@ -168,13 +177,17 @@ def _compared(table: pa.Table, deepest: bool, bucket: int) -> pa.RecordBatch:
     live, d = np.flatnonzero(small), 1
     while len(live := live[live + d < end[live]]):
         apart = np.bitwise_count(bits[live] ^ bits[live + d]).sum(axis=1, dtype=np.int32)
-        hit = live[apart <= _FAR]
+        hit = live[apart <= _PAIR]
         near.append((hit, hit + d))
         d += 1
     split = np.zeros(0, np.int64) if deepest else np.flatnonzero(np.repeat(size > bucket, size))
-    dense = (size > min(PAIRS, bucket)) & ((size <= bucket) | deepest)
-    for a, k in zip(first[dense].tolist(), size[dense].tolist(), strict=True):
-        near += _canopies(bits, a, a + k)
+    piece = wholes[first] != 0
+    dense = ((size > min(PAIRS, bucket)) & ((size <= bucket) | deepest)) | piece
+    heads: list[int] = []  # centres of pieces, to be compared with those of the bucket's other pieces
+    for a, k, of in zip(first[dense].tolist(), size[dense].tolist(), piece[dense].tolist(), strict=True):
+        found = _canopies(bits, a, a + k)
+        near += found
+        heads += [int(c[0]) for _, c in found] if of else []
     i, j = (np.concatenate([np.zeros(0, np.int64), *(p[x] for p in near)]) for x in (0, 1))
     label = _linked((i, j), n)
     edge = np.flatnonzero(label != np.arange(n))
@@ -188,12 +201,13 @@ def _compared(table: pa.Table, deepest: bool, bucket: int) -> pa.RecordBatch:
     edge = np.array(ends, np.int64)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([nodes[x] for x in edge.tolist()] + [nodes[x] for x in split.tolist()], pa.binary()),
-            pa.array([centre[x] for x in label[edge].tolist()] + [None] * len(split), pa.binary()),
-            pa.array(np.concatenate([paths[edge], paths[split]]), pa.int64()),
-            pa.array(np.concatenate([sizes[edge], sizes[split]]), pa.int64()),
+            pa.array([nodes[x] for x in [*edge.tolist(), *split.tolist(), *heads]], pa.binary()),
+            pa.array([centre[x] for x in label[edge].tolist()] + [None] * (len(split) + len(heads)), pa.binary()),
+            pa.array(np.concatenate([paths[edge], paths[split], wholes[heads]]), pa.int64()),
+            pa.array(np.concatenate([sizes[edge], sizes[split], np.zeros(len(heads), np.int64)]), pa.int64()),
+            pa.array([None] * (len(edge) + len(split)) + [bits[x].tobytes() for x in heads], pa.binary()),
         ],
-        ["a", "b", "path", "size"],
+        ["a", "b", "path", "size", "sketch"],
     )
 
 
@@ -216,6 +230,32 @@ def _canopies(bits: np.ndarray, a: int, b: int) -> list[tuple[np.ndarray, np.nda
     return pairs
 
 
+def _heads_linked(heads: DataFrame, bucket: int) -> DataFrame:
+    """Edges a, b between centres (a, path, sketch) of the pieces of each bucket, all pairs compared in cells."""
+    sizes = heads.groupBy(F.col("path").alias("_path")).agg(F.ceil(F.count("*") / bucket).alias("blocks"))
+    dealt = heads.join(sizes, F.col("path") == F.col("_path")).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), F.col("a").alias("node"), "sketch"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 0):
+            keys, nodes = table.column("cell").to_numpy(), table.column("node").to_pylist()
+            bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, MINIMA // 64)
+            edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])).tolist()
+            pairs = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                for x in range(a, b - 1):
+                    near = np.flatnonzero(np.bitwise_count(bits[x + 1 : b] ^ bits[x]).sum(axis=1, dtype=np.int32) <= _FAR)
+                    pairs.append((np.full(len(near), x), x + 1 + near))
+            i, j = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in pairs)]) for k in (0, 1))
+            label = _linked((i, j), len(keys))
+            at = np.flatnonzero(label != np.arange(len(keys))).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[x] for x in at], pa.binary()), pa.array([nodes[int(label[x])] for x in at], pa.binary())], ["a", "b"])
+
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a binary, b binary").filter("a <> b")
+
+
 def candidates(nodes: DataFrame, recall: float = RECALL, bucket: int = BUCKET) -> DataFrame:
     """Edges a, b that connect every pair of nodes (node, minima) that is similar, and some others."""
     runs = runs_for(recall)
@@ -244,12 +284,17 @@ def candidates(nodes: DataFrame, recall: float = RECALL, bucket: int = BUCKET) -
     rows = nodes.select("node", "minima").mapInArrow(start, _ROWS)
     edges = None
     for level in range(DEPTH + 1):
-        found = rows.repartition("path").sortWithinPartitions("path").mapInArrow(compare(level), "a binary, b binary, path long, size long")
+        found = rows.repartition("path").sortWithinPartitions("path").mapInArrow(compare(level), "a binary, b binary, path long, size long, sketch binary")
         found = written(found, f"buckets{level}")
         own = found.filter("b IS NOT NULL").select("a", "b")
         edges = own if edges is None else edges.unionByName(own)
+        if level == DEPTH:
+            heads = found.filter("b IS NULL").select("a", "path", "sketch")
+            if not heads.isEmpty():
+                edges = edges.unionByName(_heads_linked(heads, bucket))
+            break
         split = found.filter("b IS NULL").select(F.col("a").alias("_a"), "path", "size")
-        if level == DEPTH or split.isEmpty():
+        if split.isEmpty():
             break
         again = split.join(nodes.select("node", "minima"), F.col("_a") == F.col("node")).select("path", "size", "node", "minima")
         rows = again.mapInArrow(deeper(level + 1), _ROWS)
@@ -335,12 +380,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", re
     """
     drawn = written(sketches(docs, key, text), "sketches")
     real = drawn.filter("node IS NOT NULL")
-    nodes = real.groupBy("node").agg(F.min(key).alias("rep"), F.count("*").alias("size"), F.first("minima").alias("minima"))
+    nodes = real.groupBy("node").agg(F.min(key).alias("rep"), F.count("*").alias("size"), F.first("minima").alias("minima"), F.first("shingles").alias("shingles"))
     nodes = written(nodes, "nodes")
-    clusters = written(components(candidates(nodes, recall, bucket)), "clusters")
-    sizes = clusters.groupBy(F.col("root").alias("_root")).agg(F.count("*").alias("members"))
-    placed = clusters.join(sizes, F.col("root") == F.col("_root")).drop("_root").join(nodes.select("node", "rep", "size"), "node")
-    placed = written(placed.select(F.col("node").alias("want"), "root", "members", "rep", "size"), "placed")
+    clusters = components(candidates(nodes, recall, bucket)).join(nodes.select("node", "rep", "size", "shingles"), "node")
+    clusters = written(clusters, "clusters")
+    sizes = clusters.groupBy(F.col("root").alias("_root")).agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("shingles") / CELL_SHINGLES)).alias("blocks"))
+    placed = clusters.join(sizes, F.col("root") == F.col("_root")).drop("_root", "shingles")
+    placed = written(placed.select(F.col("node").alias("want"), "root", "blocks", "rep", "size"), "placed")
     small = placed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     wanted = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(placed) if small else placed, F.col("_key").eqNullSafe(F.col("rep")))
 
@@ -352,16 +398,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", re
                 want = part.column("want").to_pylist()
                 own = [i for i in range(part.num_rows) if node_of(words, i) == want[i]]
                 blobs = [distinct(keys[begin[i] : end[i]]).tobytes() for i in own]
-                rest = [part.column(c).take(pa.array(own, pa.int64())) for c in ("want", "root", "members", "size")]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(blobs, pa.binary())], ["node", "root", "members", "size", "shingles"])
+                rest = [part.column(c).take(pa.array(own, pa.int64())) for c in ("want", "root", "blocks", "size")]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(blobs, pa.binary())], ["node", "root", "blocks", "size", "shingles"])
         relax()
 
-    sets = wanted.select("_text", "want", "root", "members", "size").mapInArrow(read, "node binary, root binary, members long, size long, shingles binary")
-    blocks = F.ceil(F.col("members") / CELL)
+    sets = wanted.select("_text", "want", "root", "blocks", "size").mapInArrow(read, "node binary, root binary, blocks long, size long, shingles binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     cells = (
-        sets.withColumn("blocks", blocks)
-        .withColumn("own", own)
+        sets.withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumn("both", F.col("own") != F.col("other"))
         .withColumn("side", (F.col("own") > F.col("other")).cast("int"))
