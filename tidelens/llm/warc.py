@@ -25,11 +25,18 @@ from tidelens.llm.common import scratch_path, written
 CRLF, END = "\r\n", "\r\n\r\n"
 MIN_REVISIT = 100  # bytes: smaller payloads are always stored
 BROADCAST_ROWS = 100_000  # repeated payloads' ids up to this many rows are broadcast, beyond it they are joined by a shuffle
-RECORDS_PER_FILE = 4096
+#: Payload bytes from which a page is of a class, and records that a file of the class holds at most.
+FILES = ((0, 1024), (256 << 10, 32), (8 << 20, 1))
+PIECE = 64 << 10  # bytes of a gzip member that are decompressed at once
 
 # ---- writing ------------------------------------------------------------------------------------------------------
 
 
+def _sent(url: Column) -> Column:
+    """The URL as a header can hold it: line ends become spaces, outer white space goes."""
+    return F.regexp_replace(F.regexp_replace(url.cast("string"), r"[\r\n]+", " "), r"^[\s\x00]+|[\s\x00]+$", "")
+
+
 def _field(name: str, value: Column) -> Column:
     """A header line; none for a null value. Line ends in the value become spaces."""
     return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), r"[\r\n]+", " "), F.lit(CRLF))).otherwise(F.lit(""))
@@ -59,7 +66,12 @@ def classify(pages: DataFrame, key: str, payload: str, min_bytes: int = MIN_REVI
 
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes a record for each row as WARC files under path: response records with the payload, revisit records without."""
+    """Writes a record for each row as WARC files under path: response records with the payload, revisit records without.
+
+    Pages of a size class (FILES) have files of their own, so a file stays small enough to be read at once, unless one
+    payload alone is larger. A URL that a header can't hold as it is stands in X-Target-URI too, in base64. Nulls, ties
+    and repeated rows are as in classify; an empty table writes an archive without records.
+    """
     rows = classify(pages.select(F.col(key).alias("_id"), F.col(url).alias("_url"), F.col(payload).alias("_html")), "_id", "_html")
     stored = F.col("record_type") == "response"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
@@ -69,7 +81,8 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
         _field("WARC-Type", F.col("record_type")),
         _field("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(">"))),
         _field("WARC-Date", F.lit(date)),
-        _field("WARC-Target-URI", F.col("_url")),
+        _field("WARC-Target-URI", _sent(F.col("_url"))),
+        _field("X-Target-URI", F.when(~F.col("_url").cast("string").eqNullSafe(_sent(F.col("_url"))), F.base64(F.encode(F.col("_url").cast("string"), "UTF-8")))),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         _field("X-Payload-Length", F.col("payload_bytes")),
         _field("WARC-Refers-To", F.when(F.col("refers_to").isNotNull(), F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")))),
@@ -78,7 +91,15 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
         F.lit(CRLF),
         F.col("_block"),
     )
-    rows.withColumn("_block", block).select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records = rows.withColumn("_block", block)
+    ends = [least for least, _ in FILES[1:]] + [None]
+    size = F.coalesce(F.octet_length(payload), F.lit(0))
+    there = pages.agg(*[F.max((size >= least) if end is None else (size >= least) & (size < end)).alias(f"c{k}") for k, ((least, _), end) in enumerate(zip(FILES, ends, strict=True))]).first()
+    for k, ((least, per_file), end) in enumerate(zip(FILES, ends, strict=True)):
+        if there[k] or k == 0:
+            of = F.col("payload_bytes") >= least
+            own = records.filter(of if end is None else of & (F.col("payload_bytes") < end))
+            own.select(record.alias("value")).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", per_file).text(f"{path}/class{k}")
 
 
 # ---- reading ------------------------------------------------------------------------------------------------------
@@ -102,18 +123,21 @@ class Damaged(ValueError):
 
 
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r?\n")
+_LINE = re.compile(rb"WARC/\d+\.\d+\r?\n")
+_BLANK, _BLANK_LF = re.compile(rb"\r\n\r\n"), re.compile(rb"\n\n")
 _START = re.compile(rb"WARC/\d+\.\d+\r?\n|\x1f\x8b\x08")
 
 
-def _parse(data: bytes, at: int) -> tuple[Record, int]:
+def _parse(data: bytes | memoryview, at: int) -> tuple[Record, int]:
     """The record at a place and the place after it; Damaged if a check fails."""
     if not (m := _VERSION.match(data, at)):
         raise Damaged("no version line")
     eol = b"\r\n" if m[0].endswith(b"\r\n") else b"\n"
-    if (stop := data.find(eol * 2, m.end() - len(eol))) < 0:
+    if not (close := (_BLANK if eol == b"\r\n" else _BLANK_LF).search(data, m.end() - len(eol))):
         raise Damaged("headers have no end")
+    stop = close.start()
     headers: dict[str, str] = {}
-    for line in data[m.end() : stop].split(eol) if stop > m.end() else []:
+    for line in bytes(data[m.end() : stop]).split(eol) if stop > m.end() else []:
         name, colon, value = line.partition(b":")
         if not colon or not name.strip():
             raise Damaged("a header line has no name")
@@ -126,7 +150,7 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
         raise Damaged("the block is cut off")
     if data[end : end + 2 * len(eol)] != eol * 2:
         raise Damaged("no end mark")
-    block = data[start:end]
+    block = bytes(data[start:end])
     payload = block
     if headers.get("content-type", "").replace(" ", "").startswith("application/http"):
         payload = block.partition(END.encode())[2]
@@ -139,20 +163,38 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
     return Record(at, end + 2 * len(eol) - at, headers, payload), end + 2 * len(eol)
 
 
-def _member(data: bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the gzip member at a place and the place after it."""
-    unzip = zlib.decompressobj(31)
-    try:
-        content = unzip.decompress(data[at:])
-    except zlib.error as e:
-        raise Damaged(f"bad member: {e}") from e
-    if not unzip.eof:
-        raise Damaged("the member is cut off")
-    end, found, i = len(data) - len(unzip.unused_data), [], 0
-    while i < len(content):
-        record, i = _parse(content, i)
-        found.append(record._replace(offset=at, length=end - at))
-    return found, end
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at a place holds, the place where its bytes end, and what is wrong with it, if anything.
+
+    It is decompressed piece by piece, so the content before a damaged or missing part is not lost.
+    """
+    unzip, parts, i = zlib.decompressobj(31), [], at
+    view = memoryview(data)
+    while not unzip.eof:
+        if i >= len(data):
+            return b"".join(parts), len(data), "the member is cut off"
+        try:
+            parts.append(unzip.decompress(view[i : i + PIECE]))
+        except zlib.error as e:
+            # What the failing piece holds before the damage comes out byte by byte.
+            again = zlib.decompressobj(31)
+            content = bytearray()
+            try:
+                for k in range(at, i, PIECE):
+                    content += again.decompress(view[k : min(k + PIECE, i)])
+                for k in range(i, min(i + PIECE, len(data))):
+                    content += again.decompress(view[k : k + 1])
+            except zlib.error:
+                pass
+            return bytes(content), min(i + PIECE, len(data)), f"bad member: {e}"
+        i += PIECE
+    return b"".join(parts), min(i, len(data)) - len(unzip.unused_data), ""
+
+
+def _proved(record: Record) -> bool:
+    """Whether a digest of its own vouches for what the record holds."""
+    payload = record.headers.get("warc-payload-digest", "") if record.headers.get("warc-type") != "revisit" else ""
+    return any(x.lower().startswith("sha256:") for x in (payload, record.headers.get("warc-block-digest", "")))
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
@@ -161,50 +203,90 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
     An empty archive gives nothing. A record that fails a check is in a gap, which runs up to the next valid record or to
     the end of the archive; its reason is that of the first failure. A version line inside a valid record's block is
     content, as the search starts only after a failure; inside a damaged record it starts a record only if all checks
-    hold there.
+    hold there. A gzip member's content is searched the same way, up to where it can be decompressed: its records have
+    the member's place and length in the archive, and a gap inside it is logged as one with the member's place. From a
+    member that is cut off or fails its own check, records come only if a digest of theirs holds.
     """
     at, gap, reason = 0, -1, ""
     while at < len(data):
-        try:
-            if data.startswith(b"\x1f\x8b\x08", at):
-                records, after = _member(data, at)
-            else:
+        if data.startswith(b"\x1f\x8b\x08", at):
+            content, end, wrong = _member(data, at)
+            found = list(_plain(content))
+            records = [x for x in found if isinstance(x, Record) and (not wrong or _proved(x))]
+            if records or not wrong and not found:
+                if gap >= 0:
+                    yield Gap(gap, at - gap, reason)
+                    gap = -1
+                yield from (x._replace(offset=at, length=end - at) for x in records)
+                inner = next((x.reason for x in found if isinstance(x, Gap)), "")
+                if not wrong:
+                    if inner:
+                        yield Gap(at, end - at, f"inside the member: {inner}")
+                    at = end
+                    continue
+                gap, reason = at, wrong
+            elif gap < 0:
+                gap, reason = at, wrong or found[0].reason
+        else:
+            try:
                 record, after = _parse(data, at)
-                records = [record]
+            except Damaged as e:
+                if gap < 0:
+                    gap, reason = at, str(e)
+            else:
+                if gap >= 0:
+                    yield Gap(gap, at - gap, reason)
+                    gap = -1
+                yield record
+                at = after
+                continue
+        found_ = _START.search(data, at + 1)
+        at = found_.start() if found_ else len(data)
+    if gap >= 0:
+        yield Gap(gap, len(data) - gap, reason)
+
+
+def _plain(data: bytes) -> Iterator[Record | Gap]:
+    """salvage of content that is not compressed."""
+    at, gap, reason = 0, -1, ""
+    while at < len(data):
+        try:
+            record, after = _parse(data, at)
         except Damaged as e:
             if gap < 0:
                 gap, reason = at, str(e)
-            found = _START.search(data, at + 1)
+            found = _LINE.search(data, at + 1)
             at = found.start() if found else len(data)
             continue
         if gap >= 0:
             yield Gap(gap, at - gap, reason)
             gap = -1
-        yield from records
+        yield record
         at = after
     if gap >= 0:
         yield Gap(gap, len(data) - gap, reason)
 
 
-_SCHEMA = "file string, offset long, length long, reason string, headers map<string,string>, payload binary"
+_SCHEMA = "file string, offset long, length long, reason string, headers map<string,string>, payload_bytes long, payload binary"
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """A row for each valid record, and a row with a reason for each quarantined gap, of all archives under path.
 
-    Archives are read whole, one at a time in each task: a file must fit in a task's memory (the writer's hold
-    RECORDS_PER_FILE records at most). Without payloads that column is null, and the bytes stay in the Python worker.
+    Archives are read whole, one at a time in each task: a file must fit in a task's memory (see write_archives).
+    payload_bytes counts what stands in the record. Without payloads that column is null, and the bytes stay in the
+    Python worker.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
-        names = ["file", "offset", "length", "reason", "headers", "payload"]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.binary()]
+        names = ["file", "offset", "length", "reason", "headers", "payload_bytes", "payload"]
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows, size = [], 0
                 for x in salvage(content.as_py()):
                     gap = isinstance(x, Gap)
-                    rows.append((name.as_py(), x.offset, x.length, x.reason if gap else None, None if gap else list(x.headers.items()), x.payload if payloads and not gap else None))
+                    rows.append((name.as_py(), x.offset, x.length, x.reason if gap else None, None if gap else list(x.headers.items()), None if gap else len(x.payload), x.payload if payloads and not gap else None))
                     size += 0 if gap or not payloads else len(x.payload)
                     if size > 1 << 24 or len(rows) >= 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -226,12 +308,15 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     write_archives(pages, path)
     h = F.col("headers")
     kind = dict(pages.dtypes)["page_id"]
-    return read_archives(spark, path, payloads=False).filter(F.col("reason").isNull()).select(
+    # The writer's archives have no gaps: one that appears is a lost record, and an error.
+    whole = F.coalesce(h["warc-type"], F.raise_error(F.concat(F.lit("a gap in "), F.col("file"), F.lit(": "), F.col("reason"))))
+    revisit = F.col("record_type") == "revisit"
+    return read_archives(spark, path, payloads=False).withColumn("record_type", whole).select(
         page_of(h["warc-record-id"]).cast(kind).alias("page_id"),
-        h["warc-target-uri"].alias("url"),
-        h["x-payload-length"].cast("long").alias("payload_bytes"),
+        F.coalesce(F.decode(F.unbase64(h["x-target-uri"]), "UTF-8"), h["warc-target-uri"]).alias("url"),
+        F.when(revisit, h["x-payload-length"].cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.substring(h["warc-payload-digest"], 8, 64).alias("payload_digest"),
-        h["warc-type"].alias("record_type"),
+        "record_type",
         page_of(h["warc-refers-to"]).cast(kind).alias("refers_to"),
     )
 
