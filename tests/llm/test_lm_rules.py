@@ -231,3 +231,15 @@ def test_query_backs_off_through_more_than_one_context():
     """The registered order has states of two words, whose failure arcs lead to states of one."""
     assert lm.ORDER >= 3
     assert inspect.signature(lm.document_scores).parameters["order"].default == lm.ORDER
+
+
+def test_training_takes_ids_of_any_type_and_repeated_rows(spark):
+    good, bad = "a plain line of prose that ends here.\n" * 12, "### $$$ 12 || <<<\n" * 20
+    rows = [(f"id{i}", good if i % 2 else bad) for i in range(20)] + [("id1", good)] * 50 + [("id1", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"id{i}", i % 2) for i in range(20)], "doc_id string, quality int")
+    field = rules.train(docs, labels)
+    got = {r["doc_id"]: r["content_share"] for r in rules.judge(docs.filter("text IS NOT NULL"), field).collect()}
+    assert got["id3"] == 1.0 and got["id2"] == 0.0
+    kept = {r["doc_id"] for r in rules.judge(docs, field).filter("kept").collect()}
+    assert kept == {r["doc_id"] for r in rules.keep(docs, field).collect()}

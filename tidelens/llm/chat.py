@@ -15,7 +15,13 @@ from tidelens.llm.common import written
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def _unmarked(text: Column) -> Column:
+    return F.replace(text, F.lit("<|im_"), F.lit("< |im_"))
+
+
 def _header(role: Column, name: Column) -> Column:
+    """A turn's first line. In the name markers are broken up as in texts, and line ends are spaces."""
+    name = F.regexp_replace(_unmarked(name), r"[\r\n]+", " ")
     return F.concat(F.lit(OPEN), role, F.when(role == "user", F.concat(F.lit(" name="), name)).otherwise(F.lit("")), F.lit("\n"))
 
 
@@ -27,7 +33,8 @@ def rotate(turns: DataFrame, conv: str = "conv_id", order: str = "turn", speaker
     body_start and body_end of the text alone: the part that is trained on where train holds.
 
     Turns are ordered by (turn, speaker, text), a null turn first. A null or empty speaker is the participant "unknown";
-    a null text is empty; markers inside a text are broken up by a space, so they can't open or close a turn. Repeated
+    a null text is empty; markers inside a text are broken up by a space, so they can't open or close a turn, and in a
+    speaker's name of the rendered header too, where line ends become a space; the column speaker is unchanged. Repeated
     rows are repeated turns. A dialogue with narrators only has no perspective and so no row; an empty table gives none.
     Other columns of the input are ignored. A null conv is a dialogue of its own.
     """
@@ -36,19 +43,19 @@ def rotate(turns: DataFrame, conv: str = "conv_id", order: str = "turn", speaker
         F.col(conv).alias("conv_id"),
         F.col(order).alias("turn"),
         named.alias("speaker"),
-        F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("<|im_"), F.lit("< |im_")).alias("body"),
+        _unmarked(F.coalesce(F.col(text), F.lit(""))).alias("body"),
         F.monotonically_increasing_id().alias("_row"),
     )
     # Ranges of the total order, written once: a long dialogue lies in many of them, and a row's range never changes.
     keys = ["conv_id", "turn", "speaker", "body", "_row"]
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = written(rows.repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id()), "turns")
-    casts = (
-        ranged.filter(~F.col("speaker").isin(*narrators))
-        .groupBy(F.col("conv_id").alias("_conv"))
-        .agg(F.array_sort(F.collect_set("speaker")).alias("_cast"))
-    )
-    seen = ranged.join(casts, F.col("conv_id").eqNullSafe(F.col("_conv"))).withColumn("perspective", F.explode("_cast")).drop("_cast", "_conv")
+    # A dialogue's cast meets its ranges first, then the turns by range and dialogue: a very long dialogue, or one with
+    # very many speakers, is dealt by range, and no list of speakers is ever made.
+    casts = ranged.filter(~F.col("speaker").isin(*narrators)).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")).distinct()
+    places = ranged.select(F.col("_range").alias("_at"), F.col("conv_id").alias("_of")).distinct()
+    views = places.join(casts, F.col("_of").eqNullSafe(F.col("_conv"))).drop("_conv")
+    seen = ranged.join(views, (F.col("_range") == F.col("_at")) & F.col("conv_id").eqNullSafe(F.col("_of"))).drop("_at", "_of")
     role = F.when(F.col("speaker") == F.col("perspective"), "assistant").when(F.col("speaker").isin(*narrators), "system").otherwise("user")
     head = _header(F.col("chat_role"), F.col("speaker"))
     seen = seen.withColumn("chat_role", role).withColumn("_head", F.length(head)).withColumn("_size", F.col("_head") + F.length("body") + len(CLOSE))
@@ -92,7 +99,7 @@ s AS (
          CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS chat_role
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 h AS (
-  SELECT *, '{OPEN}' || chat_role || CASE WHEN chat_role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head
+  SELECT *, '{OPEN}' || chat_role || CASE WHEN chat_role = 'user' THEN ' name=' || regexp_replace(replace(speaker, '<|im_', '< |im_'), '[\\r\\n]+', ' ', 'g') ELSE '' END || chr(10) AS head
   FROM s),
 r AS (
   SELECT *, head || body || '<|im_end|>' || chr(10) AS rendered,

@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 from tidelens.llm.common import bounded_batches, relax
 
 TRAIN_ROWS = 2000  # labelled documents at most that the field is trained on, by the smallest hash of their ids
+TRAIN_BYTES = 1 << 20  # of a text that the field is trained on at most; longer ones are left out of the training
 CONTENT_SHARE = 0.5  # of a document's words, from which it is kept
 MIN_WORDS, MAX_REPEATED = 50, 0.5  # base rules: fewer words, or a larger share of them in repeated windows, fail
 
 _SPACE, _SYMBOLS, _UPPER = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
-#: Words of notices, in lower case.
+#: Words of English notices, in lower case: one feature of FEATURES; other languages go by the rest.
 NOTICES = tuple(x.encode() for x in "copyright,license,licence,all rights reserved,cookie,privacy policy,subscribe,click here,sign up,login,http://,https://".split(","))
 FEATURES = 13
 
@@ -174,7 +175,10 @@ class Field:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Field:
-    """The field trained on the documents of the rows smallest hashes of labelled ids.
+    """The field trained on the documents of the rows smallest hashes of labelled ids, of any type that can be ordered.
+
+    At most rows documents of at most TRAIN_BYTES each reach the driver, as features of their lines: of repeated rows of
+    an id that with the least text is taken.
 
     Labels: doc_id, quality (0 or 1; others and nulls are left out, an id with both values too). Without documents of
     both qualities the field is untrained and takes every line for content.
@@ -182,16 +186,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Field:
     one = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_q"), F.max("quality").alias("_q2")).filter("_q = _q2")
     chosen = one.select(F.col("doc_id").alias("_id"), "_q").orderBy(F.xxhash64("_id"), "_id").limit(rows)
     # At most `rows` ids: small enough to broadcast by construction.
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", F.col("text"), "_q")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).filter((F.octet_length("text") <= TRAIN_BYTES) | F.col("text").isNull())
+    # A row for each id: the least of repeated rows' texts.
+    found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_q").cast("int").alias("_q"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, text, q in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 x = Lines([(text or "").encode()]).features
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([q], pa.int32()), pa.array([x.ravel()], pa.list_(pa.float64()))], ["k", "q", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], key.type), pa.array([q], pa.int32()), pa.array([x.ravel()], pa.list_(pa.float64()))], ["k", "q", "x"])
 
-    got = bounded_batches(found.select(F.col("doc_id").cast("long"), "text", F.col("_q").cast("int"))).mapInArrow(featured, "k long, q int, x array<double>").collect()
-    got.sort(key=lambda r: (r["k"], r["q"], len(r["x"])))
+    got = bounded_batches(found).mapInArrow(featured, f"k {dict(docs.dtypes)['doc_id']}, q int, x array<double>").collect()
+    got.sort(key=lambda r: r["k"])
     if len({r["q"] for r in got}) < 2:
         return Field()
     lines = Lines([])
@@ -231,6 +237,16 @@ def base_counts(data: bytes) -> tuple[int, int, int, int, int]:
     return n, chars, _without(data, _SYMBOLS), dup, repeated
 
 
+def verdict(data: bytes, lines: Lines, a: int, b: int, field: Field, share: float) -> tuple[tuple[int, int, int, int, int], bool, float, bool]:
+    """Base counts, base_failed, the share of words in content lines and kept, of a text whose lines are a to b of lines."""
+    counts = base_counts(data)
+    n, repeated = counts[0], counts[4]
+    failed = n < MIN_WORDS or repeated > MAX_REPEATED * n
+    good = field.decode(lines.features[a:b]) > 0
+    content = float(lines.words[a:b][good].sum()) / n if n else 0.0
+    return counts, failed, content, not failed and content >= share
+
+
 def judge(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text", share: float = CONTENT_SHARE) -> DataFrame:
     """key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_share and kept of each row.
 
@@ -248,12 +264,8 @@ def judge(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text"
                 lines = Lines(texts)
                 rows = []
                 for i, data in enumerate(texts):
-                    a, b = lines.starts[i], lines.starts[i + 1]
-                    n, *rest = base_counts(data)
-                    failed = n < MIN_WORDS or rest[3] > MAX_REPEATED * n
-                    good = field.decode(lines.features[a:b]) > 0
-                    content = float(lines.words[a:b][good].sum()) / n if n else 0.0
-                    rows.append((n, *rest, failed, content, not failed and content >= share))
+                    counts, *rest = verdict(data, lines, lines.starts[i], lines.starts[i + 1], field, share)
+                    rows.append((*counts, *rest))
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 
@@ -262,7 +274,11 @@ def judge(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text"
 
 
 def label_lines(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, line (from 0) and content of each line with a word."""
+    """key, line (from 0) and content of each line with a word.
+
+    A null or empty text has no lines and no rows; repeated rows give repeated rows; a null key stays null; other columns
+    are left out; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,14 +298,10 @@ def keep(docs: DataFrame, field: Field, text: str = "text", share: float = CONTE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for t in batch.column(where).to_pylist():
-                data = (t or "").encode()
-                n, *rest = base_counts(data)
-                ok = not (n < MIN_WORDS or rest[3] > MAX_REPEATED * n)
-                if ok:
-                    lines = Lines([data])
-                    ok = float(lines.words[field.decode(lines.features) > 0].sum()) / n >= share
-                kept.append(ok)
+            for at in range(0, batch.num_rows, 512):
+                texts = [(t or "").encode() for t in batch.column(where).slice(at, 512).to_pylist()]
+                lines = Lines(texts)
+                kept += [verdict(data, lines, lines.starts[i], lines.starts[i + 1], field, share)[3] for i, data in enumerate(texts)]
             yield batch.filter(pa.array(kept, pa.bool_()))
         relax()
 

@@ -20,10 +20,25 @@ TOLERANCE = 1e-4  # of a leaf's bytes, to which a split's place is found
 SLOT_ROWS = 50_000  # rows of a shard that one task numbers
 
 
-def ordinal(text: Column) -> Column:
-    """A string's first six bytes as a number, so the order of strings is kept; null: -1."""
-    head = F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 6)), 12, "0")
-    return F.when(text.isNull(), F.lit(-1.0)).otherwise(F.conv(head, 16, 10).cast("double"))
+BROADCAST_ROWS = 100_000  # distinct values up to this many are broadcast with their ranks, beyond it joined by a shuffle
+
+
+def ranked(rows: DataFrame, column: str, rank: str) -> DataFrame:
+    """rows with rank, the place from 0 of the column's value among the distinct ones in order; -1 for a null.
+
+    Values are dealt by range and numbered in their ranges, so any number of them, however alike, keeps its order.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = rows.filter(F.col(column).isNotNull()).select(F.col(column).alias("_value")).distinct()
+    dealt = written(values.repartitionByRange(n, "_value").withColumn("_part", F.spark_partition_id()), "values")
+    sizes = dealt.groupBy(F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))  # a row for each range
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_value"))
+    numbered = dealt.withColumn("_i", inside).join(F.broadcast(firsts), F.col("_part") == F.col("_p")).select("_value", (F.col("_first") + F.col("_i") - 1).cast("double").alias("_rank"))
+    small = dealt.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = rows.join(F.broadcast(numbered) if small else numbered, F.col(column) == F.col("_value"), "left")
+    return joined.withColumn(rank, F.coalesce("_rank", F.lit(-1.0))).drop("_value", "_rank")
 
 
 def _at(values: list, node: Column) -> Column:
@@ -122,31 +137,42 @@ def with_slots(rows: DataFrame, shard: str, order: str) -> DataFrame:
     return numbered.join(offsets, (F.col(shard) == F.col("_s")) & (F.col("_b") == F.col("_bb"))).withColumn("slot", (F.col("_off") + F.col("_i") - 1).cast("long")).drop("_b", "_i", "_s", "_bb", "_off")
 
 
-def document_shards(docs: DataFrame, leaves: int = 24) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard of each document.
-
-    size is the text's UTF-8 bytes plus 8 (null text: 8; its checksum is that of an empty text). The dimensions are the
-    size's logarithm, language and source; a null is before all values. Repeated rows share a shard and have slots of
-    their own. Missing lang or source columns are taken as null; other columns are left out.
-    """
+def _placed(docs: DataFrame, keep: list[str], leaves: int) -> DataFrame:
+    """keep, size, text_crc32, shard and _tie of each row of docs."""
     body = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     lang, source = (F.col(c) if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source"))
     slim = docs.select(
-        "doc_id",
+        *keep,
         (F.octet_length(body) + 8).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
-        ordinal(lang).alias("_lang"),
-        ordinal(source).alias("_source"),
+        lang.alias("_lang"),
+        source.alias("_source"),
     )
-    slim = slim.withColumn("_size", F.log2("size")).withColumn("_tie", F.xxhash64("doc_id", "text_crc32", "size").cast("double"))
-    placed = kd_shards(written(slim, "metadata"), ["_size", "_lang", "_source"], "size", "_tie", leaves)
-    out = with_slots(placed, "shard", "_tie")
+    # The row's number tells repeated rows apart. It is drawn once: the table is written before anything reads it.
+    slim = slim.withColumn("_size", F.log2("size")).withColumn("_tie", F.xxhash64(*keep, "text_crc32", "size", F.monotonically_increasing_id()).cast("double"))
+    slim = written(slim, "metadata")
+    slim = ranked(ranked(slim, "_lang", "_lang_rank"), "_source", "_source_rank").drop("_lang", "_source")
+    return kd_shards(written(slim, "ranked"), ["_size", "_lang_rank", "_source_rank"], "size", "_tie", leaves)
+
+
+def document_shards(docs: DataFrame, leaves: int = 24) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of each document.
+
+    size is the text's UTF-8 bytes plus 8 (null text: 8; its checksum is that of an empty text). The dimensions are the
+    size's logarithm, and the ranks of language and source; a null is before all values. Repeated rows are split like any
+    others and have slots of their own. Missing lang or source columns are taken as null; other columns are left out; an
+    empty table gives an empty result.
+    """
+    out = with_slots(_placed(docs.select(*[c for c in docs.columns if c in ("doc_id", "text", "lang", "source")]), ["doc_id"], leaves), "shard", "_tie")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, shards: DataFrame, path: str) -> None:
-    """Writes docs as Parquet in a folder for each shard, from document_shards of the same documents."""
-    where = shards.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), "shard").distinct()
-    body = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.crc32(body) == F.col("_crc")) & (F.octet_length(body) + 8 == F.col("_size"))
-    docs.join(where, same).drop("_id", "_crc", "_size").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, leaves: int = 24) -> None:
+    """Writes docs as Parquet in a folder shard=k for each of leaves shards of near equal bytes.
+
+    Rows are numbered in a copy in the shared folder, so repeated rows are told apart and each is written once. A column
+    shard of docs is left out; nulls are as in document_shards; an empty table writes no folder.
+    """
+    numbered = written(docs.drop("shard").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    shards = _placed(numbered.select("_row", *[c for c in docs.columns if c in ("text", "lang", "source")]), ["_row"], leaves).select(F.col("_row").alias("_of"), "shard")
+    numbered.join(shards, F.col("_row") == F.col("_of")).drop("_row", "_of").write.partitionBy("shard").parquet(path)
