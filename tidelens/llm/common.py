@@ -40,11 +40,11 @@ def relax() -> None:
 # ---- messages -----------------------------------------------------------------------------------------------------
 
 
-def pack(values: np.ndarray) -> bytes:
+def pack(values: np.ndarray, level: int = 1) -> bytes:
     """An integer array as bytes: one plane for each byte of the items, then zstd, so small or sorted values cost little."""
     a = np.ascontiguousarray(values)
     planes = a.view(np.uint8).reshape(-1, a.dtype.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(planes.tobytes())
 
 
 def unpack(blob: bytes, dtype, n: int | None = None) -> np.ndarray:
@@ -124,7 +124,7 @@ def in_blocks(docs: DataFrame, keep: list[str], text: str = "text", block_bytes:
         order = np.argsort(blocks, kind="stable")
         ordered = table.select([*keep, "text"]).take(pa.array(order))
         first = np.flatnonzero(np.diff(blocks[order], prepend=-1))
-        options, blobs = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3)), []
+        options, blobs = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6)), []
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(blocks)], strict=True):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, ordered.schema, options=options) as out:

@@ -32,7 +32,7 @@ from tidelens.llm.common import bounded_batches, chain, distinct, hash_words, in
 ORDER = 3  # words of the longest n-grams; the disk for questions grows with it
 BLOCK_BYTES = 8 << 20  # of text in a block
 BLOCKS_A_RANGE = 4  # a range of one order's keys answers as many n-grams as so many blocks ask for, whatever the input's size
-_SHORT = np.uint64(0xFFFFFFFFFFFFFF00)  # keys of two words and more keep 56 bits: what a question costs is its keys' bits
+_SHORT = np.uint64(0xFFFFFFFFFFFFF000)  # keys of two words and more keep 52 bits: what a question costs is its keys' bits
 SIZES, RATIOS = 48, 130  # classes of contexts by the logarithm of their counts, and of a token's two estimates by their ratio's
 _START, _END = mix(np.array([1, 2], np.uint64) * np.uint64(0xA0761D6478BD642F))  # keys of a text's start and end
 
@@ -207,7 +207,8 @@ def score(docs: DataFrame, train: str, keep: list[str], text: str = "text", orde
     log10((c + 1) / (N + V + 1)); score is the model's log10 probability of the text. A null text is empty and has its
     end only; a null train is false; repeated rows count as often as they stand; other columns are left out. Without
     training rows every token is unknown. keep must not hold a column named train_. Different words share a key with
-    probability 2**-64, longer n-grams with 2**-56. A block sends a range at most one message.
+    probability 2**-64, longer n-grams with
+    2**-52. A block sends a range at most one message.
     """
     known = docs.withColumn("train_", F.coalesce(F.col(train), F.lit(False)))
     blocks, n_blocks = in_blocks(known, [*keep, "train_"], text, block_bytes)
@@ -244,7 +245,7 @@ def score(docs: DataFrame, train: str, keep: list[str], text: str = "text", orde
         np.add.at(total, number, own[order_])
         out = np.empty(len(own), np.uint64)
         out[order_] = total[number]
-        blobs = [pack(c) for c in np.split(out, np.cumsum([len(k) for k in asked])[:-1])]
+        blobs = [pack(c, 6) for c in np.split(out, np.cumsum([len(k) for k in asked])[:-1])]
         relax()
         return pa.table({"block": table.column("block"), "part": table.column("part"), "counts": pa.array(blobs, pa.binary())})
 
@@ -273,7 +274,7 @@ def score(docs: DataFrame, train: str, keep: list[str], text: str = "text", orde
         return pa.table({
             "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary()),
             "sizes": pa.array([pack(grams.sizes.astype(np.int64))], pa.binary()),
-            "counts": pa.array([[pack(c) for c in aligned]], pa.list_(pa.binary())),
+            "counts": pa.array([[pack(c, 9) for c in aligned]], pa.list_(pa.binary())),
             "place": pa.array([full.tolist()], pa.list_(pa.int32())),
             "times": pa.array([seen[full].tolist()], pa.list_(pa.int64())),
         })
