@@ -215,17 +215,23 @@ def test_a_large_benchmark_is_taken_in_blocks(spark, monkeypatch):
     assert decontaminate.clean(d, b).count() == len(docs) - len({r[0] for r in one})
 
 
-def test_block_lookup_finds_all_within_the_radius():
+def test_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(0)
-    index = decontaminate.Index([(i, f"w{i} a b c d e f g h") for i in range(300)])
-    index.prints = rng.integers(0, 2**64, 300, np.uint64)
-    index._blocks()
-    for i in range(200):
-        p = int(index.prints[i])
-        for b in rng.choice(64, rng.integers(0, 26), replace=False):
-            p ^= 1 << int(b)
-        want = [j for j, q in enumerate(index.prints.tolist()) if (p ^ q).bit_count() <= decontaminate.RADIUS]
-        assert index.within(p).tolist() == want
+    index = decontaminate.Index([(i, f"w{i} a b c d e f g h") for i in range(100)])
+    index.prints = rng.integers(0, 2**64, (100, 2), np.uint64)
+    prints = index.prints[rng.integers(0, 100, 2000)].copy()
+    for row in prints:
+        for b in rng.choice(128, rng.integers(0, 60), replace=False).tolist():
+            row[b // 64] ^= np.uint64(1 << (b % 64))
+    at, item = index.within(prints, np.arange(100))
+    apart = np.bitwise_count(prints[:, None, :] ^ index.prints[None, :, :]).sum(axis=2, dtype=int)
+    assert set(zip(at.tolist(), item.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(apart <= decontaminate.RADIUS)), strict=True))
+
+
+def test_items_of_small_id_types(spark):
+    d = spark.createDataFrame([(1, "x " + "a b c d e f g h i j " + "y")], "doc_id int, text string")
+    b = spark.createDataFrame([(3, "a b c d e f g h i j")], "item_id long, text string").withColumn("item_id", F.col("item_id").cast("smallint"))
+    assert [tuple(r)[:3] for r in decontaminate.find(d, b).collect()] == [(1, 3, 1)]
 
 
 def test_leaks_query(spark):

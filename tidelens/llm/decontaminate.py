@@ -1,12 +1,15 @@
 """Benchmark decontamination by SimHash windows.
 
-A document's windows of an item's size have 64-bit SimHash fingerprints of their weighted word shingles. Fingerprints are
-cut into blocks; two within the radius agree in some block up to radius // blocks bits, so looking every block up with
-that slack finds every item within the radius. Candidates are verified by their exact weighted shingle similarity.
+A document's windows of each item's size have fingerprints of their weighted word shingles: two blocks of 64 bits, the
+signs of sums over the shingles. Which items a window is like, only the fingerprints say: two within RADIUS bits agree in
+one block or the other up to half of that, so comparing the blocks with those of all items of the size finds every item
+within the radius. Candidates are verified by the exact weighted shingle similarity.
 
-A window that shares no shingle with an item has similarity 0, so only windows that hold a shared shingle are looked at:
-all of them, in whatever order the shingles stand. A running sum of the shared shingles' weights bounds a window's
-similarity; those whose bound reaches SIMILARITY get a fingerprint.
+Windows that cannot be like any item get no fingerprint: such a window would hold shingles of the benchmark, whatever the
+item, that make SIMILARITY of its own weight. That loses nothing, and leaves few windows, however large the benchmark is.
+
+At the similarity 0.8 fingerprints differ by 19.3 bits on average (s.d. 4.0): RADIUS lies 5 deviations above, so at the
+very threshold one candidate in a million is not found. Unrelated windows differ by 64 (s.d. 5.7).
 """
 
 from __future__ import annotations
@@ -18,13 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidelens.llm.common import SPACE, Words, bounded_batches, hash_words, relax, shingles
+from tidelens.llm.common import SPACE, Words, bounded_batches, distinct, hash_words, mix, relax, shingles
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS, BLOCKS = 20, 5  # bits of the fingerprint; at the similarity 0.8 fingerprints differ by 9.7 bits on average, s.d. 2.9
-ITEMS_AT_ONCE, BYTES_AT_ONCE = 4096, 8 << 20  # of the benchmark in one index; a larger one is taken in blocks
+RADIUS = 40  # bits of 128
+AT_ONCE = 1024  # windows, and items, that are compared at once
+ITEMS_AT_ONCE, BYTES_AT_ONCE = 65_536, 64 << 20  # of the benchmark in one pass over the documents
 
 
 def read_words(texts: list[str | None]) -> Words:
@@ -38,13 +43,23 @@ def weighted(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, (total[k : len(keys) + k] - total[: len(keys)]).astype(np.float64)
 
 
-def simhash(keys: np.ndarray, weights: np.ndarray) -> int:
-    bits = np.unpackbits(keys.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
-    return int(np.packbits((weights @ (2 * bits - 1)) > 0, bitorder="little").view("<u8")[0])
+def _signs(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A row for each shingle, a column for each bit of the fingerprint: its weight, or less its weight.
+
+    A fingerprint's angle goes with the squares of these, so they are the roots of the similarity's weights.
+    """
+    bits = np.stack([keys, mix(keys ^ np.uint64(0xD6E8FEB86659FD93))], axis=1).astype("<u8").view(np.uint8)
+    on = np.unpackbits(bits, axis=1, bitorder="little").view(np.int8)
+    return (2 * on - 1) * np.round(16 * np.sqrt(weights)).astype(np.int32)[:, None]
+
+
+def _prints(sums: np.ndarray) -> np.ndarray:
+    """Fingerprints, two blocks of 64 bits each, from sums of signs."""
+    return np.packbits(sums, axis=1, bitorder="little").view("<u8")
 
 
 class Index:
-    """Some benchmark items: their shingles, and the fingerprints' blocks."""
+    """Some benchmark items: their bags of shingles, their fingerprints by size, and all their shingles as a set."""
 
     def __init__(self, items: list[tuple[object, str | None]]):
         items = [(i, t) for i, t in items if t and t.strip(SPACE.decode())]
@@ -54,14 +69,7 @@ class Index:
         self.k = np.minimum(self.length, SHINGLE)  # a short item is one shingle of all its words
         self.bags: list[dict[int, tuple[int, float]]] = []
         self.total: list[float] = []
-        prints, self.places = [], {}
-        for k in sorted(set(self.k.tolist())):
-            keys = shingles(words, k)
-            where: dict[int, list[tuple[int, int]]] = {}
-            for i in np.flatnonzero(self.k == k).tolist():
-                for o in range(int(self.length[i]) - k + 1):
-                    where.setdefault(int(keys[words.starts[i] + o]), []).append((i, o))
-            self.places[k] = (np.array(sorted(where), np.uint64), where)
+        prints = []
         for i in range(len(items)):
             k = int(self.k[i])
             a, b = int(words.starts[i]), int(words.starts[i + 1])
@@ -71,97 +79,125 @@ class Index:
                 bag[key] = (bag.get(key, (0, w))[0] + 1, w)
             self.bags.append(bag)
             self.total.append(float(weights.sum()))
-            prints.append(simhash(keys, weights))
-        self.prints = np.array(prints, np.uint64)
-        self._blocks()
-
-    def _blocks(self) -> None:
-        """For each block and each value of it a bit set of the items that agree with it up to the slack."""
-        edges = np.linspace(0, 64, BLOCKS + 1).round().astype(int)
-        self.cuts, self.tables = [], []
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            mask = np.uint64((1 << (b - a)) - 1)
-            own = ((self.prints >> np.uint64(a)) & mask).astype(np.uint64)
-            values = np.arange(1 << (b - a), dtype=np.uint64)
-            self.cuts.append((np.uint64(a), mask))
-            self.tables.append(np.packbits(np.bitwise_count(values[:, None] ^ own[None, :]) <= RADIUS // BLOCKS, axis=1))
-
-    def within(self, print_: int) -> np.ndarray:
-        """The items whose fingerprints differ from this one by RADIUS bits or less: all of them."""
-        p = np.uint64(print_)
-        some = np.bitwise_or.reduce([t[int((p >> a) & m)] for (a, m), t in zip(self.cuts, self.tables, strict=True)])
-        at = np.flatnonzero(np.unpackbits(some, count=len(self.prints)))
-        return at[np.bitwise_count(self.prints[at] ^ p) <= RADIUS]
+            prints.append(_prints(_signs(keys, weights).sum(axis=0, dtype=np.int64)[None, :] > 0)[0])
+        self.prints = np.array(prints, np.uint64).reshape(-1, 2)
+        #: words of a shingle -> words of a window -> the items of that size, and the least weight of an item
+        self.sizes: dict[int, dict[int, np.ndarray]] = {}
+        for i, n in enumerate(self.length.tolist()):
+            self.sizes.setdefault(min(n, SHINGLE), {}).setdefault(n, []).append(i)
+        self.sizes = {k: {n: np.array(own) for n, own in sorted(of.items())} for k, of in self.sizes.items()}
+        self.known = {k: distinct(np.array([x for own in of.values() for i in own.tolist() for x in self.bags[i]], np.uint64)) for k, of in self.sizes.items()}
+        self.least = {k: min(self.total[i] for own in of.values() for i in own.tolist()) for k, of in self.sizes.items()}
+        self.maps = {}
+        for k, known in self.known.items():
+            low = np.uint64((1 << max(16, int(len(known) * 32).bit_length())) - 1)
+            there = np.zeros(int(low) + 1, bool)
+            there[(known & low).astype(np.int64)] = True
+            self.maps[k] = low, there
+
+    def within(self, prints: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of fingerprints and the items that differ from them by RADIUS bits or less: all such pairs.
+
+        Of two fingerprints that close, one block or the other differs by half the radius or less, so only those pairs
+        are compared as a whole.
+        """
+        near = [np.bitwise_count(prints[:, None, b] ^ self.prints[None, items, b]) for b in (0, 1)]
+        at, item = np.nonzero((near[0] <= RADIUS // 2) | (near[1] <= RADIUS // 2))
+        close = near[0][at, item].astype(np.int16) + near[1][at, item] <= RADIUS
+        return at[close], items[item[close]]
 
     def matches(self, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
         """For each text the items in it: item's place, start word, bits that differ, similarity; an item's best window."""
         words = read_words(texts)
         out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-        for k, (known, where) in self.places.items():
-            keys, weights = weighted(words, k)
-            if not len(keys) or not len(known):
+        near: dict[tuple[int, int], list[np.ndarray]] = {}
+        shingled = {}
+        for k, of in self.sizes.items():
+            shingled[k] = keys, weights = weighted(words, k)
+            if not len(keys):
                 continue
-            # A bit map over the keys' low bits clears nearly all places; the rest are looked up.
-            bits = max(16, int(len(known) * 32).bit_length())
-            low = np.uint64((1 << bits) - 1)
-            there = np.zeros(1 << bits, bool)
-            there[(known & low).astype(np.int64)] = True
+            # Places whose shingle is in any item: a bit map over low bits clears nearly all, the rest are looked up.
+            known, (low, there) = self.known[k], self.maps[k]
             at = np.flatnonzero(there[(keys & low).astype(np.int64)])
-            found = np.searchsorted(known, keys[at])
-            at = at[known[np.minimum(found, len(known) - 1)] == keys[at]]
+            at = at[known[np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)] == keys[at]]
             owner = np.searchsorted(words.starts, at, side="right") - 1
             whole = at + k <= words.starts[owner + 1]
             at, owner = at[whole], owner[whole]
-            shared: dict[tuple[int, int], list[int]] = {}
-            for p, d, key in zip(at.tolist(), owner.tolist(), keys[at].tolist(), strict=True):
-                for i in dict.fromkeys(i for i, _ in where[key]):
-                    shared.setdefault((d, i), []).append(p)
-            for (d, i), places in sorted(shared.items()):
-                if best := self._best(keys, weights, words, k, d, i, np.array(places)):
-                    out[d].append(best)
+            largest = max(of)
+            cut = np.flatnonzero((np.diff(owner) != 0) | (np.diff(at) > largest)) + 1
+            for run in np.split(np.arange(len(at)), cut) if len(at) else ():
+                if weights[at[run]].sum() >= SIMILARITY * self.least[k]:
+                    d = int(owner[run[0]])
+                    for i, places in self._near(keys, weights, k, at[run], int(words.starts[d]), int(words.starts[d + 1])):
+                        near.setdefault((d, i), []).append(places)
+        for (d, i), places in sorted(near.items()):
+            k = int(self.k[i])
+            if best := self._best(*shingled[k], words, k, d, i, np.unique(np.concatenate(places))):
+                out[d].append(best)
         return out
 
+    def _near(self, keys: np.ndarray, weights: np.ndarray, k: int, hits: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Items, and places in the text from lo to hi where a window's fingerprint is near the item's, around some hits.
+
+        hits: places (ascending) of shingles that stand in the benchmark. A window similar to any item holds shingles of
+        the benchmark that make SIMILARITY of its weight or more; the others get no fingerprint, which loses nothing.
+        """
+        largest = max(self.sizes[k])
+        a, z = max(int(hits[0]) - largest + 1, lo), min(int(hits[-1]) + largest, hi - k + 1)
+        weight = weights[a:z]
+        own = np.concatenate([[0.0], np.cumsum(weight)])
+        held = np.zeros(len(weight))
+        held[hits - a] = weights[hits]
+        held = np.concatenate([[0.0], np.cumsum(held)])
+        sums = None
+        for size, items in self.sizes[k].items():
+            n = min(size, hi - lo) - k + 1
+            if n > len(weight):
+                continue
+            start = np.flatnonzero(held[n:] - held[:-n] >= SIMILARITY * (own[n:] - own[:-n]) - 1e-6)
+            if not len(start):
+                continue
+            if sums is None:
+                sums = np.zeros((len(weight) + 1, 128), np.int64)
+                np.cumsum(_signs(keys[a:z], weight), axis=0, dtype=np.int64, out=sums[1:])
+            for at in range(0, len(start), AT_ONCE):
+                part = start[at : at + AT_ONCE]
+                for first in range(0, len(items), AT_ONCE):
+                    place, item = self.within(_prints(sums[part + n] > sums[part]), items[first : first + AT_ONCE])
+                    for i in np.unique(item).tolist():
+                        yield i, a + part[place[item == i]]
+
     def _best(self, keys: np.ndarray, weights: np.ndarray, words: Words, k: int, d: int, i: int, places: np.ndarray) -> tuple[int, int, int, float] | None:
-        """The item's best window among all that hold one of the places (ascending) of shingles shared with it."""
+        """The item's best window of its own size around the places (ascending) that fingerprints found; None below SIMILARITY."""
         size, lo, hi = int(self.length[i]), int(words.starts[d]), int(words.starts[d + 1])
         n, total, bag = min(size, hi - lo) - k + 1, self.total[i], self.bags[i]
+        last = hi - (n + k - 1)  # where the text's last window starts
         best = None
         for run in np.split(places, np.flatnonzero(np.diff(places) > size) + 1):
-            if weights[run].sum() < SIMILARITY * total:
-                continue
-            a, b = max(int(run[0]) - size + 1, lo), min(int(run[-1]), max(hi - size, lo))
-            # The weight of the window's shared places is what it can share at most: a bound that loses nothing.
-            weight = weights[a : b + n]
-            hit = np.zeros(len(weight))
-            inside = run[run < b + n] - a
-            hit[inside] = weight[inside]
-            most, own = (c[n:] - c[:-n] for c in (np.concatenate([[0.0], np.cumsum(x)]) for x in (hit, weight)))
-            tries = np.flatnonzero(most * (1 + SIMILARITY) >= SIMILARITY * (own + total) - 1e-6)
-            near: dict[int, int] = {}
-            for s in tries.tolist():
-                print_ = simhash(keys[a + s : a + s + n], weight[s : s + n])
-                if np.any(self.within(print_) == i):
-                    near[s] = print_
-            if not near:
-                continue
+            a, b = int(run[0]), min(int(run[-1]), last)
             # The bag slides over the places: a shingle comes, one goes.
-            first, seen, shared = min(near), defaultdict(int), 0.0
-            line, ws = keys[a + first : a + max(near) + n].tolist(), weight[first : max(near) + n].tolist()
+            line, ws = keys[a : b + n].tolist(), weights[a : b + n].tolist()
+            seen: defaultdict[int, int] = defaultdict(int)
+            shared = own = 0.0
             for at, (key, w) in enumerate(zip(line, ws, strict=True)):
                 if at >= n:
                     old = line[at - n]
+                    own -= ws[at - n]
                     if old in bag and seen[old] <= bag[old][0]:
                         shared -= bag[old][1]
                     seen[old] -= 1
                 seen[key] += 1
+                own += w
                 if key in bag and seen[key] <= bag[key][0]:
                     shared += bag[key][1]
-                s = first + at - n + 1
-                if s in near:
-                    similarity = shared / (float(own[s]) + total - shared)
-                    if similarity >= SIMILARITY and (best is None or similarity > best[3]):
-                        best = (i, a + s - lo, int(np.uint64(near[s]) ^ self.prints[i]).bit_count(), similarity)
-        return best
+                if at >= n - 1:
+                    similarity = shared / (own + total - shared)
+                    if similarity >= SIMILARITY and (best is None or similarity > best[1]):
+                        best = (a + at - n + 1, similarity)
+        if best is None:
+            return None
+        print_ = _prints(_signs(keys[best[0] : best[0] + n], weights[best[0] : best[0] + n]).sum(axis=0, dtype=np.int64)[None, :] > 0)[0]
+        return i, best[0] - lo, int(np.bitwise_count(print_ ^ self.prints[i]).sum()), best[1]
 
 
 def indexes(items: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[Index]:
@@ -185,7 +221,7 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     kind, item_kind = dict(docs.dtypes)[key], dict(items.dtypes)[item]
     schema = f"`{key}` {kind}, `{item}` {item_kind}, start_word long, n_words long, bits int, similarity double"
     names = [key, item, "start_word", "n_words", "bits", "similarity"]
-    item_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[item_kind]
+    item_type = to_arrow_type(items.schema[item].dataType)
     out = None
     for index in indexes(items, item):
         held = docs.sparkSession.sparkContext.broadcast(index)
@@ -193,8 +229,8 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value
             for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    part = batch.slice(at, 2048)
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
                     hits = [(d, *m) for d, found in enumerate(index.matches(part.column(1).to_pylist())) for m in found]
                     if hits:
                         where, which, starts, bits, similar = zip(*hits, strict=True)
@@ -216,15 +252,18 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
-    """The rows of docs in which find finds no item, with all their columns."""
+    """The rows of docs in which find finds no item, with all their columns.
+
+    Null and empty texts hold no item and stay; repeated rows stay or go together; an empty benchmark keeps all.
+    """
     where = docs.columns.index(text)
     for index in indexes(items, item):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    part = batch.slice(at, 2048)
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
                     yield part.filter(pa.array([not m for m in held.value.matches(part.column(where).to_pylist())], pa.bool_()))
             relax()
 
