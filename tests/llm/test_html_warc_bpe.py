@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import html as h
 import random
 import re
@@ -207,3 +208,48 @@ def test_round_trip_of_odd_urls_and_large_payloads(spark, monkeypatch):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r for r in warc.round_trip(spark, pages).collect()}
     assert len(got) == 30 and all(got[i]["url"] == u and got[i]["payload_bytes"] == len(h) for i, u, h in rows)
+
+
+STORY = "The story runs on, at length; it has commas, and full stops. " * 6
+RIVAL = f"<article class='teaser'><a href='/x'>Read more</a></article><div id='text'><h2>Title</h2>{f'<p>{STORY}</p>' * 5}</div>"
+LINKS = f"<article><h1>Title of it</h1><p>{STORY}</p><p>{STORY}</p><section><div><div><div><div><i>a</i><u>b</u><s>c</s><em>d</em><tt>x</tt></div></div></div></div></section></article>"
+NAMELESS = f"<div><div><span>Home</span><span>About</span><span>Shop</span></div><div><p>{STORY}</p><p>{STORY}</p></div></div>"
+
+
+def plain_ratios(page):
+    """Ratio, smoothing and fusion of each path, by their definitions."""
+    seen = []
+    for _, path, mark, text in html.nodes(page):
+        if text.strip():
+            seen.append(((path, mark), len(text.strip()), sum(c in html.PUNCTUATION for c in text)))
+    keys = list(dict.fromkeys(k for k, *_ in seen))
+    raw = []
+    for k in keys:
+        own = [(c, p) for q, c, p in seen if q == k]
+        raw.append(math.log(1 + sum(c for c, _ in own) / len(own)) + math.log(1 + sum(p for _, p in own) / len(own)))
+    out = {}
+    for i, k in enumerate(keys):
+        near = [j for j in range(max(0, i - 2), min(len(keys), i + 3)) if keys[j][1] == k[1]]
+        weight = [math.exp(-((j - i) ** 2) / 2) for j in near]
+        out[k] = math.sqrt(raw[i] * sum(w * raw[j] for w, j in zip(weight, near, strict=True)) / sum(weight))
+    return out
+
+
+def test_ratios_equal_their_definition(spark):
+    pages = [RIVAL, LINKS, NAMELESS, "", *(r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect())]
+    for page in pages:
+        totals, ratios = html.path_ratios(list(html.nodes(page or "")))
+        want = plain_ratios(page or "")
+        assert list(ratios) == list(want) == list(totals) and all(math.isclose(ratios[k], want[k]) for k in want)
+
+
+def test_ratios_decide_with_and_without_names(monkeypatch):
+    told = " ".join(STORY.split())
+    assert html.extract(RIVAL) == "\n\n".join(["Title", *[told] * 5])
+    assert html.extract(LINKS) == f"Title of it\n\n{told}\n\n{told}"
+    assert html.extract(NAMELESS) == f"{told}\n\n{told}"
+    # Without the ratios the names decide, and all three come out otherwise.
+    true = html.path_ratios
+    monkeypatch.setattr(html, "path_ratios", lambda found: (lambda t, r: ({k: [1.0, 0.0, 1.0] for k in t}, dict.fromkeys(r, 1.0)))(*true(found)))
+    assert html.extract(RIVAL) == "Read more"
+    assert html.extract(LINKS).endswith("abcdx") and "Home" in html.extract(NAMELESS)

@@ -2,7 +2,7 @@
 
 A page is cut into blocks of text; a text node belongs to the path of open tags from the root to it. For each path the
 page's text length and punctuation are summed and divided by the number of its nodes; the ratios, in page order, are
-smoothed with a Gaussian, fused with what the path's names say (content or page furniture), and paths above a threshold
+smoothed with a Gaussian, fused with themselves and with what the path's names say (content or page furniture), and paths above a threshold
 relative to the page's best are content. Where a page has paths named as content and others, the ratios of whole regions
 decide between them, with the names as a finite prior.
 """
@@ -53,7 +53,7 @@ _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]
 _UNSEEN = re.compile(r"\bstyle\s*=\s*[\"'][^\"']*display\s*:\s*none", re.IGNORECASE)
 
 SIGMA, RADIUS = 1.0, 2  # of the smoothing, in paths
-SHARE = 0.02  # of the best fused ratio, from which a path is content
+SHARE, PLAIN_SHARE = 0.25, 0.5  # of the best fused ratio, from which a path is content
 PRIOR = {"content": 1.0, "plain": 0.05, "furniture": 0.0}  # what the names weigh
 #: Regions: the text of a path weighs its characters times its smoothed ratios. Names of content multiply that and add to
 #: it as some 500 characters of prose would; a region stays from HALF of what stands against it.
@@ -157,10 +157,13 @@ def _region(key: tuple) -> tuple:
     return path[: i + 1], mark
 
 
-def extract(page: str | None) -> str:
-    """The page's main text: blocks joined by an empty line, white space inside a block made one space; empty if none."""
-    found = list(nodes(page or ""))
-    # Ratios of each path, in the order of the paths' first nodes; furniture and content of one path are apart.
+def path_ratios(found: list[tuple[int, tuple[str, ...], str, str]]) -> tuple[dict, dict]:
+    """Of each path and mark with text, in the order of first nodes: characters, punctuation and number of its nodes; and its ratio.
+
+    The ratio adds the logarithms of characters and of punctuation a node, is smoothed over the neighbouring paths of the
+    same mark, so furniture's ratios don't run into its neighbours, and fused with its value before by their geometric
+    mean, so a menu beside a story doesn't pass for one.
+    """
     totals: dict[tuple, list[float]] = {}
     for _, path, mark, text in found:
         if text.strip():
@@ -168,35 +171,42 @@ def extract(page: str | None) -> str:
             t[0] += len(text.strip())
             t[1] += sum(map(text.count, PUNCTUATION))
             t[2] += 1
-    if not totals:
-        return ""
     keys = list(totals)
-    ratio = [math.log1p(totals[k][0] / totals[k][2]) for k in keys]
-    marks = [math.log1p(totals[k][1] / totals[k][2]) for k in keys]
     kernel = {d: math.exp(-d * d / (2 * SIGMA * SIGMA)) for d in range(-RADIUS, RADIUS + 1)}
+    raw = {k: math.log1p(c / n) + math.log1p(p / n) for k, (c, p, n) in totals.items()}
+    ratios = {}
+    for i, k in enumerate(keys):
+        near = [(w, raw[keys[i + d]]) for d, w in kernel.items() if 0 <= i + d < len(keys) and keys[i + d][1] == k[1]]
+        smooth = sum(w * v for w, v in near) / sum(w for w, _ in near)
+        ratios[k] = math.sqrt(raw[k] * smooth)
+    return totals, ratios
+
+
+def chosen(totals: dict, ratios: dict) -> set:
+    """The paths that are content.
 
-    def smooth(values: list[float]) -> list[float]:
-        """Only paths of one kind of names smooth each other: furniture's ratios don't run into its neighbours."""
-        out = []
-        for i, k in enumerate(keys):
-            near = [(kernel[d], values[i + d]) for d in kernel if 0 <= i + d < len(keys) and keys[i + d][1] == k[1]]
-            out.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
-        return out
-
-    fused = {k: PRIOR[k[1]] * (a + b) for k, a, b in zip(keys, smooth(ratio), smooth(marks), strict=True)}
-    best = max(fused.values())
-    least = best * (SHARE if any(k[1] == "content" and fused[k] > 0 for k in keys) else 0.5)
-    kept = {k for k in keys if fused[k] > 0 and fused[k] >= least}
-    if any(k[1] == "content" and fused[k] > 0 for k in keys):
-        kept = {k for k in keys if k[1] == "content" and fused[k] >= least}
-        evidence: dict[tuple, float] = {}
-        for k in keys:
-            if PRIOR[k[1]]:
-                evidence[_region(k)] = evidence.get(_region(k), 0.0) + totals[k][0] * fused[k] / PRIOR[k[1]]
-        evidence = {r: NAMED * e + ADDED if r[1] == "content" else e for r, e in evidence.items()}
-        plain = max((e for r, e in evidence.items() if r[1] == "plain"), default=0.0)
-        kept = {k for k in kept if evidence[_region(k)] >= HALF * plain}
-        kept |= {k for k in keys if k[1] == "plain" and evidence[_region(k)] >= HALF * max(evidence.values())}
+    Ratios are fused with PRIOR, what the marks weigh. Regions are weighed by their paths' characters times ratios, and
+    those of HALF of the strongest rival's weight stay; of a region that stays, paths from SHARE of the best ratio on.
+    Where nothing is marked as content the plain paths from PLAIN_SHARE of the best fused ratio on are.
+    """
+    fused = {k: PRIOR[k[1]] * v for k, v in ratios.items()}
+    best = max(fused.values(), default=0.0)
+    if not any(k[1] == "content" and v > 0 for k, v in fused.items()):
+        return {k for k, v in fused.items() if v > 0 and v >= best * PLAIN_SHARE}
+    evidence: dict[tuple, float] = {}
+    for k in totals:
+        if PRIOR[k[1]]:
+            evidence[_region(k)] = evidence.get(_region(k), 0.0) + totals[k][0] * ratios[k]
+    evidence = {r: NAMED * e + ADDED if r[1] == "content" else e for r, e in evidence.items()}
+    plain = max((e for r, e in evidence.items() if r[1] == "plain"), default=0.0)
+    kept = {k for k, v in fused.items() if k[1] == "content" and v >= best * SHARE and evidence[_region(k)] >= HALF * plain}
+    return kept | {k for k in totals if k[1] == "plain" and evidence[_region(k)] >= HALF * max(evidence.values())}
+
+
+def extract(page: str | None) -> str:
+    """The page's main text: blocks joined by an empty line, white space inside a block made one space; empty if none."""
+    found = list(nodes(page or ""))
+    kept = chosen(*path_ratios(found))
     blocks: dict[int, list[str]] = {}
     for number, path, mark, text in found:
         if (path, mark) in kept or not text.strip():
