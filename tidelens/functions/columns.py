@@ -139,15 +139,11 @@ def erfc(x: Column) -> Column:
 
 def _erfc(x: Column) -> Column:
     a = F.abs(x)
-    near = F.least(a, F.lit(3.0))
-    square = 2.0 * near * near
-    series = F.lit(1.0)
-    for k in range(60, 0, -1):
-        series = 1.0 + square / (2 * k + 1) * series
-    far = F.greatest(a, F.lit(3.0))
-    fraction = far
-    for k in range(40, 0, -1):
-        fraction = far + (k / 2) / fraction
+    near, far = F.least(a, F.lit(3.0)), F.greatest(a, F.lit(3.0))
+    down = lambda n: F.sequence(F.lit(n), F.lit(1), F.lit(-1))
+    # Folds and not nested sums: the plan stays small.
+    series = F.aggregate(down(60), F.lit(1.0), lambda s, k: 1.0 + 2.0 * near * near / (2 * k + 1) * s)
+    fraction = F.aggregate(down(30), far, lambda s, k: far + k / 2.0 / s)
     root = math.sqrt(math.pi)
     upper = F.when(a <= 3.0, 1.0 - 2.0 / root * near * F.exp(-near * near) * series).otherwise(F.exp(-far * far) / root / fraction)
     return F.when(x.isNotNull(), F.when(x < 0, 2.0 - upper).otherwise(upper))

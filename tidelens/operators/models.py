@@ -92,6 +92,21 @@ def simulate_states(df: DataFrame, draws: int, q=1.0, r=1.0, x0=0.0, p0=1.0, see
     return each_series(df, run, "draw long, t long, x double")
 
 
+def simulate_given(df: DataFrame, noise: str = "z", q=1.0, r=1.0, x0=0.0, p0=1.0) -> DataFrame:
+    """One draw of a local level's states (t, x) given the observations and the standard normal noise of each step.
+
+    A null noise is 0, the mean of a normal variate; repeated steps keep their order by t and noise.
+    """
+
+    def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "z"], kind="stable")
+        fit = kalman.filter_scalar(pdf["y"].to_numpy(np.float64, na_value=np.nan), 1.0, 1.0, q, r, x0, p0)
+        x = kalman.simulate_scalar(fit["x_filt"], fit["p_filt"], 1.0, q, noise=pdf["z"].fillna(0.0).to_numpy())
+        return pd.DataFrame({"series_id": pdf["series_id"], "t": pdf["t"], "x": x})
+
+    return df.select(*SERIES, F.col(noise).cast("double").alias("z")).groupBy("series_id").applyInPandas(grouped, "series_id string, t long, x double")
+
+
 def forecast_fixed(df: DataFrame, spec: ModelSpec, horizon: int, gap: int = 0) -> DataFrame:
     """Exact forecast with known variances: mean, variance and the variance of the running sum of each step ahead."""
 

@@ -275,9 +275,11 @@ def attribution_total(spark, sf_dir):
 _ERF = "(CASE WHEN abs({x}) > 5.9 THEN sign({x}) ELSE sign({x}) * 2 / sqrt(pi()) * list_sum(list_transform(generate_series(0, 120), lambda n: exp(2 * n * ln(2) + (2 * n + 1) * ln(greatest(abs({x}), 1e-300)) + lgamma(n + 1) - lgamma(2 * n + 2) - {x} * {x}))) END)"
 
 
-@query(CF + _GROUPS + f""",
+def _attributed_sql(obs: float) -> str:
+    """Shares of the groups g over the counterfactual cf, with an observation variance."""
+    return f""",
 z AS (SELECT series_id, group_id, count(*) AS n FROM g GROUP BY 1, 2),
-c AS (SELECT g.series_id, group_id, t, any_value(y - cf_mean) AS d, any_value(cf_var + 0.5) AS v, count(*) AS k FROM g JOIN cf ON cf.series_id = g.series_id AND t >= ws AND t < we GROUP BY 1, 2, 3),
+c AS (SELECT g.series_id, group_id, t, any_value(y - cf_mean) AS d, any_value(cf_var + {obs}) AS v, count(*) AS k FROM g JOIN cf ON cf.series_id = g.series_id AND t >= ws AND t < we GROUP BY 1, 2, 3),
 u AS (SELECT series_id, group_id, sum(d) AS total, sum(v) AS var FROM c GROUP BY 1, 2),
 x AS (SELECT g.*, z.n, sum(c.d) AS own, sum(c.d / c.k) AS shared FROM g JOIN z ON z.series_id = g.series_id AND z.group_id = g.group_id JOIN c ON c.series_id = g.series_id AND c.group_id = g.group_id AND c.t >= ws AND c.t < we GROUP BY ALL),
 r AS (SELECT *, round(abs(own), 6) AS m, row_number() OVER (PARTITION BY series_id, group_id ORDER BY abs(own) DESC, spot_id) - 1 AS k FROM x),
@@ -289,7 +291,10 @@ f AS (SELECT *, sum(share) OVER o AS now FROM p WINDOW o AS (PARTITION BY series
 h AS (SELECT f.series_id, f.group_id, spot_id, ws, we, n, var, CASE WHEN n = 1 THEN share WHEN abs(now) < 1e-10 THEN total / n ELSE total * share / now END AS lift FROM f JOIN u ON u.series_id = f.series_id AND u.group_id = f.group_id),
 b AS (SELECT *, sqrt(CASE WHEN size > 1e-15 THEN var * abs(lift) / size ELSE var / n END) AS sd FROM (SELECT *, sum(abs(lift)) OVER (PARTITION BY series_id, group_id) AS size FROM h))
 SELECT series_id, spot_id, ws, we, group_id, round(lift, 4) AS lift, round(sd, 4) AS lift_sd, round(lift - {Z05} * sd, 4) AS lift_lower, round(lift + {Z05} * sd, 4) AS lift_upper,
-       round(CASE WHEN sd = 0 THEN CASE WHEN lift > 0 THEN 1.0 WHEN lift < 0 THEN 0.0 ELSE 0.5 END ELSE 0.5 + 0.5 * {_ERF.format(x="(lift / sd / sqrt(2))")} END, 6) AS p_positive FROM b""")
+       round(CASE WHEN sd = 0 THEN CASE WHEN lift > 0 THEN 1.0 WHEN lift < 0 THEN 0.0 ELSE 0.5 END ELSE 0.5 + 0.5 * {_ERF.format(x="(lift / sd / sqrt(2))")} END, 6) AS p_positive FROM b"""
+
+
+@query(CF + _GROUPS + _attributed_sql(0.5))
 def attribution_spots(spark, sf_dir):
     got = attribution.attribute(counterfactual(spark, sf_dir), windows(spark, sf_dir), 0.5)
     return rounded(got, "lift", "lift_sd", "lift_lower", "lift_upper", to=4).withColumn("p_positive", F.round("p_positive", 6))
@@ -490,9 +495,23 @@ def split_r_hat(spark, sf_dir):
     return rounded(checks.split_r_hat(src.price_chains(spark, sf_dir)), "r_hat", to=8)
 
 
-@query()
+@query("""
+WITH c AS (SELECT l_returnflag AS param, CAST(l_linenumber AS INTEGER) AS chain, row_number() OVER v AS i, count(*) OVER (PARTITION BY l_returnflag, l_linenumber) AS n, CAST(l_extendedprice AS DOUBLE) AS value FROM lineitem WINDOW v AS (PARTITION BY l_returnflag, l_linenumber ORDER BY l_orderkey, l_extendedprice)),
+w AS (SELECT param, chain, 0 AS part, i, n, n AS m, value FROM c
+  UNION ALL SELECT param, chain, 1, i, n, greatest(CAST(floor(n * 0.1) AS BIGINT), 2), value FROM c WHERE n >= 20 AND i <= greatest(CAST(floor(n * 0.1) AS BIGINT), 2)
+  UNION ALL SELECT param, chain, 2, i - (n - greatest(CAST(floor(n * 0.5) AS BIGINT), 2)), n, greatest(CAST(floor(n * 0.5) AS BIGINT), 2), value FROM c WHERE n >= 20 AND i > n - greatest(CAST(floor(n * 0.5) AS BIGINT), 2)),
+d AS (SELECT *, value - avg(value) OVER (PARTITION BY param, chain, part) AS x, avg(value) OVER (PARTITION BY param, chain, part) AS mean FROM w),
+a AS (SELECT p.param, p.chain, p.part, q.i - p.i AS k, any_value(p.n) AS n, any_value(p.m) AS m, any_value(p.mean) AS mean, sum(p.x * q.x) / any_value(p.m) AS a
+  FROM d p JOIN d q ON q.param = p.param AND q.chain = p.chain AND q.part = p.part AND q.i >= p.i AND (p.part = 0 OR q.i - p.i <= least(greatest(CAST(floor(sqrt(p.m)) AS BIGINT), 1), p.m - 1)) GROUP BY 1, 2, 3, 4),
+h AS (SELECT param, chain, k // 2 AS j, sum(a) AS s, any_value(n) AS n FROM a WHERE part = 0 AND k <= 2 * ((n - 2) // 2) + 1 GROUP BY 1, 2, 3),
+l AS (SELECT *, min(CASE WHEN s <= 0 THEN j END) OVER (PARTITION BY param, chain) AS stop, min(s) OVER (PARTITION BY param, chain ORDER BY j) AS low FROM h),
+e AS (SELECT l.param, l.chain, any_value(l.n) AS n, any_value(z.a) AS a0, 2 * coalesce(sum(low) FILTER (stop IS NULL OR j < stop), 0) - any_value(z.a) AS spread FROM l JOIN a z ON z.param = l.param AND z.chain = l.chain AND z.part = 0 AND z.k = 0 GROUP BY 1, 2),
+g AS (SELECT param, chain, part, any_value(m) AS m, any_value(mean) AS mean, sum(CASE WHEN k = 0 THEN a ELSE 2 * (1 - k / (least(greatest(floor(sqrt(m)), 1), m - 1) + 1)) * a END) AS s FROM a WHERE part > 0 GROUP BY 1, 2, 3),
+t AS (SELECT x.param, x.chain, (x.mean - y.mean) / sqrt(x.s / x.m + y.s / y.m) AS z FROM g x JOIN g y ON y.param = x.param AND y.chain = x.chain AND x.part = 1 AND y.part = 2 WHERE x.s > 0 AND y.s > 0)
+SELECT b.param, b.chain, round(CASE WHEN b.n < 4 OR e.a0 = 0 THEN NULL WHEN spread <= 1e-15 THEN 1.0 ELSE least(greatest(e.n * a0 / spread, 1.0), e.n) END, 4) AS ess, round(t.z, 6) AS geweke_z, abs(t.z) <= """ + str(Z05) + """ AS geweke_pass
+FROM (SELECT param, chain, any_value(n) AS n FROM c GROUP BY 1, 2) b LEFT JOIN e ON e.param = b.param AND e.chain = b.chain LEFT JOIN t ON t.param = b.param AND t.chain = b.chain""")
 def chain_diagnostics(spark, sf_dir):
-    return checks.chain_diagnostics(src.price_chains(spark, sf_dir))
+    return rounded(checks.chain_diagnostics(src.price_chains(spark, sf_dir)), "ess", to=4).withColumn("geweke_z", F.round("geweke_z", 6))
 
 
 # ---- controls, autoregression, signals ---------------------------------------------------------------------------
@@ -591,6 +610,59 @@ def online_scores(spark, sf_dir):
     return got.select("series_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "value", F.round("predicted", 6).alias("predicted"), F.round("z_score", 6).alias("z_score"), "anomaly")
 
 
+# ---- what follows from given draws and noise ----------------------------------------------------------------------
+
+
+@query("""
+WITH v AS (SELECT CAST(label AS VARCHAR) AS series_id, embedding[1]::DOUBLE AS x, abs(embedding[2]::DOUBLE) AS q, abs(embedding[3]::DOUBLE) AS r FROM embeddings),
+m AS (SELECT series_id, avg(x) AS m, var_samp(x) AS b, avg(q) AS q, avg(r) AS r FROM v GROUP BY 1)
+SELECT series_id, CAST(h AS BIGINT) AS h, round(m, 8) AS mean, round(sqrt(coalesce(b, 0) + h * q + r), 8) AS sd FROM m, (SELECT unnest(generate_series(1, 7)) AS h)""")
+def moments_of_given_draws(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("string").alias("series_id"), F.col("embedding").cast("array<double>").alias("v"))
+    drawn = e.select("series_id", F.slice("v", 1, 1).alias("x_last"), F.array(F.abs(F.get("v", F.lit(1)))).alias("q"), F.abs(F.get("v", F.lit(2))).alias("obs_var"))
+    return rounded(models.scalar_moments(drawn, 7), "mean", "sd", to=8)
+
+
+_EFFECTS = """
+WITH v AS (SELECT CAST(label AS VARCHAR) AS series_id, vec_id AS draw, CAST(unnest(generate_series(1, len(embedding))) AS BIGINT) AS t, unnest(embedding)::DOUBLE AS effect FROM embeddings),
+u AS (SELECT series_id, draw, sum(effect) AS total, sum(10.0 + effect / 2) AS base FROM v GROUP BY 1, 2)"""
+
+
+def _given_effects(spark, sf_dir) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("string").alias("series_id"), F.col("vec_id").alias("draw"), F.posexplode(F.col("embedding").cast("array<double>")).alias("t", "effect"))
+    return e.select("series_id", "draw", (F.col("t") + 1).cast("long").alias("t"), "effect", (F.col("effect") / 2 + 10.0).alias("counterfactual"))
+
+
+def _bounds_sql(x: str) -> str:
+    return f"round(avg({x}), 8) AS mean, round(stddev_samp({x}), 8) AS sd, round(quantile_cont({x}, 0.025), 8) AS lower, round(quantile_cont({x}, 0.975), 8) AS upper"
+
+
+@query(_EFFECTS + f" SELECT series_id, t, {_bounds_sql('effect')} FROM v GROUP BY 1, 2")
+def impact_points_of_given_draws(spark, sf_dir):
+    return rounded(models.impact_summary(_given_effects(spark, sf_dir))["point"], "mean", "sd", "lower", "upper", to=8)
+
+
+@query(_EFFECTS + f" SELECT series_id, {_bounds_sql('total')} FROM u GROUP BY 1")
+def impact_total_of_given_draws(spark, sf_dir):
+    return rounded(models.impact_summary(_given_effects(spark, sf_dir))["cumulative"], "mean", "sd", "lower", "upper", to=8)
+
+
+@query(_EFFECTS + f" SELECT series_id, {_bounds_sql('total / base')} FROM u GROUP BY 1")
+def impact_relative_of_given_draws(spark, sf_dir):
+    return rounded(models.impact_summary(_given_effects(spark, sf_dir))["relative"], "mean", "sd", "lower", "upper", to=8)
+
+
+@query(GAPPY + _filter_sql() + f""",
+f AS (SELECT series_id, t, x, p, sin(t + 1.0) AS z FROM k WHERE t >= 0),
+b(series_id, t, x) AS (
+  SELECT series_id, t, x + sqrt(greatest(p, 0)) * z FROM f WHERE t = (SELECT max(t) FROM s)
+  UNION ALL
+  SELECT f.series_id, f.t, f.x + f.p / (f.p + {Q}) * (b.x - f.x) + sqrt(greatest(f.p - f.p / (f.p + {Q}) * f.p, 1e-12)) * f.z FROM b JOIN f ON f.series_id = b.series_id AND f.t = b.t - 1)
+SELECT series_id, t, round(x, 6) AS x FROM b""")
+def simulated_states_of_given_noise(spark, sf_dir):
+    return rounded(models.simulate_given(gappy(spark, sf_dir).withColumn("z", F.sin(F.col("t") + 1.0)), "z", Q, R, X0, P0), "x")
+
+
 # ---- sampling: no SQL, tested on simulated truth ------------------------------------------------------------------
 
 
@@ -605,10 +677,53 @@ def gibbs_structured(spark, sf_dir):
     return models.chains(daily(spark, sf_dir), 1, 40, 20, spec=spec, seed=7).select("series_id", "chain", "draw", "obs_var", "q", "x_last")
 
 
-@query()
+_D = 8  # level, slope and six seasons, in lists of 8 and of 64 numbers, row by row
+
+
+def _product(a: str, b: str, flip: bool = False) -> str:
+    """The product of two matrices in lists, the second one transposed if flip."""
+    other = f"{b}[(i % {_D}) * {_D} + k + 1]" if flip else f"{b}[k * {_D} + (i % {_D}) + 1]"
+    return f"list_transform(generate_series(0, {_D * _D - 1}), lambda i: list_sum(list_transform(generate_series(0, {_D - 1}), lambda k: {a}[(i // {_D}) * {_D} + k + 1] * {other})))"
+
+
+def _applied(a: str, x: str) -> str:
+    return f"list_transform(generate_series(0, {_D - 1}), lambda i: list_sum(list_transform(generate_series(0, {_D - 1}), lambda k: {a}[i * {_D} + k + 1] * {x}[k + 1])))"
+
+
+def _cells(value) -> str:
+    return "[" + ", ".join(str(float(value(i // _D, i % _D))) for i in range(_D * _D)) + "]"
+
+
+_SEEN = f"(p[i * {_D} + 1] + p[i * {_D} + 3])"  # row i of the covariance times the observation row: level and first season
+_SF = _cells(lambda i, j: i == j == 0 or (i, j) in ((0, 1), (1, 1)) or (-1 if i == 2 and j >= 2 else i > 2 and j == i - 1))
+_SQ = _cells(lambda i, j: (Q, 1.0, 100.0)[i] if i == j and i < 3 else 0)
+_SP = _cells(lambda i, j: (P0, 10.0)[i] if i == j and i < 2 else 1e4 if i == j else 0)
+
+
+@query(DAILY + f""",
+m AS (SELECT {_SF} AS f, {_SQ} AS q),
+k(series_id, t, x, p) AS (
+  SELECT DISTINCT series_id, CAST(-1 AS BIGINT), [{X0}, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[], {_SP}::DOUBLE[] FROM s
+  UNION ALL
+  SELECT series_id, t, CASE WHEN y IS NULL THEN x ELSE list_transform(generate_series(0, {_D - 1}), lambda i: x[i + 1] + g[i + 1] / v * (y - x[1] - x[3])) END,
+         CASE WHEN y IS NULL THEN p ELSE list_transform(generate_series(0, {_D * _D - 1}), lambda i: p[i + 1] - g[i // {_D} + 1] * g[i % {_D} + 1] / v) END
+  FROM (SELECT *, g[1] + g[3] + {R} AS v FROM (SELECT *, list_transform(generate_series(0, {_D - 1}), lambda i: {_SEEN}) AS g FROM (
+    SELECT series_id, t, y, x, list_transform(generate_series(0, {_D * _D - 1}), lambda i: w[i + 1] + q[i + 1]) AS p FROM (
+      SELECT series_id, t, y, x, q, {_product("a", "f", True)} AS w FROM (
+        SELECT k.series_id, s.t, s.y, {_applied("m.f", "k.x")} AS x, {_product("m.f", "k.p")} AS a, m.f AS f, m.q AS q FROM k JOIN s ON s.series_id = k.series_id AND s.t = k.t + 1, m)))))),
+z(series_id, h, x, p, c, mean, own, total) AS (
+  SELECT series_id, CAST(0 AS BIGINT), x, p, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[], 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM k WHERE t = (SELECT max(t) FROM s)
+  UNION ALL
+  SELECT series_id, h + 1, x, p, list_transform(generate_series(0, {_D - 1}), lambda i: c[i + 1] + g[i + 1]), x[1] + x[3], g[1] + g[3], total + g[1] + g[3] + 2 * (c[1] + c[3])
+  FROM (SELECT *, list_transform(generate_series(0, {_D - 1}), lambda i: {_SEEN}) AS g FROM (
+    SELECT series_id, h, x, list_transform(generate_series(0, {_D * _D - 1}), lambda i: w[i + 1] + q[i + 1]) AS p, c, total FROM (
+      SELECT series_id, h, x, c, total, q, {_product("a", "f", True)} AS w FROM (
+        SELECT z.series_id, z.h, {_applied("m.f", "z.x")} AS x, {_product("m.f", "z.p")} AS a, {_applied("m.f", "z.c")} AS c, z.total, m.f AS f, m.q AS q FROM z, m WHERE z.h < 14)))))
+SELECT series_id, h, round(mean, 4) AS mean, round(own + {R}, 2) AS variance, round(total + h * {R}, 1) AS cumulative_variance FROM z WHERE h > 0""")
 def seasonal_forecast(spark, sf_dir):
     spec = ms.compose(ms.local_linear_trend(Q, 1.0, R, X0, 0.0, P0, 10.0), ms.seasonal(7, 100.0, initial_cov=1e4))
-    return models.forecast_fixed(daily(spark, sf_dir), spec, 14)
+    got = models.forecast_fixed(daily(spark, sf_dir), spec, 14)
+    return got.select("series_id", "h", F.round("mean", 4).alias("mean"), F.round("variance", 2).alias("variance"), F.round("cumulative_variance", 1).alias("cumulative_variance"))
 
 
 @query()
@@ -642,14 +757,34 @@ def impact_bayes(spark, sf_dir):
     return workflows.effects(workflows.analyze(daily(spark, sf_dir), PRE, POST, samples=200, seed=7))
 
 
-@query()
+@query(DAILY + _filter_sql() + f""",
+e AS (SELECT series_id, x, p FROM k WHERE t = {PRE[1] - 1}),
+g AS (SELECT e.series_id, sum(s.y - e.x) AS total, sum(e.x) AS base, sqrt({_N * _N}.0 * any_value(p) + {Q} * {_N} * {_N + 1} * {2 * _N + 1} / 6.0 + {_N} * {R}) AS sd FROM s JOIN e ON e.series_id = s.series_id WHERE s.t BETWEEN {POST[0] - 1} AND {POST[1] - 1} GROUP BY 1)
+SELECT series_id, printf('Cumulative effect: %.2f (SD %.2f), interval %.2f to %.2f; relative %.1f%%; significant: %s', total, sd, total - {Z05} * sd, total + {Z05} * sd, 100 * total / base, CASE WHEN total - {Z05} * sd > 0 OR total + {Z05} * sd < 0 THEN 'yes' ELSE 'no' END) AS report FROM g""")
 def impact_report(spark, sf_dir):
     return workflows.report(workflows.effects(workflows.analyze(daily(spark, sf_dir), PRE, POST, mode="operational", model_spec=ms.local_level(Q, R, X0, P0))))
 
 
-@query()
+@query(DAILY + f""",
+k(series_id, t, l, b, p11, p12, p22) AS (
+  SELECT DISTINCT series_id, CAST(-1 AS BIGINT), CAST({X0} AS DOUBLE), CAST(0 AS DOUBLE), CAST({P0} AS DOUBLE), CAST(0 AS DOUBLE), CAST(10 AS DOUBLE) FROM s
+  UNION ALL
+  SELECT series_id, t, lp + a11 / (a11 + {R}) * (y - lp), b + a12 / (a11 + {R}) * (y - lp), a11 * {R} / (a11 + {R}), a12 * {R} / (a11 + {R}), a22 - a12 * a12 / (a11 + {R})
+  FROM (SELECT k.series_id, s.t, s.y, k.l + k.b AS lp, k.b, k.p11 + 2 * k.p12 + k.p22 + {Q} AS a11, k.p12 + k.p22 AS a12, k.p22 + 1.0 AS a22 FROM k JOIN s ON s.series_id = k.series_id AND s.t = k.t + 1 WHERE s.t < {PRE[1]})),
+f(series_id, h, l, b, p11, p12, p22, c1, c2, total) AS (
+  SELECT series_id, CAST(0 AS BIGINT), l, b, p11, p12, p22, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM k WHERE t = {PRE[1] - 1}
+  UNION ALL
+  SELECT series_id, h + 1, l, b, p11, p12, p22, d1 + p11, d2 + p12, total + p11 + 2 * d1
+  FROM (SELECT series_id, h, l + b AS l, b, p11 + 2 * p12 + p22 + {Q} AS p11, p12 + p22 AS p12, p22 + 1.0 AS p22, c1 + c2 AS d1, c2 AS d2, total FROM f WHERE h < {_N})),
+o AS (SELECT f.series_id, CAST({PRE[1] - 1} + h AS BIGINT) AS t, y, l, sqrt(p11 + {R}) AS sd FROM f JOIN s ON s.series_id = f.series_id AND s.t = {PRE[1] - 1} + h WHERE h > 0),
+u AS (SELECT o.series_id, sum(y - l) AS effect, sum(l) AS base FROM o GROUP BY 1),
+v AS (SELECT series_id, sqrt(total + {_N} * {R}) AS sd FROM f WHERE h = {_N})
+SELECT o.series_id, o.t, round(l, 4) AS baseline, round(y - l, 4) AS effect, round(o.sd, 4) AS sd, round(y - l - {Z05} * o.sd, 4) AS lower, round(y - l + {Z05} * o.sd, 4) AS upper, round(u.effect, 3) AS cumulative, round(v.sd, 3) AS cumulative_sd, round(u.effect / base, 7) AS relative
+FROM o JOIN u ON u.series_id = o.series_id JOIN v ON v.series_id = o.series_id""")
 def impact_smoothed(spark, sf_dir):
-    return models.structured_impact(daily(spark, sf_dir), PRE, POST, ms.local_linear_trend(Q, 1.0, R, X0, 0.0, P0, 10.0), baseline="smooth")
+    """The masked steps are the last ones, so smoothing through them is the exact forecast, with its covariances."""
+    got = models.structured_impact(daily(spark, sf_dir), PRE, POST, ms.local_linear_trend(Q, 1.0, R, X0, 0.0, P0, 10.0), baseline="smooth")
+    return rounded(rounded(rounded(got, "baseline", "effect", "sd", "lower", "upper", to=4), "cumulative", "cumulative_sd", to=3), "relative", to=7)
 
 
 @query()
@@ -680,9 +815,13 @@ def _spots(spark, sf_dir) -> DataFrame:
     return daily(spark, sf_dir).select("series_id").distinct().crossJoin(F.broadcast(own))
 
 
-@query()
+@query(DAILY + _filter_sql() + f""",
+k0 AS (SELECT series_id, x, p FROM k WHERE t = {PRE[1] - 1}),
+cf AS (SELECT s.series_id, CAST(s.t - {POST[0] - 1} AS BIGINT) AS t, s.y, k0.x AS cf_mean, k0.p + (s.t - {POST[0] - 1} + 1) * {Q} + {R} AS cf_var FROM s JOIN k0 ON k0.series_id = s.series_id WHERE s.t BETWEEN {POST[0] - 1} AND {POST[1] - 1}),
+w AS (SELECT series_id, spot_id, CAST(ws AS BIGINT) AS ws, CAST(we AS BIGINT) AS we FROM (SELECT DISTINCT series_id FROM s), (VALUES ('a', 0, 4), ('b', 3, 6), ('c', 7, 9)) AS v(spot_id, ws, we))""" + _GROUPS + _attributed_sql(0.0))
 def pipeline_operational(spark, sf_dir):
-    return workflows.run_pipeline(daily(spark, sf_dir), PRE, POST, _spots(spark, sf_dir), ms.local_level(Q, R, X0, P0))[0]
+    got = workflows.run_pipeline(daily(spark, sf_dir), PRE, POST, _spots(spark, sf_dir), ms.local_level(Q, R, X0, P0))[0]
+    return rounded(got, "lift", "lift_sd", "lift_lower", "lift_upper", to=4).withColumn("p_positive", F.round("p_positive", 6))
 
 
 @query()
