@@ -200,3 +200,24 @@ def test_attribution_rejects_repeated_ids(spark):
     spots = spark.createDataFrame([("s", "a", 0, 2), ("s", "a", 3, 5)], "series_id string, spot_id string, ws long, we long")
     with pytest.raises(Exception, match="unique"):
         attribution.attribute(cf, spots).collect()
+
+
+def test_a_kept_fit_predicts_any_horizon(spark):
+    fit = spark.createDataFrame([("s", 0, d, 4.0, [1.0], [10.0]) for d in range(400)], "series_id string, chain int, draw long, obs_var double, q array<double>, x_last array<double>")
+    short, long = (sorted(map(tuple, models.predict_draws(fit, n, seed=3).collect())) for n in (2, 6))
+    assert [r for r in long if r[3] <= 2] == short and len(long) == 2400
+    last = [r[4] for r in long if r[3] == 6]
+    mean = sum(last) / 400
+    assert abs(mean - 10) < 0.6 and abs(sum((v - mean) ** 2 for v in last) / 399 - 10) < 2.5
+    spec = ms.local_linear_trend(0.0, 0.0, 0.0)
+    flat = spark.createDataFrame([("s", 0, 0, 0.0, [0.0, 0.0], [10.0, 2.0])], "series_id string, chain int, draw long, obs_var double, q array<double>, x_last array<double>")
+    assert [r["value"] for r in models.predict_draws(flat, 3, spec).orderBy("h").collect()] == [12.0, 14.0, 16.0]
+
+
+def test_a_universe_must_not_be_negative(spark):
+    a = frame(spark, [[1, 2]])
+    with pytest.raises(ValueError, match="negative"):
+        draws.audience(a, a, -1.0)
+    with pytest.raises(Exception, match="negative"):
+        draws.audience(a, a, spark.createDataFrame([(1, -1.0), (2, 1.0)], "h long, value double")).collect()
+    assert sorted(r["value"] for r in draws.audience(a, a, a).collect()) == [1.0, 8.0]

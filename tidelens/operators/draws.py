@@ -62,9 +62,25 @@ def combine(a: DataFrame, b: DataFrame, f) -> DataFrame:
     return a.join(right, ["series_id", "draw", "h"]).select("series_id", "draw", "h", f(F.col("value"), F.col("_other")).alias("value"))
 
 
-def audience(viewing: DataFrame, share: DataFrame, universe: float) -> DataFrame:
-    """Draw-wise product of viewing level, share and universe."""
-    return mapped(combine(viewing, share, lambda x, y: x * y), lambda v: v * universe)
+def audience(viewing: DataFrame, share: DataFrame, universe: float | DataFrame) -> DataFrame:
+    """Draw-wise product of viewing level, share and universe.
+
+    universe: a number, a table (h, value) with a row for each step, or draws of its own (series_id, draw, h, value);
+    values that aren't finite or are negative raise when they are read.
+    """
+    both = combine(viewing, share, lambda x, y: x * y)
+    if not isinstance(universe, DataFrame):
+        if not 0 <= universe < float("inf"):
+            raise ValueError("the universe must be finite and not negative")
+        return mapped(both, lambda v: v * float(universe))
+    v = F.col("value")
+    sound = checked(universe).withColumn("value", F.when(v < 0, F.raise_error(F.lit("the universe must not be negative")).cast("double")).otherwise(v))
+    if "draw" in universe.columns:
+        return combine(both, sound, lambda x, y: x * y)
+    return scaled(both, sound.select("h", F.col("value").alias("weight")))
+
+
+from_hut_share = audience
 
 
 def scaled(draws: DataFrame, weights: DataFrame) -> DataFrame:

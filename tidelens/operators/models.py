@@ -183,6 +183,30 @@ def forecast_draws(df: DataFrame, horizon: int, samples: int = 200, burn_in: int
     return each_series(df, run, "draw long, h long, value double")
 
 
+def predict_draws(posterior: DataFrame, horizon: int, spec: ModelSpec | None = None, future_x=None, seed: int = 0) -> DataFrame:
+    """Joint predictive draws (series_id, chain, draw, h, value) from a kept fit: the rows that chains gave, stored or not.
+
+    A path for each row, whose noise follows from the seed, the series, the chain and the draw: a longer horizon begins
+    with the shorter one's path, and nothing is sampled again. No shuffle: rows are independent.
+    """
+    rows = future_rows(spec, future_x, regression_width(spec), horizon) if spec is not None else None
+
+    def run(batches):
+        for pdf in batches:
+            parts = []
+            for sid, chain, draw, r, q, x in pdf.itertuples(index=False, name=None):
+                rng = stream(seed, sid, int(chain), int(draw))
+                if spec is None:
+                    z = rng.standard_normal((horizon, 2))
+                    path = x[0] + np.cumsum(z[:, 0]) * np.sqrt(max(q[0], 0.0)) + z[:, 1] * np.sqrt(max(r, 0.0))
+                else:
+                    path = forward.structured_paths(np.asarray(x)[None, :], spec.f, rows, np.asarray(q)[None, :], np.array([r]), rng)[0]
+                parts.append(pd.DataFrame({"series_id": sid, "chain": chain, "draw": draw, "h": np.arange(1, horizon + 1), "value": path}))
+            yield pd.concat(parts) if parts else pd.DataFrame(columns=["series_id", "chain", "draw", "h", "value"])
+
+    return posterior.select("series_id", "chain", "draw", "obs_var", "q", "x_last").mapInPandas(run, "series_id string, chain int, draw long, h long, value double")
+
+
 def decompose(df: DataFrame, spec: ModelSpec, samples: int = 200, burn_in: int | None = None, seed: int = 0) -> DataFrame:
     """Posterior mean states of each step, and the fitted value that they give."""
 

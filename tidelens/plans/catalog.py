@@ -5,6 +5,7 @@ Every query runs over whole tables. Doubles are rounded on both sides, as sums m
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -228,6 +229,41 @@ def campaign_means(spark, sf_dir):
     return got.select("series_id", F.round("baseline_mean", 6).alias("baseline_mean"), F.round("actual_mean", 6).alias("actual_mean"))
 
 
+_EFFECT = DAILY + _filter_sql() + f""",
+k0 AS (SELECT series_id, x, p FROM k WHERE t = {PRE[1] - 1}),
+g AS (SELECT k0.series_id, sum(s.y - x) AS total, sum(x) AS base, sqrt({_N * _N}.0 * any_value(p) + {Q} * {_N} * {_N + 1} * {2 * _N + 1} / 6.0 + {_N} * {R}) AS sd FROM s JOIN k0 ON k0.series_id = s.series_id WHERE s.t BETWEEN {POST[0] - 1} AND {POST[1] - 1} GROUP BY 1),
+m AS (SELECT series_id, avg(y) FILTER (t BETWEEN {PRE[0] - 1} AND {PRE[1] - 1}) AS baseline_mean, avg(y) FILTER (t BETWEEN {POST[0] - 1} AND {POST[1] - 1}) AS actual_mean FROM s GROUP BY 1)"""
+_TOTALS = f"round(total, 5) AS cumulative, round(sd, 5) AS cumulative_sd, round(total - {Z05} * sd, 5) AS cumulative_lower, round(total + {Z05} * sd, 5) AS cumulative_upper, (total - {Z05} * sd > 0) OR (total + {Z05} * sd < 0) AS significant, round(total / {_N}, 6) AS per_period, round(sd / {_N}, 6) AS per_period_sd"
+_NUMBERS = ("cumulative", "cumulative_sd", "cumulative_lower", "cumulative_upper")
+
+
+@query(_EFFECT + f" SELECT g.series_id, {_TOTALS}, round(total / base, 8) AS relative, round(sd / abs(base), 8) AS relative_sd FROM g")
+def policy_operational(spark, sf_dir):
+    got = workflows.policy_effect(daily(spark, sf_dir), PRE[0], POST[0] - 2, POST[1], lag=2, mode="operational", model_spec=ms.local_level(Q, R, X0, P0))
+    return rounded(rounded(rounded(got, *_NUMBERS, to=5), "per_period", "per_period_sd"), "relative", "relative_sd", to=8)
+
+
+@query(_EFFECT + f" SELECT g.series_id, 'c' AS campaign, {_TOTALS}, round(total / (baseline_mean * {_N}), 8) AS relative, round(sd / abs(baseline_mean * {_N}), 8) AS relative_sd, round(baseline_mean, 6) AS baseline_mean, round(actual_mean, 6) AS actual_mean FROM g JOIN m ON m.series_id = g.series_id")
+def campaign_lift_by_date(spark, sf_dir):
+    """A campaign given by dates of the calendar of the events, measured from one end to the other."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type IS NOT NULL AND ts IS NOT NULL")
+    first = events.agg(F.min(F.to_date("ts")).alias("d")).first()["d"]
+    days = spark.range(POST[1]).select(F.date_add(F.lit(first), F.col("id").cast("int")).alias("date"))
+    on = lambda step: first + datetime.timedelta(days=step - 1)
+    campaign = {"name": "c", "start_date": on(POST[0]), "end_date": on(POST[1]), "baseline_start_date": on(PRE[0]), "baseline_end_date": on(PRE[1])}
+    got = workflows.campaign_lift_by_date(daily(spark, sf_dir), days, campaign, mode="operational", model_spec=ms.local_level(Q, R, X0, P0))
+    return rounded(rounded(rounded(got, *_NUMBERS, to=5), "per_period", "per_period_sd", "baseline_mean", "actual_mean"), "relative", "relative_sd", to=8)
+
+
+@query(DAILY + """
+SELECT a.series_id, b.series_id AS control_id, round(m.mean, 6) AS control_mean, round(avg(a.y - b.y), 6) AS mean_difference
+FROM s a JOIN s b ON b.t = a.t AND b.series_id <> a.series_id JOIN (SELECT series_id, avg(y) AS mean FROM s WHERE t < 20 GROUP BY 1) m ON m.series_id = b.series_id WHERE a.t < 20 AND a.series_id = 'click' GROUP BY a.series_id, b.series_id, m.mean""")
+def pretrend_controls(spark, sf_dir):
+    d = daily(spark, sf_dir)
+    controls = d.filter("series_id <> 'click'").select(F.col("series_id").alias("control_id"), "t", "y")
+    return rounded(workflows.pre_trend_controls(d.filter("series_id = 'click'"), controls, 1, 21), "control_mean", "mean_difference")
+
+
 @query("""
 WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders), i AS (SELECT date, CAST(row_number() OVER (ORDER BY date) AS BIGINT) AS i FROM d),
 c AS (SELECT min(date) AS a, max(date) AS z FROM d)
@@ -398,6 +434,22 @@ def combine_product(spark, sf_dir):
     return rounded(draws.audience(d, draws.mapped(d, lambda v: v * v + 1.0), 3.0), "value", to=8)
 
 
+@query(DRAWS + " SELECT series_id, draw, h, round(value * (value + 2.0) * 10.0 * h, 8) AS value FROM v")
+def audience_by_step(spark, sf_dir):
+    d = src.embedding_draws(spark, sf_dir)
+    universe = spark.range(1, 65).select(F.col("id").alias("h"), (F.col("id") * 10.0).alias("value"))
+    return rounded(draws.from_hut_share(d, draws.mapped(d, lambda v: v + 2.0), universe), "value", to=8)
+
+
+@query("""
+WITH e AS (SELECT CAST(label AS VARCHAR) AS series_id, vec_id AS draw, embedding[1]::DOUBLE AS x FROM embeddings)
+SELECT series_id, 0 AS chain, draw, CAST(h AS BIGINT) AS h, round(x, 8) AS value FROM e, (SELECT unnest(generate_series(1, 5)) AS h)""")
+def predict_from_kept_fit(spark, sf_dir):
+    """Paths of a kept fit whose variances are 0: each stays where its draw's state is."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("string").alias("series_id"), F.lit(0).alias("chain"), F.col("vec_id").alias("draw"), F.lit(0.0).alias("obs_var"), F.array(F.lit(0.0)).alias("q"), F.slice(F.col("embedding").cast("array<double>"), 1, 1).alias("x_last"))
+    return rounded(models.predict_draws(e, 5), "value", to=8)
+
+
 @query(DRAWS + """,
 d AS (SELECT series_id, draw, sum(value / h) AS value FROM v GROUP BY 1, 2),
 a AS (SELECT series_id, list_sort(list(value)) AS a, avg(value) AS mean, avg(CASE WHEN value < 0.1 THEN 1.0 ELSE 0.0 END) AS p, avg(greatest(0.1 - value, 0.0)) AS s, coalesce(avg(0.1 - value) FILTER (value < 0.1), 0.0) AS c FROM d GROUP BY 1)

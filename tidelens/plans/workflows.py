@@ -176,6 +176,18 @@ def campaign_lift(series: DataFrame, campaign: dict, **options) -> DataFrame:
     return out.withColumn("campaign", F.lit(campaign["name"]))
 
 
+def campaign_lift_by_date(series: DataFrame, dates: DataFrame, campaign: dict, **options) -> DataFrame:
+    """Lift of one campaign given by dates: name, start_date, end_date, baseline_start_date, baseline_end_date.
+
+    dates: the calendar of the series' steps, one date for each. One row of four indices comes to the driver.
+    """
+    keys = ("start_date", "end_date", "baseline_start_date", "baseline_end_date")
+    asked = series.sparkSession.createDataFrame([tuple(campaign[k] for k in keys)], ", ".join(f"{k} date" for k in keys))
+    at = campaign_indices(dates, asked).first()
+    own = {"name": campaign["name"], "start_index": at["start_index"], "end_index": at["end_index"], "baseline_start": at["baseline_start_index"], "baseline_end": at["baseline_end_index"]}
+    return campaign_lift(series, own, **options)
+
+
 def campaigns_lift(series: DataFrame, campaigns: list[dict], **options) -> DataFrame:
     """Lift of campaigns; those that overlap share one model and split its draws."""
     from tidelens.kernels.shapley import overlap_groups
@@ -217,6 +229,28 @@ def pre_trend_check(series: DataFrame, pre_start: int, at: int) -> DataFrame:
     return got.withColumn("significant_trend", F.abs("t_statistic") > 2.0)
 
 
+def pre_trend_controls(series: DataFrame, controls: DataFrame, pre_start: int, at: int) -> DataFrame:
+    """Of each series and control (control_id, t, y): the control's mean before an intervention, and the mean difference.
+
+    Steps where either is missing are left out of the difference; missing control values of its mean.
+    """
+    window = F.col("t").between(pre_start - 1, at - 2)
+    own = controls.filter(window).select("control_id", "t", c.observed(F.col("y")).alias("_x"))
+    means = own.groupBy("control_id").agg(F.avg("_x").alias("control_mean"))
+    pairs = series.filter(window).select("series_id", "t", c.observed(F.col("y")).alias("_y")).join(own, "t")
+    return pairs.groupBy("series_id", "control_id").agg(F.avg(F.col("_y") - F.col("_x")).alias("mean_difference")).join(means, "control_id").select("series_id", "control_id", "control_mean", "mean_difference")
+
+
+def promotion_impact(series: DataFrame, start: int, end: int, seasonality=None, regressors=None, **options) -> DataFrame:
+    """Effect of a promotion over the 1-based steps start to end, against a forecast from everything before it."""
+    return effects(analyze_at(series, start, end, seasonality=seasonality, regressors=regressors, **options))
+
+
+def forecast_with_decomposition(series: DataFrame, horizon: int, spec: ModelSpec, samples: int = 200, alpha: float = 0.05, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The forecast's bands and the fitted components of the same chains."""
+    return draws.summary_outward(models.forecast_draws(series, horizon, samples, None, spec, seed=seed), alpha), models.decompose(series, spec, samples, seed=seed)
+
+
 def demand_forecast(series: DataFrame, horizon: int, seasonality=None, regressors=None, future_x=None, samples: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """Mean, deviation and outward bands of the next steps under a trend, seasons and promotions."""
     spec = build_spec(None, seasonality, regressors)
