@@ -40,18 +40,19 @@ def relax() -> None:
 # ---- messages -----------------------------------------------------------------------------------------------------
 
 
-def pack(values: np.ndarray, level: int = 1) -> bytes:
-    """An integer array as bytes: one plane for each byte of the items, then zstd, so small or sorted values cost little."""
+def pack(values: np.ndarray, level: int = 1, width: int = 1) -> bytes:
+    """An integer array as bytes: a plane for every width bytes of the items, then zstd, so small or sorted values cost little."""
     a = np.ascontiguousarray(values)
-    planes = a.view(np.uint8).reshape(-1, a.dtype.itemsize).T
+    planes = a.view(np.uint8).reshape(len(a), a.dtype.itemsize // width, width).transpose(1, 0, 2)
     return zstandard.ZstdCompressor(level=level).compress(planes.tobytes())
 
 
-def unpack(blob: bytes, dtype, n: int | None = None) -> np.ndarray:
+def unpack(blob: bytes, dtype, n: int | None = None, width: int = 1) -> np.ndarray:
     """The array that pack() took."""
     size = np.dtype(dtype).itemsize
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
-    out = np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(dtype)
+    planes = raw.reshape(size // width, -1, width).transpose(1, 0, 2)
+    out = np.ascontiguousarray(planes).reshape(-1).view(dtype)
     if n is not None and len(out) != n:
         raise ValueError("a message has lost items")
     return out
@@ -106,10 +107,10 @@ BLOCK_BYTES = 16 << 20
 BUNDLE_BYTES = 16 << 20  # of rows that a task deals into blocks at once
 
 
-def in_blocks(docs: DataFrame, keep: list[str], text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+def in_blocks(docs: DataFrame, keep: list[str], text: str = "text", block_bytes: int = BLOCK_BYTES, level: int = 6) -> tuple[DataFrame, int]:
     """docs' columns in keep and text (null: empty), dealt into blocks of about block_bytes of text, and the number of blocks.
 
-    Rows are block and rows: the rows that a task has for the block, compressed together (see opened). A row's block
+    Rows are block and rows: the rows that a task has for the block, compressed together at a zstd level (see opened). A row's block
     follows from its own values, so a lost task rebuilds the same block, and a hot source or many copies with ids of their
     own spread over all blocks.
     """
@@ -124,7 +125,7 @@ def in_blocks(docs: DataFrame, keep: list[str], text: str = "text", block_bytes:
         order = np.argsort(blocks, kind="stable")
         ordered = table.select([*keep, "text"]).take(pa.array(order))
         first = np.flatnonzero(np.diff(blocks[order], prepend=-1))
-        options, blobs = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6)), []
+        options, blobs = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level)), []
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(blocks)], strict=True):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, ordered.schema, options=options) as out:

@@ -69,7 +69,10 @@ class Grams:
 
 
 def statistics(docs: DataFrame, text: str, train: str, parts: int) -> tuple[int, int]:
-    """N and V: tokens and distinct tokens of the training texts, from all of them."""
+    """N and V: tokens and distinct tokens of the training texts, from all of them.
+
+    V counts words by 56 bits of their hashes: of 100 million distinct ones 0.07 are expected to be lost.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(keys: list[np.ndarray], n: int) -> pa.RecordBatch:
@@ -84,7 +87,7 @@ def statistics(docs: DataFrame, text: str, train: str, parts: int) -> tuple[int,
             for at in range(0, batch.num_rows, 512):
                 texts = batch.slice(at, 512).column(0).to_pylist()
                 words = hash_words([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts])
-                keys.append(distinct(words.hashes))
+                keys.append(distinct(words.hashes & np.uint64(0xFFFFFFFFFFFFFF00)))
                 n += len(words.hashes) + len(texts)
                 held += len(keys[-1])
                 if held > 1 << 21:
@@ -211,7 +214,7 @@ def score(docs: DataFrame, train: str, keep: list[str], text: str = "text", orde
     2**-52. A block sends a range at most one message.
     """
     known = docs.withColumn("train_", F.coalesce(F.col(train), F.lit(False)))
-    blocks, n_blocks = in_blocks(known, [*keep, "train_"], text, block_bytes)
+    blocks, n_blocks = in_blocks(known, [*keep, "train_"], text, block_bytes, level=9)
     ranges = -(-n_blocks // BLOCKS_A_RANGE)  # of each order's keys; an order has its own
     n, v = statistics(known, text, "train_", n_blocks)
 
@@ -274,7 +277,7 @@ def score(docs: DataFrame, train: str, keep: list[str], text: str = "text", orde
         return pa.table({
             "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary()),
             "sizes": pa.array([pack(grams.sizes.astype(np.int64))], pa.binary()),
-            "counts": pa.array([[pack(c, 9) for c in aligned]], pa.list_(pa.binary())),
+            "counts": pa.array([[pack(c, 9, width=1 if i else 4) for i, c in enumerate(aligned)]], pa.list_(pa.binary())),
             "place": pa.array([full.tolist()], pa.list_(pa.int32())),
             "times": pa.array([seen[full].tolist()], pa.list_(pa.int64())),
         })
@@ -295,7 +298,7 @@ def score(docs: DataFrame, train: str, keep: list[str], text: str = "text", orde
             for rows, sizes, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 left = pa.ipc.open_stream(rows).read_all().combine_chunks()
                 grams = Grams.of_sizes(unpack(sizes, np.int64))
-                machine = Automaton(grams, [unpack(c, np.int64) for c in counts], n, v, below)
+                machine = Automaton(grams, [unpack(c, np.int64, width=1 if i else 4) for i, c in enumerate(counts)], n, v, below)
                 token, edges = grams.place > 0, grams.starts[:-1]
                 base = np.add.reduceat(np.where(token, machine.base, 0.0), edges)
                 hits = np.add.reduceat((token & (machine.counts[0] > 0)).astype(np.int64), edges)
