@@ -1,5 +1,7 @@
 """Operators on small frames: hand-made results, nulls, ties, empty input, error contracts."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +223,13 @@ def test_a_universe_must_not_be_negative(spark):
     with pytest.raises(Exception, match="negative"):
         draws.audience(a, a, spark.createDataFrame([(1, -1.0), (2, 1.0)], "h long, value double")).collect()
     assert sorted(r["value"] for r in draws.audience(a, a, a).collect()) == [1.0, 8.0]
+
+
+def test_scratch_folders_can_be_cleared(spark):
+    from tidelens.sources import scratch
+
+    scratch.clear(spark)
+    kept = scratch.written(spark.range(3), "x")
+    path = kept.inputFiles()[0]
+    assert kept.count() == 3 and scratch.clear(spark) == 1 and scratch.clear(spark) == 0
+    assert not Path(path.removeprefix("file:").replace("///", "/")).exists()

@@ -30,25 +30,23 @@ def linear_quantile(v: Column, p: float) -> Column:
     return F.percentile(v, F.lit(p))
 
 
-def _ordered(v: Column) -> Column:
+def ordered(v: Column) -> Column:
+    """An aggregate: a group's values in order, gathered once for all the places that are taken from them."""
     return F.array_sort(F.collect_list(v))
 
 
-def lower_outward(v: Column, alpha: float) -> Column:
-    """Order statistic at alpha / 2, rounded down."""
-    a = _ordered(v)
+def lower_outward(a: Column, alpha: float) -> Column:
+    """Of ordered values the one at alpha / 2, rounded down."""
     return F.element_at(a, (F.floor(F.lit(alpha / 2) * (F.size(a) - 1)) + 1).cast("int"))
 
 
-def upper_outward(v: Column, alpha: float) -> Column:
-    """Order statistic at 1 - alpha / 2, rounded up."""
-    a = _ordered(v)
+def upper_outward(a: Column, alpha: float) -> Column:
+    """Of ordered values the one at 1 - alpha / 2, rounded up."""
     return F.element_at(a, (F.ceil(F.lit(1 - alpha / 2) * (F.size(a) - 1)) + 1).cast("int"))
 
 
-def nearest_rank(v: Column, p: float) -> Column:
-    """Order statistic at p (n - 1), rounded half away from zero."""
-    a = _ordered(v)
+def nearest_rank(a: Column, p: float) -> Column:
+    """Of ordered values the one at p (n - 1), rounded half away from zero."""
     return F.element_at(a, (F.floor(F.lit(p) * (F.size(a) - 1) + 0.5) + 1).cast("int"))
 
 

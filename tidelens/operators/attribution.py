@@ -106,7 +106,9 @@ def attribute_draws(draws: DataFrame, spots: DataFrame, alpha: float = 0.05, dec
 
     lifts = with_spots.join(cast, "series_id").mapInPandas(run, "series_id string, draw long, spot_id string, ws long, we long, lift double")
     v = F.col("lift")
-    return lifts.groupBy("series_id", "spot_id", "ws", "we").agg(F.avg(v).alias("lift"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("lift_sd"), c.lower_outward(v, alpha).alias("lift_lower"), c.upper_outward(v, alpha).alias("lift_upper"), F.avg((v > 0).cast("double")).alias("p_positive"))
+    by = ["series_id", "spot_id", "ws", "we"]
+    held = lifts.groupBy(*by).agg(F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("lift_sd"), c.ordered(v).alias("_a"), F.avg((v > 0).cast("double")).alias("p_positive"))
+    return held.select(*by, F.col("mean").alias("lift"), "lift_sd", c.lower_outward(F.col("_a"), alpha).alias("lift_lower"), c.upper_outward(F.col("_a"), alpha).alias("lift_upper"), "p_positive")
 
 
 # ---- Shapley as joins --------------------------------------------------------------------------------------------

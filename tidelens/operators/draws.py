@@ -25,17 +25,19 @@ def summary_interpolated(draws: DataFrame, alpha: float = 0.05) -> DataFrame:
 def summary_outward(draws: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Bands from order statistics, rounded outward."""
     v = F.col("value")
-    return draws.groupBy(*BY).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), c.lower_outward(v, alpha).alias("lower"), c.upper_outward(v, alpha).alias("upper"))
+    a, held = F.col("_a"), draws.groupBy(*BY).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), c.ordered(v).alias("_a"))
+    return held.select(*BY, "mean", "sd", c.lower_outward(a, alpha).alias("lower"), c.upper_outward(a, alpha).alias("upper"))
 
 
 def summary_nearest(draws: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Median and bounds by nearest rank."""
     v = F.col("value")
-    return draws.groupBy(*BY).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), c.nearest_rank(v, 0.5).alias("median"), c.nearest_rank(v, alpha / 2).alias("lower"), c.nearest_rank(v, 1 - alpha / 2).alias("upper"))
+    a, held = F.col("_a"), draws.groupBy(*BY).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), c.ordered(v).alias("_a"))
+    return held.select(*BY, "mean", "sd", c.nearest_rank(a, 0.5).alias("median"), c.nearest_rank(a, alpha / 2).alias("lower"), c.nearest_rank(a, 1 - alpha / 2).alias("upper"))
 
 
 def quantile(draws: DataFrame, p: float) -> DataFrame:
-    return draws.groupBy(*BY).agg(c.nearest_rank(F.col("value"), p).alias("quantile"))
+    return draws.groupBy(*BY).agg(c.ordered(F.col("value")).alias("_a")).select(*BY, c.nearest_rank(F.col("_a"), p).alias("quantile"))
 
 
 def hpd(draws: DataFrame, level: float = 0.95) -> DataFrame:

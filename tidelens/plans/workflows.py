@@ -20,6 +20,7 @@ from tidelens.operators import attribution, checks, draws, models
 
 MODES = ("operational", "bayesian")
 METHODS = {"filter": "operational", "operational": "operational", "mcmc": "bayesian", "bayesian": "bayesian"}
+CONTROL_VALUES = 5_000_000  # of all controls at most: they are a model's columns, which the driver holds
 ANALYSIS_OPTIONS = frozenset("mode method alpha seasonality regressors regression_mode model_spec samples burn_in seed baseline controls control_threshold max_controls".split())
 
 
@@ -119,6 +120,8 @@ def control_matrix(target: DataFrame, controls: DataFrame, pre, length: int, thr
         window = F.col("t").between(pre[0] - 1, pre[1] - 1)
         best = models.pearson_controls(target.filter(window).groupBy("t").agg(F.avg("y").alias("y")), chosen.filter(window), threshold, most)
         chosen = chosen.join(F.broadcast(best.select("control_id")), "control_id")
+    if chosen.limit(CONTROL_VALUES + 1).count() > CONTROL_VALUES:
+        raise ValueError(f"controls have more than {CONTROL_VALUES} values; select some by control_threshold and max_controls")
     rows = chosen.groupBy("control_id").agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("v")).orderBy("control_id").collect()
     if not rows:
         return None

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_MADE: dict[str, set[str]] = {}  # folders of each application
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,7 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/tidelens-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/tidelens-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, set()).add(folder)
+    return f"{folder}/{name}"
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the folders that this application has made so far, and returns how many they were.
+
+    Results that were not read or written elsewhere are lost: call it when they have been.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = _MADE.pop(spark.sparkContext.applicationId, set())
+    for folder in gone:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    return len(gone)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
