@@ -72,6 +72,44 @@ def placebo_window(steps: DataFrame, on_air: DataFrame) -> DataFrame:
     return placed.filter((F.col("_n") >= 2 * F.col("_k")) & (F.col("_i") >= start) & (F.col("_i") < start + F.col("_k"))).select("series_id", "t")
 
 
+def mean_lift(steps: DataFrame, window: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Lift over the steps (series_id, t) of a window against the mean of the other steps: lift, lift_pct, sd, lower, upper.
+
+    steps: (series_id, t, y); missing values are left out. The sum of k values less k times a mean of n has the variance
+    v (k + k k / n), v that of the other steps. A series without steps on both sides has no row.
+    """
+    marked = steps.select("series_id", "t", c.observed(F.col("y")).alias("y")).filter("y IS NOT NULL").join(window.select("series_id", "t", F.lit(True).alias("_in")), ["series_id", "t"], "left")
+    inside = F.col("_in").isNotNull()
+    sums = marked.groupBy("series_id").agg(F.sum(F.when(inside, F.col("y"))).alias("_sum"), F.count_if(inside).alias("_k"), F.avg(F.when(~inside, F.col("y"))).alias("_mean"), F.var_samp(F.when(~inside, F.col("y"))).alias("_v"), F.count_if(~inside).alias("_n"))
+    base, z = F.col("_k") * F.col("_mean"), c.z_of(alpha)
+    lift, sd = F.col("_sum") - base, F.sqrt(F.col("_v") * (F.col("_k") + F.col("_k") * F.col("_k") / F.col("_n")))
+    return sums.filter("_k > 0 AND _n > 1").select("series_id", lift.alias("lift"), (100 * c.relative_effect(lift, base)).alias("lift_pct"), sd.alias("sd"), (lift - z * sd).alias("lower"), (lift + z * sd).alias("upper"))
+
+
+def placebo_test(steps: DataFrame, on_air: DataFrame, estimate=mean_lift) -> DataFrame:
+    """What the estimate finds in a window without an effect: its row for each series, and placebo_significant.
+
+    estimate: of (steps, window) a table with series_id, lift, lift_pct, lower and upper. It sees only the steps off air.
+    A series whose steps off air are fewer than twice those on air has no row.
+    """
+    fake = placebo_window(steps, on_air)
+    off = steps.join(on_air.select("series_id", "t"), ["series_id", "t"], "left_anti")
+    return estimate(off, fake).withColumn("placebo_significant", (F.col("lower") > 0) | (F.col("upper") < 0)).withColumn("placebo_pct", F.col("lift_pct"))
+
+
+def effect_stability(estimate_at, width: int, delta: int = 5) -> DataFrame:
+    """The lift estimated again at a narrower and a wider window, and its largest change.
+
+    estimate_at: of a width a table (series_id, lift). Series that an estimate has no row for are left out.
+    """
+    widths = {"lift_base": width, "lift_low": max(5, width - delta), "lift_high": width + delta}
+    out = None
+    for name, w in widths.items():
+        part = estimate_at(w).select("series_id", F.col("lift").alias(name))
+        out = part if out is None else out.join(part, "series_id")
+    return stability(out).withColumn("window_low", F.lit(widths["lift_low"])).withColumn("window_high", F.lit(widths["lift_high"]))
+
+
 def stability(lifts: DataFrame) -> DataFrame:
     """Largest change of a lift at a narrower and a wider window: (series_id, lift_base, lift_low, lift_high)."""
     far = F.greatest(F.abs(F.col("lift_low") - F.col("lift_base")), F.abs(F.col("lift_high") - F.col("lift_base")))

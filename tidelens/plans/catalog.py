@@ -515,6 +515,58 @@ def placebo_window(spark, sf_dir):
     return checks.placebo_window(d, d.filter("t >= 24"))
 
 
+def _mean_lift_sql(window: str, steps: str = "s") -> str:
+    """lift, lift_pct and sd over the steps of a window (series_id, t) against the mean of the others."""
+    return f"""SELECT series_id, total - k * mean AS lift, 100 * (total - k * mean) / (k * mean) AS pct, sqrt(v * (k + k * k / n)) AS sd FROM (
+  SELECT x.series_id, sum(y) FILTER (w.t IS NOT NULL) AS total, count(*) FILTER (w.t IS NOT NULL) AS k, avg(y) FILTER (w.t IS NULL) AS mean, var_samp(y) FILTER (w.t IS NULL) AS v, count(*) FILTER (w.t IS NULL) AS n
+  FROM (SELECT * FROM {steps} WHERE y IS NOT NULL) x LEFT JOIN {window} w ON w.series_id = x.series_id AND w.t = x.t GROUP BY 1)"""
+
+
+@query(DAILY + f""", off AS (SELECT * FROM s WHERE t < 24),
+o AS (SELECT series_id, t, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM off),
+f AS (SELECT series_id, t FROM o WHERE i >= n // 2 - 3 AND i < n // 2 - 3 + 6), e AS ({_mean_lift_sql("f", "off")})
+SELECT series_id, round(lift, 4) AS lift, round(pct, 6) AS lift_pct, round(sd, 4) AS sd, round(lift - {Z05} * sd, 4) AS lower, round(lift + {Z05} * sd, 4) AS upper, lift - {Z05} * sd > 0 OR lift + {Z05} * sd < 0 AS placebo_significant, round(pct, 6) AS placebo_pct FROM e""")
+def placebo_effect(spark, sf_dir):
+    d = daily(spark, sf_dir)
+    got = checks.placebo_test(d, d.filter("t >= 24").select("series_id", "t"))
+    return rounded(rounded(got, "lift", "sd", "lower", "upper", to=4), "lift_pct", "placebo_pct")
+
+
+@query(HOURLY + f""", w0 AS (SELECT series_id, t FROM s WHERE t BETWEEN 300 AND 329), w1 AS (SELECT series_id, t FROM s WHERE t BETWEEN 300 AND 324), w2 AS (SELECT series_id, t FROM s WHERE t BETWEEN 300 AND 334),
+a AS ({_mean_lift_sql("w0")}), b AS ({_mean_lift_sql("w1")}), d AS ({_mean_lift_sql("w2")})
+SELECT a.series_id, round(a.lift, 4) AS lift_base, round(b.lift, 4) AS lift_low, round(d.lift, 4) AS lift_high, round(CASE WHEN abs(a.lift) > 0.01 THEN greatest(abs(b.lift - a.lift), abs(d.lift - a.lift)) / abs(a.lift) ELSE 0.0 END, 5) AS max_pct_change, 25 AS window_low, 35 AS window_high FROM a JOIN b ON b.series_id = a.series_id JOIN d ON d.series_id = a.series_id""")
+def effect_stability(spark, sf_dir):
+    h = hourly(spark, sf_dir)
+    got = checks.effect_stability(lambda w: checks.mean_lift(h, h.filter(F.col("t").between(300, 299 + w)).select("series_id", "t")), 30)
+    return rounded(rounded(got, "lift_base", "lift_low", "lift_high", to=4), "max_pct_change", to=5)
+
+
+@query("""
+SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, round(sum(value), 4) AS y FROM events WHERE event_type IS NOT NULL
+GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_type IS NOT NULL)""")
+def stream_hourly_sums(spark, sf_dir):
+    """Event-time windows of the events as a stream that ends with the table: those that the watermark has closed."""
+    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parquet*")
+    keyed = events.filter("event_type IS NOT NULL").select(F.col("event_type").alias("series_id"), "ts", "value")
+    path = scratch.scratch_path(spark, "windows")
+    sums = online.windowed_series(keyed)
+    sums.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    got = spark.read.schema("series_id string, ts timestamp, y double").parquet(f"{path}/rows")
+    return got.select("series_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("y", 4).alias("y"))
+
+
+@query(DRAWS + ", l2 AS (SELECT series_id, draw, list(round(value, 8) ORDER BY h) AS values FROM v GROUP BY 1, 2) SELECT series_id, draw, values FROM l2")
+def draws_as_lists(spark, sf_dir):
+    return draws.to_lists(rounded(src.embedding_draws(spark, sf_dir), "value", to=8))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(generate_series(1, len(embedding)), lambda i: embedding[i]::DOUBLE * (1.0 / i))), 8) AS predicted FROM embeddings")
+def regressor_product(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    beta = F.transform(F.sequence(F.lit(1), F.size("x")), lambda i: F.lit(1.0) / i)
+    return e.select("vec_id", F.round(c.dot(beta, F.col("x")), 8).alias("predicted"))
+
+
 @query(DAILY + ", r AS (SELECT series_id, CAST(count(y) AS BIGINT) AS n, regr_slope(y, t) AS b, regr_sxx(y, t) AS sxx, regr_syy(y, t) AS syy, regr_sxy(y, t) AS sxy FROM s WHERE t < 20 AND y IS NOT NULL GROUP BY 1) SELECT series_id, n, round(b, 6) AS slope, round(sqrt((syy - b * sxy) / (n - 2) / sxx), 6) AS slope_se, round(b / sqrt((syy - b * sxy) / (n - 2) / sxx), 6) AS t_statistic, abs(b / sqrt((syy - b * sxy) / (n - 2) / sxx)) > 2 AS significant_trend FROM r")
 def pretrend_ols(spark, sf_dir):
     return rounded(workflows.pre_trend_check(daily(spark, sf_dir), 1, 21), "slope", "slope_se", "t_statistic")
