@@ -269,3 +269,27 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "it
 
         docs = bounded_batches(docs).mapInArrow(run, docs.schema)
     return docs
+
+
+def report(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, start_word, n_words and similarity (to 9 places) of what find finds."""
+    return find(docs, items).select("doc_id", "item_id", "start_word", "n_words", F.round("similarity", 9).alias("similarity"))
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_SHINGLES = "array_to_string(w[o:o+k-1], ' ') AS s, list_sum(list_transform(w[o:o+k-1], lambda x: strlen(x))) AS c"
+#: All windows that share a shingle with an item, by plain joins, without fingerprints.
+SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, w, len(w) AS n, least(len(w), {SHINGLE}) AS k FROM (SELECT item_id, {_WORDS} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)) WHERE len(w) > 0),
+g AS (SELECT item_id, n, k, s, c, count(*) AS m FROM (SELECT item_id, n, k, {_SHINGLES} FROM i, LATERAL (SELECT unnest(generate_series(1, n - k + 1)) AS o)) GROUP BY ALL),
+t AS (SELECT item_id, any_value(n) AS n, sum(m * c) AS total FROM g GROUP BY 1),
+x AS (SELECT doc_id, len(w) AS l, o, k, {_SHINGLES} FROM (SELECT * FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k), LATERAL (SELECT unnest(generate_series(1, len(w) - k + 1)) AS o)),
+h AS (SELECT DISTINCT x.doc_id, g.item_id, o, l, n, g.k FROM x JOIN g ON x.s = g.s AND x.k = g.k),
+p AS (SELECT DISTINCT doc_id, item_id, k, least(l, n) - k + 1 AS size, a FROM h, LATERAL (SELECT unnest(generate_series(greatest(o - (least(l, n) - k), 1), least(o, l - least(l, n) + 1))) AS a)),
+y AS (SELECT p.doc_id, p.item_id, p.a, x.s, x.c, count(*) AS m FROM p JOIN x ON x.doc_id = p.doc_id AND x.k = p.k AND x.o >= p.a AND x.o < p.a + p.size GROUP BY ALL),
+z AS (SELECT y.doc_id, y.item_id, y.a, sum(y.m * y.c) AS own, sum(least(y.m, coalesce(g.m, 0)) * y.c) AS shared FROM y LEFT JOIN g ON g.item_id = y.item_id AND g.s = y.s GROUP BY 1, 2, 3),
+v AS (SELECT z.doc_id, z.item_id, z.a, t.n, shared / (own + total - shared) AS similarity FROM z JOIN t ON t.item_id = z.item_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, a) AS q FROM v WHERE similarity >= {SIMILARITY})
+SELECT doc_id, item_id, CAST(a - 1 AS BIGINT) AS start_word, CAST(n AS BIGINT) AS n_words, round(similarity, 9) AS similarity FROM r WHERE q = 1
+"""

@@ -56,7 +56,7 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
@@ -67,4 +67,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_perspectives": chat.SQL, "op4_jaccard_join": join.SQL, "op5_secret_scan": secrets.SQL, "op9_warc_round_trip": warc.SQL}
+    return {"op1_chat_perspectives": chat.SQL, "op4_jaccard_join": join.SQL, "op5_secret_scan": secrets.SQL, "op9_warc_round_trip": warc.SQL, "op10_benchmark_leaks": decontaminate.SQL}
