@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidelens.functions import columns as c
 from tidelens.kernels import forward, gibbs, impact, kalman
 from tidelens.kernels import series as ks
-from tidelens.kernels.linalg import stream
+from tidelens.kernels.linalg import stream, z_score
 from tidelens.kernels.spec import ModelSpec, future_rows, local_level, regression_width
 
 SERIES = ["series_id", "t", "y"]
@@ -322,13 +322,29 @@ def structured_impact(df: DataFrame, pre, post, spec: ModelSpec, alpha: float =
 # ---- anomalies ---------------------------------------------------------------------------------------------------
 
 
-def anomaly_scores(df: DataFrame, train: int, method: str = "filter", alpha: float = 0.01, q: float = 1.0, r: float = 1.0, p0: float = 1.0, samples: int = 200, seed: int = 0) -> DataFrame:
-    """Scores of the steps from train on by a detector fitted on those before it."""
+def anomaly_scores(df: DataFrame, train: int, method: str = "filter", alpha: float = 0.01, q: float = 1.0, r: float = 1.0, p0: float = 1.0, samples: int = 200, seed: int = 0, spec: ModelSpec | None = None, future_x=None) -> DataFrame:
+    """Scores of the steps from train on by a detector fitted on those before it.
+
+    spec: a structural model. Method "filter" runs its filter with known variances through all steps and scores each
+    against its prediction; otherwise the model is sampled on the training steps, and future_x are its regressors' rows
+    of the steps to score.
+    """
+    names = ["value", "predicted", "predicted_sd", "residual", "z_score", "p_value", "anomaly", "severity"]
 
     def run(sid, t, y):
-        d = ks.fit_detector(y[t < train], method, alpha, q=q, r=r, p0=p0, samples=samples, seed=seed, key=(sid,))
-        rows = ks.score_series(d, y[t >= train])
-        return pd.DataFrame(rows, columns=["value", "predicted", "predicted_sd", "residual", "z_score", "p_value", "anomaly", "severity"]).assign(t=t[t >= train])[["t", "value", "predicted", "predicted_sd", "residual", "z_score", "p_value", "anomaly", "severity"]]
+        later = t >= train
+        if spec is not None and method == "filter":
+            rows = spec.rows(0, len(y))
+            fit = kalman.filter_matrix(y, spec.f, rows, spec.q(), spec.obs_var, spec.x0, spec.p0)
+            mean = (rows * fit["x_pred"]).sum(axis=1)
+            sd = np.sqrt(np.maximum(np.einsum("ti,tij,tj->t", rows, fit["p_pred"], rows), 0.0) + spec.obs_var)
+            z = z_score(alpha)
+            scores = [ks.score_of(None if np.isnan(v) else float(v), float(m), float(s), z) for v, m, s in zip(y[later], mean[later], sd[later], strict=True)]
+        else:
+            d = ks.fit_detector(y[~later], method, alpha, spec, q=q, r=r, p0=p0, samples=samples, seed=seed, key=(sid,))
+            ahead = future_rows(spec, future_x, regression_width(spec), int(later.sum())) if spec is not None and future_x is not None else None
+            scores = ks.score_series(d, y[later], ahead)
+        return pd.DataFrame(scores, columns=names).assign(t=t[later])[["t", *names]]
 
     return each_series(df, run, "t long, value double, predicted double, predicted_sd double, residual double, z_score double, p_value double, anomaly boolean, severity string")
 

@@ -685,6 +685,22 @@ def anomaly_scores(spark, sf_dir):
     return s.select("series_id", "t", "value", F.round("predicted", 5).alias("predicted"), F.round("predicted_sd", 5).alias("predicted_sd"), F.round("z_score", 6).alias("z_score"), "anomaly", "severity")
 
 
+@query(HOURLY + f""",
+k(series_id, t, y, m, v, l, b, p11, p12, p22) AS (
+  SELECT DISTINCT series_id, CAST(-1 AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(150 AS DOUBLE), CAST(0 AS DOUBLE), CAST(400 AS DOUBLE), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) FROM s
+  UNION ALL
+  SELECT series_id, t, y, lp, a11 + 4000,
+    CASE WHEN y IS NULL THEN lp ELSE lp + a11 / (a11 + 4000) * (y - lp) END, CASE WHEN y IS NULL THEN b ELSE b + a12 / (a11 + 4000) * (y - lp) END,
+    CASE WHEN y IS NULL THEN a11 ELSE a11 * 4000 / (a11 + 4000) END, CASE WHEN y IS NULL THEN a12 ELSE a12 * 4000 / (a11 + 4000) END, CASE WHEN y IS NULL THEN a22 ELSE a22 - a12 * a12 / (a11 + 4000) END
+  FROM (SELECT k.series_id, s.t, s.y, k.l + k.b AS lp, k.b, k.p11 + 2 * k.p12 + k.p22 + 4.0 AS a11, k.p12 + k.p22 AS a12, k.p22 + 0.01 AS a22 FROM k JOIN s ON s.series_id = k.series_id AND s.t = k.t + 1)),
+z AS (SELECT *, coalesce((y - m) / sqrt(v), 0.0) AS z FROM k WHERE t >= {_TRAIN})
+SELECT series_id, t, round(m, 5) AS predicted, round(sqrt(v), 5) AS predicted_sd, round(z, 6) AS z_score, abs(z) > {Z01} AS anomaly FROM z""")
+def anomaly_trend(spark, sf_dir):
+    spec = ms.local_linear_trend(4.0, 0.01, 4000.0, 150.0, 0.0, 400.0, 1.0)
+    got = models.anomaly_scores(hourly(spark, sf_dir), _TRAIN, spec=spec)
+    return rounded(rounded(got.select("series_id", "t", "predicted", "predicted_sd", "z_score", "anomaly"), "predicted", "predicted_sd", to=5), "z_score")
+
+
 @query(_ANOMALY + " SELECT series_id, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (anomaly) AS BIGINT) AS anomalies, CAST(count(*) FILTER (severity = 'warning') AS BIGINT) AS warnings, CAST(count(*) FILTER (severity = 'critical') AS BIGINT) AS criticals, round(avg(CASE WHEN anomaly THEN 1.0 ELSE 0.0 END), 8) AS anomaly_rate, round(max(abs(z)), 6) AS max_abs_z FROM b GROUP BY 1")
 def anomaly_summary(spark, sf_dir):
     got = models.anomaly_summary(_scores(spark, sf_dir))
