@@ -255,6 +255,14 @@ def campaign_lift_by_date(spark, sf_dir):
     return rounded(rounded(rounded(got, *_NUMBERS, to=5), "per_period", "per_period_sd", "baseline_mean", "actual_mean"), "relative", "relative_sd", to=8)
 
 
+@query(_EFFECT.replace(f"BETWEEN {POST[0] - 1} AND {POST[1] - 1} GROUP BY 1),", f"BETWEEN {POST[0] - 1} AND {POST[1] - 1} GROUP BY 1),\nj AS (SELECT k0.series_id, sum(s.y - x) AS total, sqrt(16.0 * any_value(p) + {Q} * 4 * 5 * 9 / 6.0 + 4 * {R}) AS sd FROM s JOIN k0 ON k0.series_id = s.series_id WHERE s.t BETWEEN 21 AND 24 GROUP BY 1),\nj2 AS (SELECT k0.series_id, sum(s.y - x) AS total, sqrt(9.0 * (any_value(p) + 5 * {Q}) + {Q} * 3 * 4 * 7 / 6.0 + 3 * {R}) AS sd FROM s JOIN k0 ON k0.series_id = s.series_id WHERE s.t BETWEEN 26 AND 28 GROUP BY 1),") + " SELECT j.series_id, round(j.total + j2.total, 4) AS total_lift, round(sqrt(j.sd * j.sd + j2.sd * j2.sd), 4) AS total_lift_sd FROM j JOIN j2 ON j2.series_id = j.series_id")
+def campaigns_total(spark, sf_dir):
+    """Two campaigns apart from each other, measured against the same baseline."""
+    own = [{"name": "x", "start_index": 22, "end_index": 25, "baseline_start": 1, "baseline_end": 21}, {"name": "y", "start_index": 27, "end_index": 29, "baseline_start": 1, "baseline_end": 21}]
+    got = workflows.campaigns_lift(daily(spark, sf_dir), own, mode="operational", model_spec=ms.local_level(Q, R, X0, P0))
+    return rounded(workflows.campaigns_total(got), "total_lift", "total_lift_sd", to=4)
+
+
 @query(DAILY + """
 SELECT a.series_id, b.series_id AS control_id, round(m.mean, 6) AS control_mean, round(avg(a.y - b.y), 6) AS mean_difference
 FROM s a JOIN s b ON b.t = a.t AND b.series_id <> a.series_id JOIN (SELECT series_id, avg(y) AS mean FROM s WHERE t < 20 GROUP BY 1) m ON m.series_id = b.series_id WHERE a.t < 20 AND a.series_id = 'click' GROUP BY a.series_id, b.series_id, m.mean""")

@@ -192,15 +192,18 @@ def campaign_lift_by_date(series: DataFrame, dates: DataFrame, campaign: dict, *
 
 
 def campaigns_lift(series: DataFrame, campaigns: list[dict], **options) -> DataFrame:
-    """Lift of campaigns; those that overlap share one model and split its draws."""
+    """Lift of campaigns; those that overlap share one model and split its draws.
+
+    campaign_group numbers the groups that overlap, and group_sd is the deviation of a group's whole lift.
+    """
     from tidelens.kernels.shapley import overlap_groups
 
     by = {x["name"]: x for x in campaigns}
     out = None
-    for group in overlap_groups([(x["name"], x["start_index"], x["end_index"] + 1) for x in campaigns]):
-        own = [by[g[0]] for g in group]
+    for g, group in enumerate(overlap_groups([(x["name"], x["start_index"], x["end_index"] + 1) for x in campaigns])):
+        own = [by[x[0]] for x in group]
         if len(own) == 1:
-            part = campaign_lift(series, own[0], **options).select("series_id", "campaign", "cumulative", "cumulative_sd", "cumulative_lower", "cumulative_upper", "significant", "relative")
+            part = campaign_lift(series, own[0], **options).select("series_id", "campaign", "cumulative", "cumulative_sd", "cumulative_lower", "cumulative_upper", "significant", "relative", F.col("cumulative_sd").alias("group_sd"))
         else:
             pre = (min(x["baseline_start"] for x in own), max(x["baseline_end"] for x in own))
             post = (min(x["start_index"] for x in own), max(x["end_index"] for x in own))
@@ -215,10 +218,20 @@ def campaigns_lift(series: DataFrame, campaigns: list[dict], **options) -> DataF
                 "series_id", F.col("spot_id").alias("campaign"), F.col("lift").alias("cumulative"), F.col("lift_sd").alias("cumulative_sd"), F.col("lift_lower").alias("cumulative_lower"), F.col("lift_upper").alias("cumulative_upper"),
                 ((F.col("lift_lower") > 0) | (F.col("lift_upper") < 0)).alias("significant"), c.relative_effect(F.col("lift"), F.col("_mean") * (F.col("we") - F.col("ws"))).alias("relative"),
             )
+            covered = d.join(F.broadcast(windows.select("ws", "we")), (F.col("t") - (post[0] - 1) >= F.col("ws")) & (F.col("t") - (post[0] - 1) < F.col("we")), "left_semi")
+            whole = covered.groupBy("series_id", "draw").agg(F.sum("effect").alias("_total")).groupBy("series_id").agg(F.coalesce(F.stddev_samp("_total"), F.lit(0.0)).alias("group_sd"))
+            part = part.join(whole, "series_id")
+        part = part.withColumn("campaign_group", F.lit(g))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def campaigns_total(lifts: DataFrame) -> DataFrame:
+    """Total lift of each series over what campaigns_lift gives, and its deviation, groups taken as independent."""
+    groups = lifts.groupBy("series_id", "campaign_group").agg(F.sum("cumulative").alias("_sum"), F.first("group_sd").alias("_sd"))
+    return groups.groupBy("series_id").agg(F.sum("_sum").alias("total_lift"), F.sqrt(F.sum(F.col("_sd") * F.col("_sd"))).alias("total_lift_sd"))
+
+
 def policy_effect(series: DataFrame, pre_start: int, at: int, end: int, lag: int = 0, **options) -> DataFrame:
     """Interrupted time series: the effect from the 1-based step `at`, plus a lag; a metric is a series."""
     if lag < 0 or at + lag > end:
