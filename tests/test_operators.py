@@ -104,7 +104,8 @@ def test_verdicts_and_quantiles(spark):
     got = {r["series_id"]: tuple(r)[1:] for r in checks.assess(m).collect()}
     assert got == {"a": ("pass", "pass", "pass", "pass", "fail"), "b": ("warn", "warn", "fail", "fail", "skip")}
     v = spark.range(11).select(F.col("id").cast("double").alias("v"))
-    r = v.agg(c.lower_outward(F.col("v"), 0.3).alias("a"), c.upper_outward(F.col("v"), 0.3).alias("b"), c.nearest_rank(F.col("v"), 0.25).alias("c"), c.linear_quantile(F.col("v"), 0.25).alias("d")).first()
+    held = v.agg(c.ordered(F.col("v")).alias("a"), c.linear_quantile(F.col("v"), 0.25).alias("q"))
+    r = held.select(c.lower_outward(F.col("a"), 0.3).alias("a"), c.upper_outward(F.col("a"), 0.3).alias("b"), c.nearest_rank(F.col("a"), 0.25).alias("c"), "q").first()
     assert tuple(r) == (1, 9, 3, 2.5)
 
 

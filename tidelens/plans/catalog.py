@@ -563,9 +563,9 @@ def stream_hourly_sums(spark, sf_dir):
     return got.select("series_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("y", 4).alias("y"))
 
 
-@query(DRAWS + ", l2 AS (SELECT series_id, draw, list(round(value, 8) ORDER BY h) AS values FROM v GROUP BY 1, 2) SELECT series_id, draw, values FROM l2")
+@query(DRAWS + ", l2 AS (SELECT series_id, draw, list(value ORDER BY h) AS values FROM v GROUP BY 1, 2) SELECT series_id, draw, values FROM l2")
 def draws_as_lists(spark, sf_dir):
-    return draws.to_lists(rounded(src.embedding_draws(spark, sf_dir), "value", to=8))
+    return draws.to_lists(src.embedding_draws(spark, sf_dir))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(generate_series(1, len(embedding)), lambda i: embedding[i]::DOUBLE * (1.0 / i))), 8) AS predicted FROM embeddings")
